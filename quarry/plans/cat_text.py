@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import (keyword_candidates, sample_keywords, split_lines, ustrip)
 from quarry.operators.parse import parse_entries, to_documents
-from quarry.operators.querygen import alternative_queries
+from quarry.operators.querygen import add_alternative_queries
 from quarry.plans.common import TEST_CFG, eval_set, joined, tagged
 from quarry.plans.registry import query
 from quarry.plans.sqlfrag import (EVAL_SET_CTES, SEED, TAGGED, kw_cands, kw_sample, parsed_cte,
@@ -27,7 +27,7 @@ def _lines_sql(table_name, key, col):
 
 @query("scan_nonblank", sql=_lines_sql("documents", "doc_id", "text"))
 def scan_nonblank(spark, sf):
-    return table_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return table_lines(table(spark, sf, "documents", spread_rows=True), "doc_id", "text")
 
 
 @query("corpus_union", sql=f"""
@@ -35,8 +35,8 @@ SELECT 'documents' AS source_file, 0 AS file_pos, * FROM ({_lines_sql("documents
 UNION ALL
 SELECT 'conversations', 1, * FROM ({_lines_sql("conversations", "conv_id * 1000 + turn", "text")})""")
 def corpus_union(spark, sf):
-    docs = table_lines(table(spark, sf, "documents"), "doc_id", "text")
-    conv = table(spark, sf, "conversations").withColumn(
+    docs = table_lines(table(spark, sf, "documents", spread_rows=True), "doc_id", "text")
+    conv = table(spark, sf, "conversations", spread_rows=True).withColumn(
         "rec_id", F.col("conv_id") * 1000 + F.col("turn"))
     conv = table_lines(conv, "rec_id", "text")
     return (docs.select(F.lit("documents").alias("source_file"), F.lit(0).alias("file_pos"), "*")
@@ -63,7 +63,7 @@ SELECT page_id, pos, tag FROM (
                                     lambda x: NOT starts_with(x, '/')) AS t FROM pages))""")
 def extract_tags_html(spark, sf):
     from quarry.operators.parse import tags_col
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", spread_rows=True)
     return pages.select("page_id", F.posexplode(tags_col(F.col("html"))).alias("pos", "tag"))
 
 
@@ -112,18 +112,19 @@ def documents_struct(spark, sf):
 SELECT doc_id, len(c) AS n_candidates, array_to_string(c, ' ') AS candidates
 FROM (SELECT doc_id, {kw_cands(strip('text'))} AS c FROM documents)""")
 def keyword_candidates_q(spark, sf):
-    d = table(spark, sf, "documents")
-    c = keyword_candidates(ustrip(F.col("text")))
-    return d.select("doc_id", F.size(c).alias("n_candidates"), F.array_join(c, " ").alias("candidates"))
+    d = table(spark, sf, "documents", spread_rows=True).withColumn("c", keyword_candidates(ustrip(F.col("text"))))
+    return d.select("doc_id", F.size("c").alias("n_candidates"), F.array_join("c", " ").alias("candidates"))
 
 
 @query("keyword_sample", sql=f"""
 SELECT doc_id, len(k) AS n_keywords, array_to_string(k, ' and ') AS keywords
 FROM (SELECT doc_id, {kw_sample(kw_cands(strip('text')), 'doc_id', 'kw')} AS k FROM documents)""")
 def keyword_sample(spark, sf):
-    d = table(spark, sf, "documents")
-    k = sample_keywords(keyword_candidates(ustrip(F.col("text"))), F.col("doc_id"), SEED, "kw")
-    return d.select("doc_id", F.size(k).alias("n_keywords"), F.array_join(k, " and ").alias("keywords"))
+    from quarry.operators.querygen import add_keywords
+    d = table(spark, sf, "documents", spread_rows=True).withColumn("body", ustrip(F.col("text")))
+    k = add_keywords(d, "body", "doc_id", TEST_CFG)
+    return k.select("doc_id", F.size("keywords").alias("n_keywords"),
+                    F.array_join("keywords", " and ").alias("keywords"))
 
 
 def _kind_query(kind):
@@ -167,6 +168,5 @@ FROM alt_rows"""
 
 @query("alt_queries", sql=ALT_SQL)
 def alt_queries(spark, sf):
-    t = tagged(spark, sf)
-    return t.select("entry_id", F.posexplode(alternative_queries(F.col("text"), F.col("entry_id"), TEST_CFG))
-                    .alias("alt_pos", "query"))
+    t = add_alternative_queries(tagged(spark, sf), "text", "entry_id", TEST_CFG)
+    return t.select("entry_id", F.posexplode("alt_queries").alias("alt_pos", "query"))

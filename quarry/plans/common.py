@@ -15,7 +15,7 @@ TEST_CFG = DEFAULT_CONFIG.with_genres(TEST_GENRES)
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread_rows=True)
     text = F.concat(F.lit("<"), d.source, F.lit("> </"), d.source, F.lit("> <"), d.lang,
                     F.lit("> </"), d.lang, F.lit("> prompt "), d.text)
     return d.select(F.col("doc_id").alias("entry_id"), text.alias("text"))

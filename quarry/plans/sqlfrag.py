@@ -94,3 +94,66 @@ def eval_rows_cte(parsed: str = "parsed", name: str = "eval_rows") -> str:
 
 
 EVAL_SET_CTES = f"{TAGGED},\n{parsed_cte()},\n{eval_rows_cte()}"
+
+
+def alt_rows_cte(parsed: str, key: str, name: str = "alt_rows") -> str:
+    """Alternative queries (genre, genre+theme 'story', keywords) per parsed row."""
+    return f"""{name}_q AS (
+  SELECT {key} AS akey, genres[1] AS g0, themes[1] AS t0,
+         {kw_sample(kw_cands('body'), key, 'altkw')} AS kws
+  FROM {parsed}),
+{name}_u AS (
+  SELECT akey, 0 AS kind_pos, 'Find a ' || g0 || ' writing prompt' AS query FROM {name}_q
+  WHERE g0 IS NOT NULL
+  UNION ALL
+  SELECT akey, 1, 'Find a ' || g0 || ' story about ' || lower(t0) FROM {name}_q
+  WHERE g0 IS NOT NULL AND t0 IS NOT NULL
+  UNION ALL
+  SELECT akey, 2, 'Find a writing prompt about ' || lower(array_to_string(kws, ' and '))
+  FROM {name}_q WHERE len(kws) > 0),
+{name} AS (
+  SELECT akey, (row_number() OVER (PARTITION BY akey ORDER BY kind_pos))::INTEGER AS aug_pos, query
+  FROM {name}_u)"""
+
+
+def ring_offsets_sql(n: str, pool: str, key: str, tag: str = "neg") -> str:
+    step = (f"list_reduce(list_sort(acc), lambda x, s: CASE WHEN x >= s THEN x + 1 ELSE x END, "
+            f"{h([str(SEED), repr(tag), key, 'j'], 15)} % ({pool} - j))")
+    return f"list_reduce(range({n}), lambda acc, j: list_append(acc, {step}), []::BIGINT[])"
+
+
+def contexts_cte(src: str, order: str, name: str = "ctx") -> str:
+    """Distinct contexts of ``src`` with dense first-seen ids, plus their count."""
+    firsts = ", ".join(f"{c.strip()} AS first_{c.strip()}" for c in order.split(","))
+    return f"""{name}_first AS (
+  SELECT context, {order}, row_number() OVER (PARTITION BY context ORDER BY {order}) AS rn,
+         count(*) OVER (PARTITION BY context) AS n_rows
+  FROM {src}),
+{name} AS (
+  SELECT context, n_rows, {firsts}, row_number() OVER (ORDER BY {order}) - 1 AS ctx_id
+  FROM {name}_first WHERE rn = 1),
+{name}_n AS (SELECT count(*) AS c FROM {name})"""
+
+
+STARTERS_SQL = sql_list(s.lower() for s in DEFAULT_CONFIG.starters)
+
+
+def clean_query_sql(q: str) -> str:
+    stripped = (f"list_reduce({STARTERS_SQL}, lambda acc, s: CASE WHEN starts_with(lower(acc), s) "
+                f"THEN {strip('substr(acc, length(s) + 1)')} ELSE acc END, {q})")
+    return f"(lower(substr({stripped}, 1, 1)) || substr({stripped}, 2))"
+
+
+TEST_SET_CTES = f"""{TAGGED},
+{parsed_cte()},
+resp AS (SELECT conv_id AS entry_id, turn AS resp_id, text AS response
+         FROM conversations WHERE role = 'assistant'),
+rlines AS (
+  SELECT entry_id, resp_id, line_no, {strip('raw')} AS q FROM (
+    SELECT entry_id, resp_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line_no
+    FROM (SELECT entry_id, resp_id, string_split(response, chr(10)) AS parts
+          FROM resp WHERE response IS NOT NULL))),
+test_set AS (
+  SELECT l.entry_id, l.resp_id, l.line_no, {clean_query_sql('l.q')} AS query,
+         coalesce(p.body, '') AS context
+  FROM rlines l JOIN parsed p USING (entry_id) WHERE l.q <> '')"""
