@@ -20,11 +20,12 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | local positi
 
 
 def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx",
-                num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                num_partitions: int | None = None, checkpoint: bool = True,
+                with_total: bool = False):
     """Add ``out`` = 0-based position of each row in ``order_cols`` order.
 
     ``order_cols`` must identify rows uniquely (ties would be numbered in an
-    arbitrary but stable order)."""
+    arbitrary but stable order). With ``with_total`` returns ``(df, n_rows)``."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols)
@@ -36,10 +37,15 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str = "idx",
     if checkpoint:
         ensure_checkpoint_dir(spark)
         ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = __import__("pyspark.sql.window", fromlist=["Window"]).Window.orderBy("_pid")
-    # one row per partition: the window over it is tiny by construction
-    offsets = counts.select("_pid", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(out, F.col("_off") + F.col("_local"))
-                  .drop("_pid", "_local", "_off"))
+    # one row per partition (bounded by the partition count, not the data)
+    counts = sorted((r["_pid"], r["_n"]) for r in
+                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, total = [], 0
+    for pid, cnt in counts:
+        offsets.append((pid, total))
+        total += cnt
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid bigint, _off bigint")
+    res = (ranged.join(F.broadcast(off_df), "_pid")
+                 .withColumn(out, F.col("_off") + F.col("_local"))
+                 .drop("_pid", "_local", "_off"))
+    return (res, total) if with_total else res
