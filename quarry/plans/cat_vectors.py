@@ -1 +1,122 @@
-"""Catalogue module (filled in below)."""
+"""Catalogue: retrieval over the embeddings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators.metrics import judged_hits, judgements, own_rank
+from quarry.operators.retrieve import pair_similarity, rank_before, top_k
+from quarry.plans.common import emb_inputs, emb_rows, eval_set, model_vectors
+from quarry.plans.registry import query
+from quarry.plans.sqlfrag import EVAL_SET_CTES, cos_sql, emb_ctes
+
+
+def _round(c, name):
+    return F.round(c, 6).alias(name)
+
+
+@query("cosine_topk", sql=f"""
+WITH {emb_ctes()}
+SELECT query_id, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
+def cosine_topk(spark, sf):
+    rows, q, c = emb_inputs(spark, sf)
+    h = top_k(q, c, 5, "cosine")
+    return h.select("query_id", "rank", "ctx_id", _round(F.col("score"), "score"))
+
+
+@query("dot_topk", sql=f"""
+WITH {emb_ctes(sim='dot')}
+SELECT query_id, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
+def dot_topk(spark, sf):
+    rows, q, c = emb_inputs(spark, sf)
+    h = top_k(q, c, 5, "dot")
+    return h.select("query_id", "rank", "ctx_id", _round(F.col("score"), "score"))
+
+
+@query("own_rank", sql=f"""
+WITH {emb_ctes()}
+SELECT r.row_id, r.query_id, r.ctx_id, r.relevance, k.rank::INTEGER AS own_rank
+FROM rows r LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) k USING (query_id, ctx_id)""")
+def own_rank_q(spark, sf):
+    rows, q, c = emb_inputs(spark, sf)
+    r = own_rank(rows, top_k(q, c, 5, "cosine"))
+    return r.select("row_id", "query_id", "ctx_id", "relevance", "own_rank")
+
+
+@query("full_rank", sql=f"""
+WITH {emb_ctes()}
+SELECT r.row_id, k.rank AS full_rank
+FROM rows r JOIN ranked k USING (query_id, ctx_id)""")
+def full_rank(spark, sf):
+    """E7 without emitting the full ranking: the full-depth rank of each
+    row's own context, counted block by block."""
+    rows, q, c = emb_inputs(spark, sf)
+    qv = q.select("query_id", F.col("embedding").alias("_qe"))
+    cv = c.select("ctx_id", F.col("embedding").alias("_ce"))
+    own = (rows.join(qv, "query_id").join(cv, "ctx_id")
+               .withColumn("thr_score", pair_similarity(F.col("_qe"), F.col("_ce"), "cosine")))
+    thr = own.select("row_id", F.col("_qe").alias("embedding"), "thr_score",
+                     F.col("ctx_id").alias("thr_ctx"))
+    return rank_before(thr, c, "cosine", key="row_id").select(
+        "row_id", F.col("rank").alias("full_rank"))
+
+
+@query("paired_cosine", sql=f"""
+WITH {emb_ctes()}
+SELECT r.row_id, round({cos_sql('q.v', 'c.v')}, 6) AS score
+FROM rows r JOIN e q ON q.vec_id = r.query_id JOIN e c ON c.vec_id = r.ctx_id""")
+def paired_cosine(spark, sf):
+    rows = emb_rows(spark, sf)
+    v = model_vectors(spark, sf, 64)
+    qv = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_qe"))
+    cv = v.select(F.col("vec_id").alias("ctx_id"), F.col("embedding").alias("_ce"))
+    p = rows.join(qv, "query_id").join(cv, "ctx_id")
+    return p.select("row_id", _round(pair_similarity(F.col("_qe"), F.col("_ce"), "cosine"), "score"))
+
+
+@query("judgements", sql=f"""
+WITH {EVAL_SET_CTES}
+SELECT query, md5(context) AS context_md5, arg_max(relevance, row_id) AS gain, count(*) AS n_rows
+FROM eval_rows GROUP BY query, context""")
+def judgements_q(spark, sf):
+    ev = eval_set(spark, sf)
+    j = ev.groupBy("query", "context").agg(F.max_by("relevance", "row_id").alias("gain"),
+                                          F.count(F.lit(1)).alias("n_rows"))
+    return j.select("query", F.md5("context").alias("context_md5"), "gain", "n_rows")
+
+
+@query("judgement_lookup", sql=f"""
+WITH {emb_ctes()},
+j AS (SELECT query_id, ctx_id, arg_max(relevance, row_id) AS gain FROM rows GROUP BY ALL)
+SELECT k.query_id, k.rank::INTEGER AS rank, k.ctx_id, coalesce(j.gain, 0.0) AS gain
+FROM (SELECT * FROM ranked WHERE rank <= 5) k LEFT JOIN j USING (query_id, ctx_id)""")
+def judgement_lookup(spark, sf):
+    rows, q, c = emb_inputs(spark, sf)
+    jh = judged_hits(top_k(q, c, 5, "cosine"), judgements(rows))
+    return jh.select("query_id", "rank", "ctx_id", "gain")
+
+
+@query("example_queries", sql=f"""
+WITH {emb_ctes()},
+cent AS (
+  SELECT label, list(m ORDER BY pos) AS v FROM (
+    SELECT label, pos, avg(x) AS m FROM (
+      SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM e) GROUP BY label, pos)
+  GROUP BY label),
+sc AS (
+  SELECT cent.label, cs.ctx_id, {cos_sql('cent.v', 'c.v')} AS score
+  FROM cent CROSS JOIN cs JOIN e c ON c.vec_id = cs.ctx_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, ctx_id) AS rank FROM sc)
+SELECT label, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM rk WHERE rank <= 3""")
+def example_queries(spark, sf):
+    """Ad-hoc queries (here the label centroids) -> top 3 contexts."""
+    rows, q, c = emb_inputs(spark, sf)
+    v = model_vectors(spark, sf, 64)
+    comp = v.select("label", F.posexplode("embedding").alias("pos", "x"))
+    cent = (comp.groupBy("label", "pos").agg(F.avg("x").alias("m"))
+                .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_v"))
+                .select(F.col("label").cast("bigint").alias("query_id"),
+                        F.transform("_v", lambda s: s["m"]).alias("embedding")))
+    h = top_k(cent, c, 3, "cosine")
+    return h.select(F.col("query_id").cast("int").alias("label"), "rank", "ctx_id",
+                    _round(F.col("score"), "score"))

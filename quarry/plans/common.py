@@ -28,3 +28,38 @@ def eval_set(spark: SparkSession, sf: str) -> DataFrame:
 
 def joined(col, sep: str = "|"):
     return F.array_join(col, sep)
+
+
+# Two "models" over the embeddings table: all 64 dimensions, and the first 32.
+MODELS = (("A", 64), ("B", 32))
+
+
+def model_vectors(spark: SparkSession, sf: str, dims: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", F.slice("embedding", 1, dims).alias("embedding"))
+
+
+def emb_rows(spark: SparkSession, sf: str, outer: bool = False) -> DataFrame:
+    """Eval rows over the embeddings: query = vector i, contexts = vectors
+    i+1..i+3, relevance 1.0 when the labels agree. ``outer`` keeps rows whose
+    context id does not exist (empty context)."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_ql"),
+                 F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("_off"))
+    c = e.select(F.col("vec_id").alias("_cid"), F.col("label").alias("_cl"))
+    r = q.join(c, F.col("query_id") + F.col("_off") == F.col("_cid"), "left" if outer else "inner")
+    return r.select((F.col("query_id") * 3 + F.col("_off") - 1).alias("row_id"), "query_id",
+                    (F.col("query_id") + F.col("_off")).alias("ctx_id"),
+                    F.when(F.col("_ql") == F.col("_cl"), F.lit(1.0)).otherwise(F.lit(0.0))
+                     .alias("relevance"),
+                    F.col("_cid").isNull().alias("context_empty"))
+
+
+def emb_inputs(spark: SparkSession, sf: str, dims: int = 64):
+    """(rows, query vectors, corpus vectors) for one model."""
+    rows = emb_rows(spark, sf).drop("context_empty")
+    v = model_vectors(spark, sf, dims)
+    queries = v.join(rows.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    corpus = v.join(rows.select(F.col("ctx_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    return (rows, queries.select(F.col("vec_id").alias("query_id"), "embedding"),
+            corpus.select(F.col("vec_id").alias("ctx_id"), "embedding"))
