@@ -169,21 +169,21 @@ def dot_sql(a: str, b: str) -> str:
     return f"list_dot_product({a}, {b})"
 
 
-def emb_ctes(dims: int = 64, outer: bool = False, sim: str = "cos") -> str:
+def emb_ctes(dims: int = 64, outer: bool = False, sim: str = "cos", p: str = "") -> str:
     """Embedding eval rows (see plans.common.emb_rows), vectors and all
     query x corpus scores with their rank (oracle only: all pairs)."""
     join = "LEFT JOIN" if outer else "JOIN"
     simf = cos_sql if sim == "cos" else dot_sql
-    return f"""e AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, {dims}) AS v, label FROM embeddings),
-rows AS (
+    return f"""{p}e AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, {dims}) AS v, label FROM embeddings),
+{p}rows AS (
   SELECT q.vec_id * 3 + o.off - 1 AS row_id, q.vec_id AS query_id, q.vec_id + o.off AS ctx_id,
          CASE WHEN q.label = c.label THEN 1.0 ELSE 0.0 END::DOUBLE AS relevance,
          c.vec_id IS NULL AS context_empty
-  FROM e q CROSS JOIN (SELECT unnest([1, 2, 3]) AS off) o {join} e c ON c.vec_id = q.vec_id + o.off),
-qs AS (SELECT DISTINCT query_id FROM rows WHERE NOT context_empty),
-cs AS (SELECT DISTINCT ctx_id FROM rows WHERE NOT context_empty),
-pairs AS (
+  FROM {p}e q CROSS JOIN (SELECT unnest([1, 2, 3]) AS off) o {join} {p}e c ON c.vec_id = q.vec_id + o.off),
+{p}qs AS (SELECT DISTINCT query_id FROM {p}rows WHERE NOT context_empty),
+{p}cs AS (SELECT DISTINCT ctx_id FROM {p}rows WHERE NOT context_empty),
+{p}pairs AS (
   SELECT qs.query_id, cs.ctx_id, {simf('q.v', 'c.v')} AS score
-  FROM qs JOIN e q ON q.vec_id = qs.query_id CROSS JOIN cs JOIN e c ON c.vec_id = cs.ctx_id),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ctx_id) AS rank FROM pairs)"""
+  FROM {p}qs qs JOIN {p}e q ON q.vec_id = qs.query_id CROSS JOIN {p}cs cs JOIN {p}e c ON c.vec_id = cs.ctx_id),
+{p}ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ctx_id) AS rank FROM {p}pairs)"""
