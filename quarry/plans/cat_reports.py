@@ -1 +1,89 @@
-"""Catalogue module (filled in below)."""
+"""Catalogue: text encoder, end-to-end text pipelines and reports.
+
+These run the hash encoder (JVM xxhash64 tokens) and produce formatted
+text, so they have no DuckDB oracle (row counts only); the operators they
+compose are each checked against SQL in the other catalogue modules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators.encode import HashEncoder, index_texts, embed
+from quarry.plans.cat_training import _test_set
+from quarry.plans.common import TEST_CFG, eval_set
+from quarry.plans.pipelines import compare_models, compare_paired, leaderboard
+from quarry.plans.registry import query
+from quarry.sources.reports import (comparison_json, comparison_report, leaderboard_report,
+                                    result_json)
+from quarry.sources.tables import table
+
+TEXT_MODELS = {"hash64": HashEncoder(64, 1), "hash32": HashEncoder(32, 2)}
+RUN_STAMP = "2026-01-01 00:00:00"
+
+
+@query("hash_embed")
+def hash_embed(spark, sf):
+    """Distinct document texts encoded once; vector statistics."""
+    docs = table(spark, sf, "documents", spread_rows=True).select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("context"))
+    ix = index_texts(docs, "context", "ctx_id")
+    v = embed(ix, "ctx_id", TEXT_MODELS["hash64"])
+    return v.select("ctx_id", F.size("embedding").alias("dim"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"),
+                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("l1"))
+
+
+def _p2(spark, sf):
+    return leaderboard(eval_set(spark, sf), TEXT_MODELS)
+
+
+@query("text_leaderboard")
+def text_leaderboard(spark, sf):
+    """P2 on the template eval set with two hash encoders."""
+    return _p2(spark, sf)["board"]
+
+
+@query("text_examples")
+def text_examples(spark, sf):
+    r = _p2(spark, sf)["examples"]
+    return r.select("model", "query_id", "query", "rank", "ctx_id", "score")
+
+
+@query("report_lines")
+def report_lines(spark, sf):
+    r = _p2(spark, sf)
+    return leaderboard_report(r["board"], r["best"], r["examples"], r["composition"], RUN_STAMP)
+
+
+@query("result_json")
+def result_json_q(spark, sf):
+    r = _p2(spark, sf)
+    return result_json(r["board"], r["examples"], r["composition"], RUN_STAMP)
+
+
+@query("compare_models")
+def compare_models_q(spark, sf):
+    """P3 evaluation: multi-relevant metrics, base vs candidate encoder."""
+    return compare_models(eval_set(spark, sf), TEXT_MODELS["hash32"], TEXT_MODELS["hash64"])
+
+
+def _p4(spark, sf):
+    return compare_paired(_test_set(spark, sf), TEXT_MODELS["hash32"], TEXT_MODELS["hash64"], TEST_CFG)
+
+
+@query("compare_paired")
+def compare_paired_q(spark, sf):
+    """P4 evaluation: simulated metrics, base vs candidate encoder."""
+    return _p4(spark, sf)["improvement"]
+
+
+@query("comparison_report")
+def comparison_report_q(spark, sf):
+    r = _p4(spark, sf)
+    return comparison_report(r["improvement"], r["best_metric"], r["faithfulness"], "hash32", "hash64",
+                             RUN_STAMP)
+
+
+@query("comparison_json")
+def comparison_json_q(spark, sf):
+    return comparison_json(_p4(spark, sf)["improvement"], "hash32", "hash64", RUN_STAMP)

@@ -26,7 +26,21 @@ def query(name: str, sql: str | None = None):
 
 def all_queries() -> dict[str, QueryFn]:
     _load()
-    return dict(_QUERIES)
+    return {name: _prepared(fn) for name, fn in _QUERIES.items()}
+
+
+def _prepared(fn: QueryFn) -> QueryFn:
+    """Wrap a query so the session has a checkpoint folder and the workers
+    can import the package before the plan is built."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quarry.session import ensure_checkpoint_dir, ship_package
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
 
 
 def all_sql() -> dict[str, str]:

@@ -36,6 +36,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,3 +57,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (pandas UDFs pickle
+    references to its modules). On a cluster the package is passed with
+    ``--py-files``; in local mode it is zipped once per application and added
+    with ``addPyFile``."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    if not (sc.master or "").startswith("local"):
+        _SHIPPED.add(sc.applicationId)
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="quarry-pyfiles-")
+    archive = shutil.make_archive(os.path.join(staging, "quarry"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="quarry")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
