@@ -51,3 +51,19 @@ def sql_hash_int(parts: list[str], digits: int = 8) -> str:
 def sql_hash_key(parts: list[str]) -> str:
     joined = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"md5(concat_ws('|', {joined}))"
+
+
+def ring_offsets(n: Column, pool: Column, seed: int, key: Column, tag: str) -> Column:
+    """``n`` distinct values of ``[0, pool)`` (array<bigint>, draw order).
+
+    Draw j is uniform over the ``pool - j`` values not drawn yet: a hash mod
+    ``pool - j`` shifted past the earlier draws in ascending order. Needs only
+    ``n`` hashes, whatever the pool size."""
+    def step(acc, j):
+        r = F.pmod(hash_int(seed, tag, key, j, digits=15), pool - j)
+        placed = F.aggregate(F.sort_array(acc), r,
+                             lambda x, s: F.when(x >= s, x + F.lit(1)).otherwise(x))
+        return F.concat(acc, F.array(placed))
+    draws = F.filter(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - F.lit(1), F.lit(0)).cast("bigint")),
+                     lambda j: j < n)
+    return F.aggregate(draws, F.array().cast("array<bigint>"), step)

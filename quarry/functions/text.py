@@ -16,7 +16,24 @@ from pyspark.sql import functions as F
 from quarry.functions.rand import hash_int, hash_key
 
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-WS_CLASS = "[" + "".join("\\x{%x}" % ord(c) for c in WHITESPACE) + "]"
+
+
+def _ranges(chars: str) -> str:
+    """Regex class body for a set of characters, consecutive code points merged."""
+    cps = sorted(ord(c) for c in chars)
+    out, start, prev = [], cps[0], cps[0]
+    for cp in cps[1:] + [None]:
+        if cp is not None and cp == prev + 1:
+            prev = cp
+            continue
+        out.append("\\x{%x}" % start if start == prev else "\\x{%x}-\\x{%x}" % (start, prev))
+        if cp is not None:
+            start = prev = cp
+    return "".join(out)
+
+
+WS_CLASS = "[" + _ranges(WHITESPACE) + "]"
+NOT_WS = "[^" + _ranges(WHITESPACE) + "]"
 TAG_PATTERN = "<([^>]+)>"
 LETTERS_ONLY = "^\\p{L}+$"
 LINE_BREAK = "\\r\\n|\\r|\\n"
@@ -31,9 +48,14 @@ def ustrip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITESPACE))
 
 
+# Java's Unicode \s (White_Space) plus U+001C..U+001F is exactly the set
+# above; this form is much faster to match than an explicit class.
+JAVA_WS = "(?U)[\\s\\x{1c}-\\x{1f}]"
+
+
 def split_ws(col: Column) -> Column:
     """Whitespace tokens of an already stripped string (``str.split()``)."""
-    return F.filter(F.split(col, WS_CLASS + "+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(col, JAVA_WS + "+"), lambda t: t != F.lit(""))
 
 
 def split_lines(col: Column) -> Column:
@@ -73,7 +95,8 @@ def opposite_genres(genres: Column, whitelist: Iterable[str]) -> Column:
 
 
 def keyword_candidates(body: Column, min_len: int = 5) -> Column:
-    """Whitespace tokens of at least ``min_len`` characters made only of letters."""
+    """Whitespace tokens of at least ``min_len`` characters made only of
+    letters, in text order (Python: ``len(w) >= min_len and w.isalpha()``)."""
     return F.filter(split_ws(body),
                     lambda w: (F.length(w) >= min_len) & w.rlike(LETTERS_ONLY))
 
@@ -81,13 +104,12 @@ def keyword_candidates(body: Column, min_len: int = 5) -> Column:
 def sample_keywords(cands: Column, key: Column, seed: int, tag: str,
                     max_keywords: int = 3) -> Column:
     """Pick n = min(#cands, uniform{1..max}) candidates by position, without
-    replacement, in seeded random order."""
-    n = F.least(F.size(cands), F.lit(1) + F.pmod(hash_int(seed, tag + "#n", key), F.lit(max_keywords)))
-    scored = F.transform(
-        cands,
-        lambda w, i: F.struct(hash_key(seed, tag, key, i).alias("h"), i.alias("pos"), w.alias("w")))
-    picked = F.slice(F.array_sort(scored), 1, n)
-    return F.transform(picked, lambda x: x["w"])
+    replacement, in draw order (sequential draws, see ``ring_offsets``)."""
+    from quarry.functions.rand import ring_offsets
+    n = F.least(F.size(cands).cast("bigint"),
+                F.lit(1) + F.pmod(hash_int(seed, tag + "#n", key), F.lit(max_keywords)))
+    offs = ring_offsets(n, F.size(cands).cast("bigint"), seed, key, tag)
+    return F.transform(offs, lambda o: F.element_at(cands, (o + F.lit(1)).cast("int")))
 
 
 def strip_starters(q: Column, starters: Iterable[str]) -> Column:

@@ -39,11 +39,17 @@ def kw_cands(body: str) -> str:
             r"lambda w: length(w) >= 5 AND regexp_full_match(w, '\p{L}+'))")
 
 
+def ring_offsets_sql(n: str, pool: str, key: str, tag: str = "neg") -> str:
+    """Same draws as quarry.functions.rand.ring_offsets."""
+    step = (f"list_reduce(list_sort(acc), lambda x, s: CASE WHEN x >= s THEN x + 1 ELSE x END, "
+            f"{h([str(SEED), repr(tag), key, 'j'], 15)} % ({pool} - j))")
+    return f"list_reduce(range({n}), lambda acc, j: list_append(acc, {step}), []::BIGINT[])"
+
+
 def kw_sample(cands: str, key: str, tag: str) -> str:
     n = f"least(len({cands}), 1 + {h([str(SEED), repr(tag + '#n'), key])} % 3)"
-    scored = (f"list_transform({cands}, lambda w, i: {{'h': "
-              f"{hkey([str(SEED), repr(tag), key, '(i - 1)'])}, 'pos': i - 1, 'w': w}})")
-    return f"list_transform(list_slice(list_sort({scored}), 1, {n}), lambda x: x.w)"
+    offs = ring_offsets_sql(n, f"len({cands})", key, tag)
+    return f"list_transform({offs}, lambda o: {cands}[o + 1])"
 
 
 TAGGED = """tagged AS (
@@ -116,12 +122,6 @@ def alt_rows_cte(parsed: str, key: str, name: str = "alt_rows") -> str:
   FROM {name}_u)"""
 
 
-def ring_offsets_sql(n: str, pool: str, key: str, tag: str = "neg") -> str:
-    step = (f"list_reduce(list_sort(acc), lambda x, s: CASE WHEN x >= s THEN x + 1 ELSE x END, "
-            f"{h([str(SEED), repr(tag), key, 'j'], 15)} % ({pool} - j))")
-    return f"list_reduce(range({n}), lambda acc, j: list_append(acc, {step}), []::BIGINT[])"
-
-
 def contexts_cte(src: str, order: str, name: str = "ctx") -> str:
     """Distinct contexts of ``src`` with dense first-seen ids, plus their count."""
     firsts = ", ".join(f"{c.strip()} AS first_{c.strip()}" for c in order.split(","))
