@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def load_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     if not paths:
         raise ValueError("no corpus files given")
     pos = F.lit(None).cast("int")
+    file_path = F.regexp_replace(F.col("_file"), _SCHEME, "")
     for i, p in enumerate(paths):
-        pos = F.when(F.col("_file") == F.lit(_uri(spark, p)), F.lit(i)).otherwise(pos)
+        pos = F.when(file_path == F.lit(re.sub(_SCHEME, "", _uri(spark, p))), F.lit(i)).otherwise(pos)
     raw = (spark.read.format("text").load(paths)
            .select(F.col("value"), F.col("_metadata.file_path").alias("_file"),
                    F.monotonically_increasing_id().alias("_line")))
@@ -30,6 +33,9 @@ def load_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                .filter(F.col("text") != F.lit("")))
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def _uri(spark: SparkSession, p: str) -> str:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(p)  # noqa: SLF001
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
