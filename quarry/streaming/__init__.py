@@ -1,0 +1,2 @@
+from quarry.streaming.evalset_stream import (corpus_stream, eval_set_stream,  # noqa: F401
+                                             start_eval_set_sink)
