@@ -71,14 +71,16 @@ def pandas_encoder(fn: Callable[[list[str]], np.ndarray], dim: int) -> Callable[
 
 
 def index_texts(rows: DataFrame, text_col: str, id_col: str,
-                order_cols: tuple[str, ...] = ("row_id",)) -> DataFrame:
+                order_cols: tuple[str, ...] = ("row_id",), with_total: bool = False):
     """Distinct texts of ``text_col`` with a dense id in first-seen order:
-    ``<id_col>, text``."""
+    ``<id_col>, text`` (and the number of distinct texts with ``with_total``)."""
     order_cols = list(order_cols)
     g = (rows.groupBy(F.col(text_col).alias("text"))
              .agg(F.min(F.struct(*order_cols)).alias("_first"))
              .select("text", *[F.col("_first")[c].alias(f"_o{i}") for i, c in enumerate(order_cols)]))
-    return dense_index(g, [f"_o{i}" for i in range(len(order_cols))], out=id_col).select(id_col, "text")
+    idx, total = dense_index(g, [f"_o{i}" for i in range(len(order_cols))], out=id_col, with_total=True)
+    idx = idx.select(id_col, "text")
+    return (idx, total) if with_total else idx
 
 
 def embed(index: DataFrame, id_col: str, encoder: Callable[[Column], Column]) -> DataFrame:

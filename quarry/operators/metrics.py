@@ -89,10 +89,13 @@ def judged_hits(hits: DataFrame, judg: DataFrame) -> DataFrame:
 
 
 def multi_query_metrics(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
-                        similarity: str = "cosine", hits: DataFrame | None = None) -> DataFrame:
-    """M5-M7 per distinct query: ``query_id, weight, p_at_1.., mrr, ndcg_at_5``."""
+                        similarity: str = "cosine", hits: DataFrame | None = None,
+                        n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+    """M5-M7 per distinct query: ``query_id, weight, p_at_1.., mrr, ndcg_at_5``.
+
+    ``n_queries`` / ``n_corpus`` (upper bounds suffice) only size the blocks."""
     judg = judgements(rows)
-    hits = hits if hits is not None else top_k(queries, corpus, 5, similarity)
+    hits = hits if hits is not None else top_k(queries, corpus, 5, similarity, n_queries, n_corpus)
     jh = judged_hits(hits, judg)
     rel1 = F.col("gain") == F.lit(1.0)
     disc = F.lit(1.0) / F.log2(F.col("rank") + F.lit(1))
@@ -118,7 +121,7 @@ def multi_query_metrics(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
     thr = (queries.join(best, "query_id")
                   .select("query_id", "embedding", (-F.col("_b.ns")).alias("thr_score"),
                           F.col("_b.c").alias("thr_ctx")))
-    ranks = rank_before(thr, corpus, similarity)
+    ranks = rank_before(thr, corpus, similarity, n_queries=n_queries, n_corpus=n_corpus)
     weights = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("weight"))
     return (weights.join(prec, "query_id", "left").join(ideal, "query_id", "left")
                    .join(ranks, "query_id", "left")
@@ -131,9 +134,10 @@ def multi_query_metrics(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
 
 
 def evaluate_multi(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
-                   similarity: str = "dot", hits: DataFrame | None = None) -> DataFrame:
+                   similarity: str = "dot", hits: DataFrame | None = None,
+                   n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """M8: one row; each metric summed over all rows (by query weight) / rows."""
-    per_q = multi_query_metrics(rows, queries, corpus, similarity, hits)
+    per_q = multi_query_metrics(rows, queries, corpus, similarity, hits, n_queries, n_corpus)
     total = F.sum("weight")
     return per_q.agg(*[F.coalesce(F.sum(F.col(c) * F.col("weight")) / total, F.lit(0.0)).alias(c)
                        for c in METRIC_COLS], total.alias("n_rows"))

@@ -11,6 +11,7 @@ from quarry.plans.common import TEST_CFG, eval_set
 from quarry.plans.registry import query
 from quarry.plans.sqlfrag import (EVAL_SET_CTES, SEED, TEST_SET_CTES, alt_rows_cte,
                                   contexts_cte, hkey, parsed_cte, ring_offsets_sql)
+from quarry.session import materialize
 from quarry.sources.tables import table
 
 SEP = " ||| "
@@ -149,7 +150,7 @@ SELECT row_id, aug_pos, epoch,
 FROM e""")
 def mini_batches_q(spark, sf):
     t = training_examples(eval_set(spark, sf), 3, TEST_CFG).select("row_id", "aug_pos")
-    return mini_batches(t, ["row_id", "aug_pos"], batch_size=16, epochs=2, seed=SEED)
+    return mini_batches(materialize(t), ["row_id", "aug_pos"], batch_size=16, epochs=2, seed=SEED)
 
 
 @query("run_manifest", sql=f"""

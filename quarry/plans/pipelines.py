@@ -51,17 +51,20 @@ class IndexedRows:
     rows: DataFrame      # row_id, query_id, ctx_id, relevance
     queries: DataFrame   # query_id, text
     contexts: DataFrame  # ctx_id, text
+    n_queries: int
+    n_contexts: int
 
 
 def index_eval_rows(eval_rows: DataFrame) -> IndexedRows:
     """Distinct query and context texts get dense ids; rows keep only ids."""
-    qi = _ckpt(index_texts(eval_rows, "query", "query_id"))
-    ci = _ckpt(index_texts(eval_rows, "context", "ctx_id"))
+    eval_rows = _ckpt(eval_rows.select("row_id", "query", "context", "relevance"))
+    qi, nq = index_texts(eval_rows, "query", "query_id", with_total=True)
+    ci, nc = index_texts(eval_rows, "context", "ctx_id", with_total=True)
     rows = (eval_rows.select("row_id", "query", "context", "relevance")
             .join(qi.withColumnRenamed("text", "query"), "query")
             .join(ci.withColumnRenamed("text", "context"), "context")
             .select("row_id", "query_id", "ctx_id", "relevance"))
-    return IndexedRows(_ckpt(rows), qi, ci)
+    return IndexedRows(_ckpt(rows), qi, ci, nq, nc)
 
 
 def _vectors(ix: IndexedRows, encoder: Encoder):
@@ -82,10 +85,12 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
                                "query_id bigint, text string")
     for pos, (name, enc) in enumerate(models.items()):
         qv, cv = _vectors(ix, enc)
-        m = evaluate_rowwise(ix.rows, qv, cv, "cosine")
+        hits5 = top_k(qv, cv, 5, "cosine", n_queries=ix.n_queries, n_corpus=ix.n_contexts)
+        m = evaluate_rowwise(ix.rows, qv, cv, "cosine", hits=hits5)
         boards.append(m.select(F.lit(name).alias("model"), F.lit(pos).alias("model_pos"), *METRIC_COLS,
                                "n_rows"))
-        hits = top_k(embed(ex, "query_id", enc), cv, k_examples, "cosine")
+        hits = top_k(embed(ex, "query_id", enc), cv, k_examples, "cosine",
+                     n_queries=len(example_queries), n_corpus=ix.n_contexts)
         examples.append(hits.select(F.lit(name).alias("model"), "query_id", "rank", "ctx_id", "score"))
     board = _ckpt(reduce(lambda a, b: a.unionByName(b), boards))
     best = best_model(board).select("model", "mrr")
@@ -115,7 +120,9 @@ def compare_models(eval_rows: DataFrame, base: Encoder, candidate: Encoder,
     parts = []
     for name, enc in (("base", base), ("candidate", candidate)):
         qv, cv = _vectors(ix, enc)
-        e = evaluate_multi(ix.rows, qv, cv, similarity)
+        hits5 = top_k(qv, cv, 5, similarity, n_queries=ix.n_queries, n_corpus=ix.n_contexts)
+        e = evaluate_multi(ix.rows, qv, cv, similarity, hits=hits5,
+                           n_queries=ix.n_queries, n_corpus=ix.n_contexts)
         parts.append(wide_to_long(e.withColumn("model", F.lit(name)), list(METRIC_COLS), list(METRICS)))
     means = reduce(lambda a, b: a.unionByName(b), parts)
     return improvement(means, "base", "candidate")

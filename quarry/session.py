@@ -32,6 +32,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        # AQE converts a join to a broadcast only when the side's measured
+        # runtime size is below this; larger sides stay sort-merge joins
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -81,3 +84,13 @@ def ship_package(spark: SparkSession) -> None:
                                   root_dir=os.path.dirname(pkg_dir), base_dir="quarry")
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+def materialize(df):
+    """Eagerly checkpoint ``df`` to the shared checkpoint folder.
+
+    Used where a table is read more than once downstream: it is computed
+    once, lineage (and the analysed plan) is cut, and lost executors recompute
+    only from the written files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
