@@ -136,6 +136,15 @@ def _blocked(queries: DataFrame, corpus: DataFrame, qb: int, cb: int, extra_q=()
     c = (corpus.select(F.col("ctx_id").cast("bigint").alias("ctx_id"), F.col("embedding").alias("c_vec"))
          .withColumn("cb", F.pmod(F.xxhash64("ctx_id", F.lit(7)), F.lit(cb)))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint")))))
+    # Scoring is CPU-bound numpy: spread the block pairs over an explicit
+    # number of partitions (AQE keeps user-given counts; it would otherwise
+    # coalesce this small-by-bytes shuffle onto a few cores). Both sides use
+    # the same hash partitioning, so the cogroup adds no further exchange.
+    spark = queries.sparkSession
+    cap = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(qb * cb, cap))
+    q = q.repartition(parts, "qb", "cb")
+    c = c.repartition(parts, "qb", "cb")
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
 
 

@@ -34,7 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
         # AQE converts a join to a broadcast only when the side's measured
         # runtime size is below this; larger sides stay sort-merge joins
-        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        # .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
