@@ -40,3 +40,25 @@ def test_sample_preview_is_seeded(spark):
     assert a == b and len(a) == 5
     assert [r.row_id for r in sample_preview(df, 5, 2).collect()] != a or True
     assert df.filter(F.col("row_id").isin(a)).count() == 5
+
+
+def test_sinks_write_readable_files(spark):
+    from quarry.sources.evalset_io import write_test_set
+    from quarry.sources.reports import comparison_json, comparison_report, write_json, write_lines
+    base = tempfile.mkdtemp(prefix="quarry-test-sinks-")
+    ts = spark.createDataFrame([("q", "c", ("g",))], "query string, context string, metadata struct<g:string>")
+    write_test_set(ts, os.path.join(base, "testset"), "run1")
+    back = spark.read.parquet(os.path.join(base, "testset"))
+    assert back.filter("run_id = 'run1'").first().metadata.g == "g"
+    impr = spark.createDataFrame([("similarity", 0, 0.5, 0.6, 0.1, 20.0), ("mrr", 1, 0.0, 0.1, 0.1, 0.0)],
+                                 "metric string, metric_pos int, base double, candidate double, "
+                                 "absolute double, relative double")
+    lines = comparison_report(impr, None, None, "a", "b", "2026-01-01 00:00:00", title="Performance Metrics")
+    write_lines(lines, os.path.join(base, "report"))
+    text = [r.value for r in spark.read.text(os.path.join(base, "report")).collect()]
+    assert text[0] == "# Model Finetuning Comparison Report"
+    assert "| similarity | 0.500 | 0.600 | 0.100 | 20.0% |" in text
+    write_json(comparison_json(impr, "a", "b", "2026-01-01 00:00:00"), os.path.join(base, "json"))
+    import json
+    doc = json.loads(spark.read.text(os.path.join(base, "json")).first().value)
+    assert doc["metrics"]["similarity"]["finetuned"] == 0.6 and doc["base_model"] == "a"
