@@ -120,11 +120,21 @@ def _count_block(q: pd.DataFrame, c: pd.DataFrame, cosine: bool) -> pd.DataFrame
 
 def plan_blocks(n_queries: int, n_corpus: int, parallelism: int,
                 query_block_rows: int = 4096, corpus_block_rows: int = 16384) -> tuple[int, int]:
-    """Number of query and corpus blocks. Corpus blocks are at least a few per
-    core so that groups spread evenly over the shuffle partitions."""
-    qb = max(1, math.ceil(n_queries / query_block_rows))
-    cb = max(math.ceil(n_corpus / corpus_block_rows), 4 * parallelism if n_corpus else 1, 1)
-    cb = min(cb, max(1, n_corpus))
+    """Numbers of query blocks QB and corpus blocks CB.
+
+    Rows moved are ``n_queries*CB + n_corpus*QB``; at least ``4*parallelism``
+    block pairs keep every core busy, and the block-row limits bound a
+    group's memory. Minimising the moved rows under QB*CB >= G gives
+    QB ~ sqrt(G*Q/C), CB ~ sqrt(G*C/Q); both are then raised to their limits."""
+    if n_queries <= 0 or n_corpus <= 0:
+        return 1, 1
+    groups = 4 * max(1, parallelism)
+    qb_min = math.ceil(n_queries / query_block_rows)
+    cb_min = math.ceil(n_corpus / corpus_block_rows)
+    qb = max(qb_min, round(math.sqrt(groups * n_queries / n_corpus)), 1)
+    cb = max(cb_min, math.ceil(groups / qb), 1)
+    qb = min(qb, n_queries)
+    cb = min(cb, n_corpus)
     return qb, cb
 
 
