@@ -71,15 +71,31 @@ def pandas_encoder(fn: Callable[[list[str]], np.ndarray], dim: int) -> Callable[
 
 
 def index_texts(rows: DataFrame, text_col: str, id_col: str,
-                order_cols: tuple[str, ...] = ("row_id",), with_total: bool = False):
-    """Distinct texts of ``text_col`` with a dense id in first-seen order:
-    ``<id_col>, text`` (and the number of distinct texts with ``with_total``)."""
+                order_cols: tuple[str, ...] = ("row_id",), with_total: bool = False,
+                dense: bool = False):
+    """Distinct texts of ``text_col`` with an exact id: ``<id_col>, text``.
+
+    By default the id is the first ``order_cols[0]`` value (e.g. ``row_id``) at
+    which the text occurs - unique per text, found with one partially
+    aggregated group-by. ``dense=True`` numbers texts 0..n-1 in first-seen
+    order instead (range partitioning + checkpoint). With ``with_total`` also
+    returns the number of distinct texts."""
+    from quarry.session import materialize
     order_cols = list(order_cols)
-    g = (rows.groupBy(F.col(text_col).alias("text"))
-             .agg(F.min(F.struct(*order_cols)).alias("_first"))
-             .select("text", *[F.col("_first")[c].alias(f"_o{i}") for i, c in enumerate(order_cols)]))
-    idx, total = dense_index(g, [f"_o{i}" for i in range(len(order_cols))], out=id_col, with_total=True)
-    idx = idx.select(id_col, "text")
+    if dense:
+        g = (rows.groupBy(F.col(text_col).alias("text"))
+                 .agg(F.min(F.struct(*order_cols)).alias("_first"))
+                 .select("text", *[F.col("_first")[c].alias(f"_o{i}") for i, c in enumerate(order_cols)]))
+        idx, total = dense_index(g, [f"_o{i}" for i in range(len(order_cols))], out=id_col,
+                                 with_total=True)
+        idx = idx.select(id_col, "text")
+    else:
+        if len(order_cols) != 1:
+            raise ValueError("first-seen ids need a single order column; use dense=True")
+        idx = materialize(rows.groupBy(F.col(text_col).alias("text"))
+                              .agg(F.min(order_cols[0]).cast("bigint").alias(id_col))
+                              .select(id_col, "text"))
+        total = idx.count() if with_total else None
     return (idx, total) if with_total else idx
 
 

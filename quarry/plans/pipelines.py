@@ -144,22 +144,21 @@ def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
                    order_cols: tuple[str, ...] = ("entry_id", "resp_id", "line_no")) -> dict:
     """Simulated RAG metrics of (query, context) pairs for two encoders.
 
-    Query and context texts are encoded once per distinct text; the pair
-    similarity is computed after two equi-joins on the dense ids."""
-    rows = (test_set.withColumn("row_id", F.concat_ws("|", *[F.col(c).cast("string") for c in order_cols]))
-                    .withColumn("context_empty", F.col("context") == F.lit("")))
-    qi = _ckpt(index_texts(rows, "query", "query_id", order_cols))
-    ci = _ckpt(index_texts(rows.filter(~F.col("context_empty")), "context", "ctx_id", order_cols))
-    ids = _ckpt(rows.join(qi.withColumnRenamed("text", "query"), "query")
-                    .join(ci.withColumnRenamed("text", "context"), "context", "left")
-                    .select("row_id", "query_id", "ctx_id", "context_empty"))
+    Query and context texts are encoded once per distinct text and joined
+    back on the text; the pair similarity follows the two equi-joins."""
+    rows = _ckpt(test_set.select(
+        F.concat_ws("|", *[F.col(c).cast("string") for c in order_cols]).alias("row_id"),
+        "query", "context", (F.col("context") == F.lit("")).alias("context_empty")))
+    qt = _ckpt(rows.select(F.col("query").alias("_qt")).distinct())
+    ct = _ckpt(rows.filter(~F.col("context_empty")).select(F.col("context").alias("_ct")).distinct())
     longs = []
     for name, enc in (("base", base), ("candidate", candidate)):
-        qv = embed(qi, "query_id", enc).withColumnRenamed("embedding", "_qe")
-        cv = embed(ci, "ctx_id", enc).withColumnRenamed("embedding", "_ce")
-        p = (ids.join(qv, "query_id").join(cv, "ctx_id", "left")
-                .select("row_id", "context_empty",
-                        pair_similarity(F.col("_qe"), F.col("_ce")).alias("similarity")))
+        qv = qt.select("_qt", enc(F.col("_qt")).alias("_qe"))
+        cv = ct.select("_ct", enc(F.col("_ct")).alias("_ce"))
+        p = (rows.join(qv, rows["query"] == qv["_qt"])
+                 .join(cv, rows["context"] == cv["_ct"], "left")
+                 .select("row_id", "context_empty",
+                         pair_similarity(F.col("_qe"), F.col("_ce")).alias("similarity")))
         longs.append(simulated_metrics(p, name, cfg))
     long = _ckpt(reduce(lambda a, b: a.unionByName(b), longs))
     impr = _ckpt(improvement(model_means(long), "base", "candidate"))
