@@ -1,9 +1,10 @@
 """Text encoders.
 
 An encoder maps a string Column to an ``array<float>`` Column. The default is
-a seeded feature-hashing bag of words: tokens are hashed in the JVM
-(``xxhash64``) and a vectorised pandas UDF turns each batch of hash arrays
-into dense signed bucket counts with one ``bincount``. Any other model can be
+a seeded feature-hashing bag of words: tokens are hashed in the JVM (md5
+prefix, the same seeded hash as everywhere else, so SQL engines can
+reproduce the vectors) and a vectorised pandas UDF turns each batch of hash
+arrays into dense signed bucket counts with one ``bincount``. Any other model can be
 plugged in with :func:`pandas_encoder` (Arrow batches in, vectors out).
 
 Texts are always encoded once per distinct value (:func:`index_texts`):
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quarry.functions.rand import hash_int
 from quarry.operators.ids import dense_index
 
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
@@ -40,9 +42,8 @@ def _bucket_udf(dim: int):
             flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes.values
                                    if h is not None and len(h) > 0])
             rows = np.repeat(np.arange(n), lens)
-            u = flat.view(np.uint64)
-            idx = (u % np.uint64(dim)).astype(np.int64)
-            sign = np.where((u >> np.uint64(63)) == 0, 1.0, -1.0)
+            idx = flat % dim
+            sign = np.where(((flat >> 40) & 1) == 0, 1.0, -1.0)
             out = np.bincount(rows * dim + idx, weights=sign, minlength=n * dim)
             out = out.reshape(n, dim).astype(np.float32)
         return pd.Series(list(out))
@@ -57,7 +58,8 @@ class HashEncoder:
     seed: int = 0
 
     def __call__(self, text: Column) -> Column:
-        hashed = F.transform(tokens(text), lambda t: F.xxhash64(t, F.lit(self.seed)))
+        # 60-bit md5 prefix per token: bucket = h mod dim, sign = bit 40
+        hashed = F.transform(tokens(text), lambda t: hash_int(self.seed, t, digits=15))
         return _bucket_udf(self.dim)(hashed)
 
 

@@ -1,8 +1,8 @@
 """Catalogue: text encoder, end-to-end text pipelines and reports.
 
-These run the hash encoder (JVM xxhash64 tokens) and produce formatted
-text, so they have no DuckDB oracle (row counts only); the operators they
-compose are each checked against SQL in the other catalogue modules."""
+The pipelines are checked against DuckDB end to end (the oracle rebuilds the
+hash-encoder vectors in SQL); the formatted reports have no oracle (Java and
+DuckDB round '%.3f' differently), their inputs are the checked tables."""
 
 from __future__ import annotations
 
@@ -13,15 +13,46 @@ from quarry.plans.cat_training import _test_set
 from quarry.plans.common import TEST_CFG, eval_set
 from quarry.plans.pipelines import compare_models, compare_paired, leaderboard
 from quarry.plans.registry import query
+from quarry.plans.sqlfrag import (EVAL_SET_CTES, TEST_SET_CTES, SEED, cos_sql, h, hash_vec_cte,
+                                  text_index_ctes, text_model_ctes)
+from quarry.plans.cat_metrics import _multi_sql, _rowwise_sql
+from quarry.config import DEFAULT_CONFIG, EXAMPLE_QUERIES
+from quarry.operators.metrics import METRIC_COLS, METRICS
 from quarry.sources.reports import (comparison_json, comparison_report, leaderboard_report,
                                     result_json)
 from quarry.sources.tables import table
 
 TEXT_MODELS = {"hash64": HashEncoder(64, 1), "hash32": HashEncoder(32, 2)}
+TEXT_DIMS = (("hash64", 64, 1, "h64_"), ("hash32", 32, 2, "h32_"))
+
+
+def _r(cols):
+    return [F.round(F.col(c), 6).alias(c) for c in cols]
+
+
+def _rs(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+EV = f"""{EVAL_SET_CTES},
+ev AS (SELECT row_id, query, context, relevance FROM eval_rows),
+{text_index_ctes()}"""
+
+BOARD_SQL = "WITH " + EV + ",\n" + ",\n".join(
+    f"{text_model_ctes(p, d, sd)},\n{_rowwise_sql(p)}" for _, d, sd, p in TEXT_DIMS) + """,
+board AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS model, {i} AS model_pos, "
+    + ", ".join(f"avg({c}) AS {c}" for c in METRIC_COLS) + f", count(*) AS n_rows FROM {p}m"
+    for i, (n, _, _, p) in enumerate(TEXT_DIMS)) + ")"
 RUN_STAMP = "2026-01-01 00:00:00"
 
 
-@query("hash_embed")
+@query("hash_embed", sql=f"""
+WITH docs AS (SELECT text, min(doc_id) AS ctx_id FROM documents GROUP BY text),
+{hash_vec_cte('hv', 'docs', 'ctx_id', 'text', 64, 1)}
+SELECT vid AS ctx_id, len(v) AS dim, len(list_filter(v, lambda x: x <> 0)) AS nnz,
+       round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1
+FROM hv""")
 def hash_embed(spark, sf):
     """Distinct document texts encoded once; vector statistics."""
     docs = table(spark, sf, "documents", spread_rows=True).select(
@@ -30,23 +61,46 @@ def hash_embed(spark, sf):
     v = embed(ix, "ctx_id", TEXT_MODELS["hash64"])
     return v.select("ctx_id", F.size("embedding").alias("dim"),
                     F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"),
-                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("l1"))
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("l1"))
 
 
 def _p2(spark, sf):
     return leaderboard(eval_set(spark, sf), TEXT_MODELS)
 
 
-@query("text_leaderboard")
+@query("text_leaderboard", sql=f"""{BOARD_SQL}
+SELECT model, model_pos, {_rs(METRIC_COLS)}, n_rows FROM board""")
 def text_leaderboard(spark, sf):
     """P2 on the template eval set with two hash encoders."""
-    return _p2(spark, sf)["board"]
-
-
-@query("text_examples")
+    b = _p2(spark, sf)["board"]
+    return b.select("model", "model_pos", *_r(METRIC_COLS), "n_rows")
+
+
+def _examples_sql() -> str:
+    ex = "ex(query_id, text) AS (VALUES " + ", ".join(
+        f"({i}, '{q}')" for i, q in enumerate(EXAMPLE_QUERIES)) + ")"
+    parts = []
+    for n, d, sd, p in TEXT_DIMS:
+        parts.append(f"""{hash_vec_cte(p + 'ex', 'ex', 'query_id', 'text', d, sd)},
+{p}exr AS (
+  SELECT '{n}' AS model, e.vid AS query_id, c.vid AS ctx_id, {cos_sql('e.v', 'c.v')} AS score
+  FROM {p}ex e CROSS JOIN {p}cv c)""")
+    hits = "\nUNION ALL\n".join(f"SELECT * FROM {p}exr" for _, _, _, p in TEXT_DIMS)
+    return f"""{BOARD_SQL},
+{ex},
+{",\n".join(parts)},
+best AS (SELECT model FROM board ORDER BY mrr DESC, model_pos LIMIT 1),
+hits AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, ctx_id) AS rank
+         FROM ({hits}))
+SELECT hits.model, hits.query_id, ex.text AS query, hits.rank::INTEGER AS rank, hits.ctx_id,
+       round(hits.score, 6) AS score
+FROM hits JOIN best USING (model) JOIN ex USING (query_id) WHERE rank <= 3"""
+
+
+@query("text_examples", sql=_examples_sql())
 def text_examples(spark, sf):
     r = _p2(spark, sf)["examples"]
-    return r.select("model", "query_id", "query", "rank", "ctx_id", "score")
+    return r.select("model", "query_id", "query", "rank", "ctx_id", F.round("score", 6).alias("score"))
 
 
 @query("report_lines")
@@ -61,20 +115,70 @@ def result_json_q(spark, sf):
     return result_json(r["board"], r["examples"], r["composition"], RUN_STAMP)
 
 
-@query("compare_models")
+IMPR = ("base", "candidate", "absolute", "relative")
+
+
+def _impr_sql(long_cte: str) -> str:
+    return f"""{long_cte},
+means AS (SELECT model, metric, min(metric_pos) AS metric_pos, avg(value) AS value FROM long GROUP BY ALL),
+impr AS (
+  SELECT b.metric, b.metric_pos, b.value AS base, c.value AS candidate, c.value - b.value AS absolute,
+         CASE WHEN b.value <> 0 THEN (c.value - b.value) / b.value * 100 ELSE 0.0 END AS relative
+  FROM means b JOIN means c ON b.metric = c.metric AND b.model = 'base' AND c.model = 'candidate')
+SELECT metric, metric_pos, {_rs(IMPR)} FROM impr"""
+
+
+def _compare_models_sql() -> str:
+    models = (("base", 32, 2, "cb_"), ("candidate", 64, 1, "cc_"))
+    ctes = ",\n".join(f"{text_model_ctes(p, d, sd, 'dot')},\n{_multi_sql(p)}" for _, d, sd, p in models)
+    longs = []
+    for n, _, _, p in models:
+        for i, (c, m) in enumerate(zip(METRIC_COLS, METRICS)):
+            longs.append(f"SELECT '{n}' AS model, '{m}' AS metric, {i} AS metric_pos, "
+                         f"sum({c} * weight) / sum(weight) AS value FROM {p}mq")
+    return _impr_sql(f"WITH {EV},\n{ctes},\nlong AS (" + "\nUNION ALL\n".join(longs) + ")")
+
+
+@query("compare_models", sql=_compare_models_sql())
 def compare_models_q(spark, sf):
     """P3 evaluation: multi-relevant metrics, base vs candidate encoder."""
-    return compare_models(eval_set(spark, sf), TEXT_MODELS["hash32"], TEXT_MODELS["hash64"])
+    i = compare_models(eval_set(spark, sf), TEXT_MODELS["hash32"], TEXT_MODELS["hash64"])
+    return i.select("metric", "metric_pos", *_r(IMPR))
 
 
 def _p4(spark, sf):
     return compare_paired(_test_set(spark, sf), TEXT_MODELS["hash32"], TEXT_MODELS["hash64"], TEST_CFG)
 
 
-@query("compare_paired")
+def _compare_paired_sql() -> str:
+    models = (("base", 32, 2, "pb_"), ("candidate", 64, 1, "pc_"))
+    ctes = [f"""tsr AS (
+  SELECT concat_ws('|', entry_id, resp_id, line_no) AS row_id, query, context, context = '' AS context_empty
+  FROM test_set),
+qt AS (SELECT DISTINCT query AS text FROM tsr),
+ct AS (SELECT DISTINCT context AS text FROM tsr WHERE NOT context_empty)"""]
+    sims = []
+    for n, d, sd, p in models:
+        ctes.append(hash_vec_cte(p + "q", "qt", "text", "text", d, sd))
+        ctes.append(hash_vec_cte(p + "c", "ct", "text", "text", d, sd))
+        sims.append(f"""SELECT '{n}' AS model, r.row_id, r.context_empty,
+       CASE WHEN c.v IS NULL THEN 0.0 ELSE {cos_sql('q.v', 'c.v')} END AS s
+  FROM tsr r JOIN {p}q q ON q.vid = r.query LEFT JOIN {p}c c ON c.vid = r.context""")
+    longs = ["SELECT model, row_id, 'similarity' AS metric, 0 AS metric_pos, "
+             "CASE WHEN context_empty THEN 0.0 ELSE s END AS value FROM sim"]
+    for i, (name, scale, width) in enumerate(DEFAULT_CONFIG.simulated, start=1):
+        u = f"({h([str(SEED), 'model', 'row_id', repr(name)])})::DOUBLE / 4294967296.0"
+        longs.append(
+            f"SELECT model, row_id, '{name}', {i}, CASE WHEN context_empty THEN 0.0 ELSE "
+            f"greatest(0.0, least(1.0, s * {scale}::DOUBLE + (({u}) * 2 - 1) * {width}::DOUBLE)) END FROM sim")
+    return _impr_sql(f"WITH {TEST_SET_CTES},\n" + ",\n".join(ctes) + ",\nsim AS ("
+                     + "\nUNION ALL\n".join(sims) + "),\nlong AS (" + "\nUNION ALL\n".join(longs) + ")")
+
+
+@query("compare_paired", sql=_compare_paired_sql())
 def compare_paired_q(spark, sf):
     """P4 evaluation: simulated metrics, base vs candidate encoder."""
-    return _p4(spark, sf)["improvement"]
+    return _p4(spark, sf)["improvement"].select("metric", "metric_pos", *_r(IMPR))
 
 
 @query("comparison_report")

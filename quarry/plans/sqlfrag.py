@@ -187,3 +187,43 @@ def emb_ctes(dims: int = 64, outer: bool = False, sim: str = "cos", p: str = "")
   FROM {p}qs qs JOIN {p}e q ON q.vec_id = qs.query_id CROSS JOIN {p}cs cs JOIN {p}e c ON c.vec_id = cs.ctx_id),
 {p}ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ctx_id) AS rank FROM {p}pairs)"""
+
+
+def hash_vec_cte(name: str, src: str, id_col: str, text_col: str, dim: int, seed: int) -> str:
+    """Vectors of the default hash encoder (see quarry.operators.encode):
+    ``<name>(vid, v)`` with signed bucket counts over lower-cased
+    letter/digit tokens."""
+    return f"""{name}_tok AS (
+  SELECT {id_col} AS vid, unnest(regexp_split_to_array(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) AS t
+  FROM {src}),
+{name}_h AS (SELECT vid, {h([str(seed), 't'], 15)} AS hv FROM {name}_tok WHERE t <> ''),
+{name}_b AS (
+  SELECT vid, hv % {dim} AS b, sum(CASE WHEN (hv >> 40) & 1 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v
+  FROM {name}_h GROUP BY ALL),
+{name} AS (
+  SELECT i.vid, list(coalesce(c.v, 0.0) ORDER BY r.b) AS v
+  FROM (SELECT DISTINCT {id_col} AS vid FROM {src}) i CROSS JOIN range({dim}) r(b)
+  LEFT JOIN {name}_b c ON c.vid = i.vid AND c.b = r.b
+  GROUP BY i.vid)"""
+
+
+def text_index_ctes(ev: str = "ev") -> str:
+    """First-seen ids of distinct query / context texts and the id rows."""
+    return f"""qi AS (SELECT query AS text, min(row_id) AS query_id FROM {ev} GROUP BY query),
+ci AS (SELECT context AS text, min(row_id) AS ctx_id FROM {ev} GROUP BY context),
+trows AS (
+  SELECT e.row_id, qi.query_id, ci.ctx_id, e.relevance
+  FROM {ev} e JOIN qi ON qi.text = e.query JOIN ci ON ci.text = e.context)"""
+
+
+def text_model_ctes(p: str, dim: int, seed: int, sim: str = "cos") -> str:
+    """Vectors, all query x context scores and ranks of one hash model."""
+    simf = cos_sql if sim == "cos" else dot_sql
+    return f"""{hash_vec_cte(p + 'qv', 'qi', 'query_id', 'text', dim, seed)},
+{hash_vec_cte(p + 'cv', 'ci', 'ctx_id', 'text', dim, seed)},
+{p}rows AS (SELECT * FROM trows),
+{p}pairs AS (
+  SELECT q.vid AS query_id, c.vid AS ctx_id, {simf('q.v', 'c.v')} AS score
+  FROM {p}qv q CROSS JOIN {p}cv c),
+{p}ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ctx_id) AS rank FROM {p}pairs)"""
