@@ -56,6 +56,9 @@ class HashEncoder:
 
     dim: int = 64
     seed: int = 0
+    # cheaper to recompute than to write and read back: pipelines do not
+    # checkpoint its vectors (plug-in model encoders are checkpointed)
+    materialize_output: bool = False
 
     def __call__(self, text: Column) -> Column:
         # 60-bit md5 prefix per token: bucket = h mod dim, sign = bit 40
@@ -102,5 +105,9 @@ def index_texts(rows: DataFrame, text_col: str, id_col: str,
 
 
 def embed(index: DataFrame, id_col: str, encoder: Callable[[Column], Column]) -> DataFrame:
-    """Vectors of an id/text index: ``<id_col>, embedding``."""
-    return index.select(id_col, encoder(F.col("text")).alias("embedding"))
+    """Vectors of an id/text index: ``<id_col>, embedding``.
+
+    Encoding is CPU-bound: an index that arrives in fewer partitions than
+    cores (AQE coalesces small-by-bytes shuffles) is spread first."""
+    from quarry.sources.tables import spread
+    return spread(index).select(id_col, encoder(F.col("text")).alias("embedding"))

@@ -27,6 +27,7 @@ from quarry.operators.responses import failed_requests, parse_responses, render_
 from quarry.operators.retrieve import pair_similarity, top_k
 from quarry.operators.training import mini_batches, run_manifest, training_examples, training_labelled
 from quarry.session import ensure_checkpoint_dir
+from quarry.sources.tables import spread
 
 Encoder = Callable[[Column], Column]
 
@@ -68,8 +69,11 @@ def index_eval_rows(eval_rows: DataFrame) -> IndexedRows:
 
 
 def _vectors(ix: IndexedRows, encoder: Encoder):
-    return (_ckpt(embed(ix.queries, "query_id", encoder)),
-            _ckpt(embed(ix.contexts, "ctx_id", encoder)))
+    """Query and context vectors; written to the checkpoint folder unless the
+    encoder says recomputing is cheaper (``materialize_output = False``)."""
+    keep = _ckpt if getattr(encoder, "materialize_output", True) else (lambda df: df)
+    return (keep(embed(ix.queries, "query_id", encoder)),
+            keep(embed(ix.contexts, "ctx_id", encoder)))
 
 
 # -- P2 -------------------------------------------------------------------------
@@ -149,8 +153,8 @@ def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
     rows = _ckpt(test_set.select(
         F.concat_ws("|", *[F.col(c).cast("string") for c in order_cols]).alias("row_id"),
         "query", "context", (F.col("context") == F.lit("")).alias("context_empty")))
-    qt = _ckpt(rows.select(F.col("query").alias("_qt")).distinct())
-    ct = _ckpt(rows.filter(~F.col("context_empty")).select(F.col("context").alias("_ct")).distinct())
+    qt = spread(_ckpt(rows.select(F.col("query").alias("_qt")).distinct()))
+    ct = spread(_ckpt(rows.filter(~F.col("context_empty")).select(F.col("context").alias("_ct")).distinct()))
     longs = []
     for name, enc in (("base", base), ("candidate", candidate)):
         qv = qt.select("_qt", enc(F.col("_qt")).alias("_qe"))
