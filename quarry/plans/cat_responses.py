@@ -12,7 +12,7 @@ from quarry.plans.cat_training import _test_set
 from quarry.plans.common import TEST_CFG, eval_set, tagged
 from quarry.plans.registry import query
 from quarry.plans.sqlfrag import (EVAL_SET_CTES, SEED, STARTERS_SQL, TAGGED, TEST_SET_CTES,
-                                  clean_query_sql, hkey, parsed_cte, sql_list, strip)
+                                  clean_query_sql, hkey, parsed_cte, strip)
 from quarry.session import scratch_dir
 from quarry.sources.evalset_io import read_eval_csv, sample_preview, write_eval_csv
 from quarry.sources.tables import table

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import (keyword_candidates, sample_keywords, split_lines, ustrip)
+from quarry.functions.text import keyword_candidates, ustrip
 from quarry.operators.parse import parse_entries, to_documents
 from quarry.operators.querygen import add_alternative_queries
 from quarry.plans.common import TEST_CFG, eval_set, joined, tagged
 from quarry.plans.registry import query
-from quarry.plans.sqlfrag import (EVAL_SET_CTES, SEED, TAGGED, kw_cands, kw_sample, parsed_cte,
+from quarry.plans.sqlfrag import (EVAL_SET_CTES, TAGGED, kw_cands, kw_sample, parsed_cte,
                                   strip)
 from quarry.sources.corpus import table_lines
 from quarry.sources.tables import table

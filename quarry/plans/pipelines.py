@@ -25,7 +25,7 @@ from quarry.operators.parse import to_documents
 from quarry.operators.querygen import generate_queries
 from quarry.operators.responses import failed_requests, parse_responses, render_requests
 from quarry.operators.retrieve import pair_similarity, top_k
-from quarry.operators.training import mini_batches, run_manifest, training_examples, training_labelled
+from quarry.operators.training import mini_batches, run_manifest, training_examples
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import spread
 

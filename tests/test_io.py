@@ -62,3 +62,16 @@ def test_sinks_write_readable_files(spark):
     import json
     doc = json.loads(spark.read.text(os.path.join(base, "json")).first().value)
     assert doc["metrics"]["similarity"]["finetuned"] == 0.6 and doc["base_model"] == "a"
+
+
+def test_missing_file_and_empty_corpus(spark):
+    import pytest
+    from quarry.sources.corpus import require_rows
+    d = tempfile.mkdtemp(prefix="quarry-test-guard-")
+    with pytest.raises(Exception):
+        load_lines(spark, [os.path.join(d, "does-not-exist.txt")]).collect()
+    empty = os.path.join(d, "blank.txt")
+    with open(empty, "w") as f:
+        f.write("\n  \n\t\n")
+    with pytest.raises(ValueError):
+        require_rows(load_lines(spark, [empty]))

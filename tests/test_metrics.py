@@ -124,3 +124,35 @@ def test_dataset_composition(spark):
     df = spark.createDataFrame([(1.0,), (0.0,), (1.0,), (0.5,)], "relevance double")
     r = dataset_composition(df).first()
     assert (r.total_examples, r.positive_examples, r.negative_examples) == (4, 2, 1)
+
+
+def test_hot_query_skew_matches_python(spark):
+    """One query id in a third of the rows (and duplicate pairs): results stay
+    equal to the plain-Python model of both families."""
+    rng = np.random.default_rng(11)
+    qv = rng.normal(size=(20, 5))
+    cv = rng.normal(size=(40, 5))
+    rows = []
+    for rid in range(300):
+        q = 0 if rid % 3 == 0 else int(rng.integers(1, 20))
+        c = int(rng.integers(0, 40))
+        rows.append((rid, q, c, float(rng.choice([0.0, 1.0]))))
+    r = spark.createDataFrame(rows, "row_id long, query_id long, ctx_id long, relevance double")
+    q = _vecs(spark, qv, "query_id")
+    ctx_ids = sorted({x[2] for x in rows})
+    c = _vecs(spark, cv, "ctx_id").filter(F.col("ctx_id").isin(ctx_ids))
+    got = evaluate_multi(r, q, c, "dot").first()
+    exp = _py_multi(rows, qv.astype(np.float32).astype(np.float64), cv.astype(np.float32).astype(np.float64))
+    assert abs(got.mrr - exp["mrr"]) < 1e-9 and abs(got.ndcg_at_5 - exp["ndcg"]) < 1e-9
+    assert abs(got.p_at_1 - exp["p1"]) < 1e-9 and abs(got.p_at_5 - exp["p5"]) < 1e-9
+    # row-judged: mean over rows of the per-row formula with the own rank in the top 5
+    s = qv.astype(np.float32).astype(np.float64) @ cv.astype(np.float32).astype(np.float64).T
+    qn = np.linalg.norm(qv.astype(np.float32).astype(np.float64), axis=1)
+    cn = np.linalg.norm(cv.astype(np.float32).astype(np.float64), axis=1)
+    cos = s / np.outer(qn, cn)
+    tot = 0.0
+    for _, qi, ci, rel in rows:
+        order = sorted(ctx_ids, key=lambda j: (-cos[qi, j], j))[:5]
+        rank = order.index(ci) + 1 if ci in order else None
+        tot += (1 / rank if (rel == 1.0 and rank) else 0.0)
+    assert abs(evaluate_rowwise(r, q, c).first().mrr - tot / len(rows)) < 1e-9

@@ -1,7 +1,5 @@
 """Template query generation (C1-C7) against a plain-Python model."""
 
-from pyspark.sql import functions as F
-
 from quarry.config import DEFAULT_CONFIG
 from quarry.operators.querygen import add_alternative_queries, generate_queries
 from tests.test_text import LINES, _py_parse
