@@ -61,5 +61,8 @@ def emb_inputs(spark: SparkSession, sf: str, dims: int = 64):
     v = model_vectors(spark, sf, dims)
     queries = v.join(rows.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     corpus = v.join(rows.select(F.col("ctx_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    return (rows, queries.select(F.col("vec_id").alias("query_id"), "embedding"),
-            corpus.select(F.col("vec_id").alias("ctx_id"), "embedding"))
+    # each is read by several operators downstream: materialise once
+    from quarry.session import materialize
+    return (materialize(rows),
+            materialize(queries.select(F.col("vec_id").alias("query_id"), "embedding")),
+            materialize(corpus.select(F.col("vec_id").alias("ctx_id"), "embedding")))
