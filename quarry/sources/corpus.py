@@ -56,3 +56,12 @@ def table_lines(df: DataFrame, key: str, text_col: str) -> DataFrame:
               .select("rec_id", F.col("line_no").cast("bigint").alias("line_no"),
                       ustrip(F.col("raw")).alias("line"))
               .filter(F.col("line") != F.lit("")))
+
+
+def corpus_entries(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Entries of a multi-file corpus numbered in file order, then line order
+    (the order in which the files are concatenated): ``entry_id, source_file, text``."""
+    from quarry.operators.ids import dense_index
+    lines = require_rows(load_lines(spark, paths))
+    return dense_index(lines, ["file_pos", "line_no"], out="entry_id").select(
+        "entry_id", "source_file", "text")

@@ -75,3 +75,24 @@ def test_missing_file_and_empty_corpus(spark):
         f.write("\n  \n\t\n")
     with pytest.raises(ValueError):
         require_rows(load_lines(spark, [empty]))
+
+
+def test_files_to_eval_csv(spark):
+    from quarry.plans.pipelines import build_eval_set
+    from quarry.sources.corpus import corpus_entries
+    from tests.test_text import LINES
+    d = tempfile.mkdtemp(prefix="quarry-test-p1-")
+    p1, p2 = os.path.join(d, "f.txt"), os.path.join(d, "nf.txt")
+    with open(p1, "w") as f:
+        f.write("\n".join(LINES[:6]) + "\n")
+    with open(p2, "w") as f:
+        f.write("\n\n".join(LINES[6:]) + "\n")
+    entries = corpus_entries(spark, [p1, p2])
+    got = [r.text for r in entries.orderBy("entry_id").collect()]
+    assert got == [t.strip() for t in LINES]
+    ev = build_eval_set(entries)
+    out = os.path.join(d, "eval")
+    write_eval_csv(ev, out)
+    back = read_eval_csv(spark, out)
+    assert back.count() == ev.count() > 0
+    assert {r.relevance for r in back.collect()} <= {0.0, 1.0}
