@@ -59,8 +59,8 @@ def hash_embed(spark, sf):
         F.col("doc_id").alias("row_id"), F.col("text").alias("context"))
     ix = index_texts(docs, "context", "ctx_id")
     v = embed(ix, "ctx_id", TEXT_MODELS["hash64"])
-    return v.select("ctx_id", F.size("embedding").alias("dim"),
-                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"),
+    return v.select("ctx_id", F.size("embedding").cast("bigint").alias("dim"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nnz"),
                     F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("l1"))
 
 
@@ -92,7 +92,7 @@ def _examples_sql() -> str:
 best AS (SELECT model FROM board ORDER BY mrr DESC, model_pos LIMIT 1),
 hits AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, ctx_id) AS rank
          FROM ({hits}))
-SELECT hits.model, hits.query_id, ex.text AS query, hits.rank::INTEGER AS rank, hits.ctx_id,
+SELECT hits.model, hits.query_id::BIGINT AS query_id, ex.text AS query, hits.rank::INTEGER AS rank, hits.ctx_id,
        round(hits.score, 6) AS score
 FROM hits JOIN best USING (model) JOIN ex USING (query_id) WHERE rank <= 3"""
 

@@ -52,7 +52,7 @@ FROM parsed p JOIN parsed_d d USING (entry_id)""")
 def extract_tags_q(spark, sf):
     p = parse_entries(tagged(spark, sf), cfg=TEST_CFG)
     from quarry.operators.parse import tags_col
-    return p.select("entry_id", F.size("tags").alias("n_tags"), joined(F.col("tags")).alias("tags"),
+    return p.select("entry_id", F.size("tags").cast("bigint").alias("n_tags"), joined(F.col("tags")).alias("tags"),
                     joined(tags_col(F.col("text"), dedup=True)).alias("tags_dedup"))
 
 
@@ -64,7 +64,8 @@ SELECT page_id, pos, tag FROM (
 def extract_tags_html(spark, sf):
     from quarry.operators.parse import tags_col
     pages = table(spark, sf, "pages", spread_rows=True)
-    return pages.select("page_id", F.posexplode(tags_col(F.col("html"))).alias("pos", "tag"))
+    return (pages.select("page_id", F.posexplode(tags_col(F.col("html"))).alias("pos", "tag"))
+            .select("page_id", F.col("pos").cast("bigint").alias("pos"), "tag"))
 
 
 @query("extract_body", sql=f"""
@@ -113,7 +114,7 @@ SELECT doc_id, len(c) AS n_candidates, array_to_string(c, ' ') AS candidates
 FROM (SELECT doc_id, {kw_cands(strip('text'))} AS c FROM documents)""")
 def keyword_candidates_q(spark, sf):
     d = table(spark, sf, "documents", spread_rows=True).withColumn("c", keyword_candidates(ustrip(F.col("text"))))
-    return d.select("doc_id", F.size("c").alias("n_candidates"), F.array_join("c", " ").alias("candidates"))
+    return d.select("doc_id", F.size("c").cast("bigint").alias("n_candidates"), F.array_join("c", " ").alias("candidates"))
 
 
 @query("keyword_sample", sql=f"""
@@ -123,7 +124,7 @@ def keyword_sample(spark, sf):
     from quarry.operators.querygen import add_keywords
     d = table(spark, sf, "documents", spread_rows=True).withColumn("body", ustrip(F.col("text")))
     k = add_keywords(d, "body", "doc_id", TEST_CFG)
-    return k.select("doc_id", F.size("keywords").alias("n_keywords"),
+    return k.select("doc_id", F.size("keywords").cast("bigint").alias("n_keywords"),
                     F.array_join("keywords", " and ").alias("keywords"))
 
 

@@ -144,7 +144,7 @@ WITH {TRAIN_CTES},
 e AS (SELECT row_id, aug_pos, epoch,
              {hkey([str(SEED), "'batch'", 'epoch', "concat_ws('|', row_id, aug_pos)"])} AS h
       FROM tuples, (SELECT unnest(range(2)) AS epoch))
-SELECT row_id, aug_pos, epoch,
+SELECT row_id, aug_pos, epoch::INTEGER AS epoch,
        row_number() OVER (PARTITION BY epoch ORDER BY h, row_id, aug_pos) - 1 AS position,
        (row_number() OVER (PARTITION BY epoch ORDER BY h, row_id, aug_pos) - 1) // 16 AS batch_id
 FROM e""")
