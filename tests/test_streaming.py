@@ -30,3 +30,25 @@ def test_stream_equals_batch(spark):
     assert sorted(streamed.select(cols).collect()) == sorted(batch.select(cols).collect())
     assert streamed.count() > 0
     assert corpus_stream(spark, src).isStreaming
+
+
+def test_response_stream_equals_batch(spark):
+    from quarry.operators.parse import to_documents
+    from quarry.operators.responses import parse_responses
+    from quarry.streaming import test_set_stream
+    d = tempfile.mkdtemp(prefix="quarry-test-resp-")
+    entries = spark.createDataFrame([(i, t) for i, t in enumerate(LINES)], "entry_id long, text string")
+    docs = to_documents(entries)
+    resp = spark.createDataFrame(
+        [(0, 0, "Can you show me baker magic\n\n  potion  \n"), (1, 0, "soup horror"), (1, 1, None),
+         (2, 0, "I want who did it\nGenerate mystery")], "entry_id bigint, resp_id bigint, response string")
+    src = os.path.join(d, "in")
+    resp.write.parquet(src)
+    q = (test_set_stream(spark, src, docs).writeStream.format("parquet")
+         .option("path", os.path.join(d, "out")).option("checkpointLocation", os.path.join(d, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    streamed = sorted(tuple(r) for r in spark.read.parquet(os.path.join(d, "out")).collect())
+    batch = sorted(tuple(r) for r in parse_responses(docs, resp).collect())
+    assert streamed == batch and len(batch) == 5
+    assert ("baker magic" in [r[3] for r in batch]) and ("mystery" in [r[3] for r in batch])
