@@ -139,8 +139,11 @@ def build_requests(entries: DataFrame, cfg: EvalConfig = DEFAULT_CONFIG) -> Data
 
 
 def ingest_responses(entries: DataFrame, responses: DataFrame, cfg: EvalConfig = DEFAULT_CONFIG):
+    """Test set (query, context = body, typed ``metadata`` struct) and the
+    entries without a usable response."""
     docs = to_documents(entries, cfg=cfg)
-    return parse_responses(docs, responses, cfg), failed_requests(docs, responses)
+    return (parse_responses(docs, responses, cfg, keep=("metadata",)),
+            failed_requests(docs, responses))
 
 
 def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
