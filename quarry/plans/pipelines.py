@@ -81,26 +81,34 @@ def _vectors(ix: IndexedRows, encoder: Encoder):
 def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
                 example_queries: tuple[str, ...] = EXAMPLE_QUERIES, k_examples: int = 3) -> dict:
     """Row-judged metrics per model, best model by MRR (earlier wins ties),
-    example queries answered by the best model, dataset composition."""
+    example queries answered by the best model, dataset composition.
+
+    The example queries join the eval queries under negative ids (first-seen
+    ids are >= 0), so each model scores the corpus in a single top-k pass."""
     spark = eval_rows.sparkSession
     ix = index_eval_rows(eval_rows)
-    boards, examples = [], []
-    ex = spark.createDataFrame([(i, q) for i, q in enumerate(example_queries)],
+    ex = spark.createDataFrame([(-1 - i, q) for i, q in enumerate(example_queries)],
                                "query_id bigint, text string")
+    k = max(5, k_examples)
+    boards, examples = [], []
     for pos, (name, enc) in enumerate(models.items()):
-        qv, cv = _vectors(ix, enc)
-        hits5 = top_k(qv, cv, 5, "cosine", n_queries=ix.n_queries, n_corpus=ix.n_contexts)
-        m = evaluate_rowwise(ix.rows, qv, cv, "cosine", hits=hits5)
+        qv = embed(ix.queries.unionByName(ex), "query_id", enc)
+        cv = embed(ix.contexts, "ctx_id", enc)
+        hits = _ckpt(top_k(qv, cv, k, "cosine", n_queries=ix.n_queries + len(example_queries),
+                           n_corpus=ix.n_contexts))
+        eval_hits = hits.filter((F.col("query_id") >= 0) & (F.col("rank") <= 5))
+        m = evaluate_rowwise(ix.rows, None, None, "cosine", hits=eval_hits)
         boards.append(m.select(F.lit(name).alias("model"), F.lit(pos).alias("model_pos"), *METRIC_COLS,
                                "n_rows"))
-        hits = top_k(embed(ex, "query_id", enc), cv, k_examples, "cosine",
-                     n_queries=len(example_queries), n_corpus=ix.n_contexts)
-        examples.append(hits.select(F.lit(name).alias("model"), "query_id", "rank", "ctx_id", "score"))
+        examples.append(hits.filter((F.col("query_id") < 0) & (F.col("rank") <= k_examples))
+                        .select(F.lit(name).alias("model"), (F.lit(-1) - F.col("query_id")).alias("query_id"),
+                                "rank", "ctx_id", "score"))
     board = _ckpt(reduce(lambda a, b: a.unionByName(b), boards))
     best = best_model(board).select("model", "mrr")
+    ex0 = ex.select((F.lit(-1) - F.col("query_id")).alias("query_id"), F.col("text").alias("query"))
     ex_hits = (reduce(lambda a, b: a.unionByName(b), examples)
                .join(best.select("model"), "model", "left_semi")
-               .join(ex.withColumnRenamed("text", "query"), "query_id")
+               .join(ex0, "query_id")
                .join(ix.contexts.withColumnRenamed("text", "context"), "ctx_id"))
     return {"board": board, "best": best, "examples": ex_hits,
             "composition": dataset_composition(eval_rows)}
