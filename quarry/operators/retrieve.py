@@ -25,7 +25,13 @@ from pyspark.sql.window import Window
 
 HIT_SCHEMA = "query_id bigint, ctx_id bigint, score double"
 COUNT_SCHEMA = "query_id bigint, n_before bigint"
-_CHUNK = 4096
+_SCORE_CELLS = 1 << 25   # at most ~32M float64 scores (256 MB) per chunk
+
+
+def _chunk(n_query_rows: int) -> int:
+    """Corpus columns scored at once, so query rows x chunk stays bounded
+    whatever ``query_block_rows`` is set to."""
+    return max(256, min(8192, _SCORE_CELLS // max(1, n_query_rows)))
 
 
 def _matrix(values) -> np.ndarray:
@@ -76,10 +82,11 @@ def _score_block(q: pd.DataFrame, c: pd.DataFrame, k: int, cosine: bool) -> pd.D
     cm_all = _matrix(c["c_vec"].values)
     cn_all = _norms(cm_all)
     out_r, out_c, out_s = [], [], []
-    for start in range(0, len(c), _CHUNK):
-        cm = cm_all[start:start + _CHUNK]
-        s = _scores(qm, qn, cm, cn_all[start:start + _CHUNK], cosine)
-        rows, cols = _topk_rows(s, cids_all[start:start + _CHUNK], k)
+    step = _chunk(len(q))
+    for start in range(0, len(c), step):
+        cm = cm_all[start:start + step]
+        s = _scores(qm, qn, cm, cn_all[start:start + step], cosine)
+        rows, cols = _topk_rows(s, cids_all[start:start + step], k)
         out_r.append(rows)
         out_c.append(cids_all[start + cols])
         out_s.append(s[rows, cols])
@@ -110,9 +117,10 @@ def _count_block(q: pd.DataFrame, c: pd.DataFrame, cosine: bool) -> pd.DataFrame
     cm_all = _matrix(c["c_vec"].values)
     cn_all = _norms(cm_all)
     total = np.zeros(len(q), dtype=np.int64)
-    for start in range(0, len(c), _CHUNK):
-        cids = cids_all[None, start:start + _CHUNK]
-        s = _scores(qm, qn, cm_all[start:start + _CHUNK], cn_all[start:start + _CHUNK], cosine)
+    step = _chunk(len(q))
+    for start in range(0, len(c), step):
+        cids = cids_all[None, start:start + step]
+        s = _scores(qm, qn, cm_all[start:start + step], cn_all[start:start + step], cosine)
         before = ((s > thr) | ((s == thr) & (cids < tid))) & (cids != tid)
         total += before.sum(axis=1)
     return pd.DataFrame({"query_id": qids, "n_before": total})

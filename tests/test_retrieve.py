@@ -80,3 +80,37 @@ def test_pair_similarity_zero_and_missing(spark):
                                "a array<float>, b array<float>")
     got = [r.s for r in df.select(pair_similarity(df.a, df.b).alias("s")).collect()]
     assert got == [1.0, 0.0, 0.0]
+
+
+def test_block_scorer_merges_chunks():
+    """Direct check of the in-group scorer across several chunks (ties included)."""
+    import pandas as pd
+
+    from quarry.operators import retrieve as R
+    rng = np.random.default_rng(9)
+    q = rng.normal(size=(3, 4)).astype(np.float32)
+    c = rng.normal(size=(1000, 4)).astype(np.float32)
+    c[700] = c[10]            # tie across chunks: lower id must win
+    c[5] = 0.0
+    qdf = pd.DataFrame({"query_id": np.arange(3), "q_vec": list(q)})
+    ids = rng.permutation(1000)           # scrambled ids and row order
+    cdf = pd.DataFrame({"ctx_id": ids, "c_vec": list(c)})
+    old = R._SCORE_CELLS
+    R._SCORE_CELLS = 3 * 256                # forces 256-column chunks -> 4 chunks
+    try:
+        out = R._score_block(qdf, cdf, 5, True)
+        thr = pd.DataFrame({"query_id": np.arange(3), "q_vec": list(q),
+                            "thr_score": [0.0, 0.5, -0.2], "thr_ctx": [int(ids[1]), int(ids[2]), int(ids[3])]})
+        cnt = R._count_block(thr, cdf, True)
+    finally:
+        R._SCORE_CELLS = old
+    s = (q.astype(np.float64) @ c.astype(np.float64).T)
+    d = np.outer(np.linalg.norm(q.astype(np.float64), axis=1), np.linalg.norm(c.astype(np.float64), axis=1))
+    s = np.where(d > 0, s / np.where(d > 0, d, 1), 0.0)
+    for i in range(3):
+        exp = sorted(range(1000), key=lambda j: (-s[i, j], ids[j]))[:5]
+        got = out[out.query_id == i].sort_values(["score", "ctx_id"], ascending=[False, True])
+        assert list(got.ctx_id) == [ids[j] for j in exp]
+        t, tid = thr.thr_score[i], thr.thr_ctx[i]
+        before = sum(1 for j in range(1000) if ids[j] != tid and (s[i, j] > t or (s[i, j] == t and ids[j] < tid)))
+        assert int(cnt[cnt.query_id == i].n_before.iloc[0]) == before
