@@ -106,7 +106,10 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
     board = _ckpt(reduce(lambda a, b: a.unionByName(b), boards))
     best = best_model(board).select("model", "mrr")
     ex0 = ex.select((F.lit(-1) - F.col("query_id")).alias("query_id"), F.col("text").alias("query"))
-    ex_hits = (reduce(lambda a, b: a.unionByName(b), examples)
+    # materialised first: with the per-branch literal model names visible,
+    # the optimizer would push the semi-join into the union branches and turn
+    # it into a non-equi (nested loop) join
+    ex_hits = (_ckpt(reduce(lambda a, b: a.unionByName(b), examples))
                .join(best.select("model"), "model", "left_semi")
                .join(ex0, "query_id")
                .join(ix.contexts.withColumnRenamed("text", "context"), "ctx_id"))
