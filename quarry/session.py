@@ -32,9 +32,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
-        # AQE converts a join to a broadcast only when the side's measured
-        # runtime size is below this; larger sides stay sort-merge joins
-        # .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -51,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -62,6 +61,32 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_STAGED: list[tuple[str, str]] = []
+
+
+def stage_table(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: a columnar, compressed hand-off that is computed once, cuts lineage
+    and survives lost executors. ``drop_staged`` removes the tables."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    _STAGED.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged by this application (call when the results
+    built on them are written); returns how many there were."""
+    app = spark.sparkContext.applicationId
+    mine = [p for a, p in _STAGED if a == app]
+    for p in mine:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)  # noqa: SLF001
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+        _STAGED.remove((app, p))
+    return len(mine)
+
+
 _SHIPPED: set[str] = set()
 
 
