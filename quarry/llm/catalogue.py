@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, sharding
+from quarry.llm import mixing, ngram_join, sharding
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,13 @@ c AS (
 SELECT doc_id, size, source_size, target, size * (whole + more::BIGINT) AS taken FROM c
 """
 
-_QUERIES: dict[str, QueryFn] = {"op1_kd_sharding": op1_kd_sharding, "op2_mixing": op2_mixing}
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
+_QUERIES: dict[str, QueryFn] = {"op1_kd_sharding": op1_kd_sharding, "op2_mixing": op2_mixing,
+                               "op3_ngram_join": op3_ngram_join}
 _SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
 
 
