@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 16
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _SPACE = np.zeros(256, dtype=bool)
@@ -47,7 +47,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
             tables.append(np.multiply.accumulate(p))
-        if n > 8 * SLICE_BYTES:      # a giant text: do not keep its tables
+        if n > 64 * SLICE_BYTES:     # a giant text: do not keep its tables
             return tables[0], tables[1]
         _powers[:] = tables
     return _powers[0], _powers[1]
@@ -145,7 +145,11 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         extra = np.concatenate([whole(w.hash[w.first[d]:w.first[d + 1]]) for d in short])
         doc, h = np.concatenate([doc, short]), np.concatenate([h, extra])
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    if docs < 1 << 16:                   # 16-bit keys are radix-sorted
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(doc[order], kind="stable")]
     doc, h = doc[order], h[order]
     keep = np.ones(len(h), dtype=bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
