@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, ngram_join, sharding
+from quarry.llm import chat_format, line_dedup, mixing, ngram_join, sharding
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +63,72 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES: dict[str, QueryFn] = {"op1_kd_sharding": op1_kd_sharding, "op2_mixing": op2_mixing,
-                               "op3_ngram_join": op3_ngram_join}
-_SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+LINE_DOCS = 10
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_common_lines(read_table(spark, sf_dir, "documents"), LINE_DOCS)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+f AS (SELECT k.*, k.key IN (SELECT key FROM c) AS gone FROM k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("seq"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(PROBE).alias("text"))
+    events = rows.unionByName(probe).select(
+        "conv_id", "seq", F.lit("message").alias("op"), F.lit(None).cast("string").alias("msg_id"), "role", "text")
+    back = chat_format.read_back(chat_format.render(chat_format.messages(events)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("loss_text").cast("bigint").alias("loss_chars"),
+                       F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS body,
+         replace(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'),
+                         '|', '&#124;'), chr(10), '&#10;') AS head FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(body) + length(head) + 13)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_QUERIES: dict[str, QueryFn] = {
+    "op1_kd_sharding": op1_kd_sharding,
+    "op2_mixing": op2_mixing,
+    "op3_ngram_join": op3_ngram_join,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_chat_format": op10_chat_format,
+}
+_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
 
 
 def _prepared(fn: QueryFn) -> QueryFn:
