@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, line_dedup, mixing, ngram_join, sharding
+from quarry.llm import chat_format, line_dedup, mixing, ngram_join, sharding, simhash
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 LINE_DOCS = 10
 
 
@@ -125,6 +129,7 @@ _QUERIES: dict[str, QueryFn] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_mixing": op2_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_simhash": op4_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
