@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, line_dedup, mixing, ngram_join, sharding, simhash
+from quarry.llm import chat_format, line_dedup, mixing, ngram_join, pii, sharding, simhash
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,13 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.listed({k: F.col(k) for k in pii.KINDS}), 256).alias("base_sha256"),
+                        pii.listed(pii.all_spans()).alias("spans"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -131,6 +138,7 @@ _QUERIES: dict[str, QueryFn] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_simhash": op4_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
 _SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
