@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, line_dedup, mixing, ngram_join, pii, sharding, simhash
+from quarry.llm import chat_format, line_dedup, mixing, ngram_join, pii, sharding, simhash, substring_dedup
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM s),
+m AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM g JOIN m USING (win) WHERE least < doc_id),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT p.doc_id, string_agg(p.w[p.pos], ' ' ORDER BY p.pos) AS kept, count(*) AS n_kept
+      FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos WHERE r.pos IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 LINE_DOCS = 10
 
 
@@ -137,11 +157,12 @@ _QUERIES: dict[str, QueryFn] = {
     "op2_mixing": op2_mixing,
     "op3_ngram_join": op3_ngram_join,
     "op4_simhash": op4_simhash,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
-_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
+_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
 
 
 def _prepared(fn: QueryFn) -> QueryFn:
