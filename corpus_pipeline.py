@@ -1,0 +1,76 @@
+"""The corpus pipeline: every stage takes all its predecessor kept and writes Parquet.
+
+toxicity -> n-gram Jaccard join -> benchmark decontamination -> mixing -> sharding.
+All but the last stage return the columns of ``documents``; repeats of the mix
+are repeated rows. Null and empty texts pass every filter; an empty table
+passes through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from quarry.llm.catalogue import MIX_BUDGET, MIX_EPOCHS, MIX_WEIGHTS, SHARDS
+from quarry.llm.common import read_table, small
+from quarry.session import ensure_checkpoint_dir, ship_package, stage_table
+
+#: Training and sampling are not SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def _ready(spark: SparkSession) -> None:
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject (6)."""
+    _ready(spark)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the least doc_id) of each group of near duplicates (3)."""
+    _ready(spark)
+    classes = ngram_join.jaccard_classes(docs)
+    losers = stage_table(classes.filter(F.col("doc_id") != F.col("component_id"))
+                         .select(F.col("doc_id").alias("loser")).distinct(), "pipe-losers")
+    return docs.join(small(losers), docs["doc_id"] == losers["loser"], "left_anti")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item (7)."""
+    _ready(spark)
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, repeats as rows (2)."""
+    _ready(spark)
+    return mixing.repeat_rows(docs, mixing.mixture(docs, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS))
+
+
+def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows' shards and slots (1)."""
+    _ready(spark)
+    return sharding.kd_shards(docs, shards=SHARDS)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed_sources),
+    ("sharding", in_shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each hand-off a staged Parquet table."""
+    _ready(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), f"pipe-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, line_dedup, mixing, ngram_join, pii, sharding, simhash, substring_dedup
+from quarry.llm import (chat_format, decontaminate, line_dedup, mixing, ngram_join, pii, sharding, simhash,
+                        substring_dedup, toxicity)
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,33 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGI
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, NULL::BIGINT AS item_id, text FROM documents
+  UNION ALL SELECT NULL, item_id, text FROM benchmark),
+t AS (
+  SELECT doc_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM d),
+s AS (
+  SELECT doc_id, item_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' ;short'] ELSE [] END) AS sh FROM t),
+n AS (SELECT item_id, count(*) AS n_item FROM s WHERE item_id IS NOT NULL GROUP BY item_id),
+h AS (
+  SELECT a.doc_id, b.item_id, count(*) AS n_shared FROM s a JOIN s b ON a.sh = b.sh
+  WHERE a.doc_id IS NOT NULL AND b.item_id IS NOT NULL GROUP BY ALL)
+SELECT doc_id, item_id, n_item::BIGINT AS n_item, n_shared::BIGINT AS n_shared
+FROM h JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+"""
+
 LINE_DOCS = 10
 
 
@@ -158,11 +186,14 @@ _QUERIES: dict[str, QueryFn] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
 }
-_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
+_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_decontamination": OP7_SQL,
+                        "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
 
 
 def _prepared(fn: QueryFn) -> QueryFn:
@@ -175,7 +206,8 @@ def _prepared(fn: QueryFn) -> QueryFn:
 
 
 def llm_queries() -> dict[str, QueryFn]:
-    return {name: _prepared(fn) for name, fn in _QUERIES.items()}
+    import corpus_pipeline
+    return {name: _prepared(fn) for name, fn in (_QUERIES | {"pipeline": corpus_pipeline.run}).items()}
 
 
 def llm_sql() -> dict[str, str]:

@@ -21,6 +21,8 @@ _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARKS = _SPACE.copy()              # blanks and ASCII punctuation
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
@@ -85,13 +87,14 @@ def slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         row = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
-    """Split and hash the words of a slice; ``fold`` lower-cases A-Z."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool, split_punctuation: bool = False) -> Words:
+    """Split and hash the words of a slice; ``fold`` lower-cases A-Z;
+    ``split_punctuation`` ends words at ASCII punctuation too."""
     n, docs = len(data), len(offsets) - 1
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), z, z, z, np.zeros(docs + 1, np.int64), data, offsets)
-    solid = ~_SPACE[data]
+    solid = ~(_MARKS if split_punctuation else _SPACE)[data]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = solid[:-1]
