@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def model_means(long_metrics: DataFrame) -> DataFrame:
-    """``model, metric, metric_pos, value`` = mean per model and metric
-    (0 when a model has no rows)."""
-    return (long_metrics.groupBy("model", "metric")
+def model_means(long_metrics: DataFrame, models: tuple[str, ...] = (),
+                metrics: tuple[str, ...] = ()) -> DataFrame:
+    """``model, metric, metric_pos, value`` = mean per model and metric. Every
+    combination of the given ``models`` and ``metrics`` is reported, 0 when it has no
+    rows."""
+    zeros = [(m, x, i) for m in models for i, x in enumerate(metrics)]
+    rows = long_metrics.select("model", "metric", F.col("metric_pos").cast("int").alias("metric_pos"), "value")
+    if zeros:
+        rows = rows.unionByName(long_metrics.sparkSession.createDataFrame(
+            zeros, "model string, metric string, metric_pos int").withColumn("value", F.lit(None).cast("double")))
+    return (rows.groupBy("model", "metric")
             .agg(F.min("metric_pos").alias("metric_pos"),
                  F.coalesce(F.avg("value"), F.lit(0.0)).alias("value")))
 
@@ -31,13 +38,10 @@ def wide_to_long(wide: DataFrame, metric_cols: list[str], names: list[str] | Non
 def improvement(means: DataFrame, base: str, candidate: str) -> DataFrame:
     """``metric, metric_pos, base, candidate, absolute, relative`` where
     relative is in percent and 0 when the base is 0 (never a bare division)."""
-    p = (means.filter(F.col("model").isin(base, candidate))
-              .groupBy("metric").pivot("model", [base, candidate])
-              .agg(F.first("value")))
-    pos = means.groupBy("metric").agg(F.min("metric_pos").alias("metric_pos"))
-    b, c = F.coalesce(F.col(base), F.lit(0.0)), F.coalesce(F.col(candidate), F.lit(0.0))
-    return (p.join(pos, "metric")
-             .select("metric", "metric_pos", b.alias("base"), c.alias("candidate"),
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("value")))
+    p = means.groupBy("metric").agg(F.min("metric_pos").alias("metric_pos"), of(base).alias("_b"), of(candidate).alias("_c"))
+    b, c = F.coalesce(F.col("_b"), F.lit(0.0)), F.coalesce(F.col("_c"), F.lit(0.0))
+    return (p.select("metric", "metric_pos", b.alias("base"), c.alias("candidate"),
                      (c - b).alias("absolute"),
                      F.coalesce(F.try_divide(c - b, b) * F.lit(100.0), F.lit(0.0)).alias("relative")))
 

@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+PAIRS_PER_PARTITION = 64
 HIT_SCHEMA = "query_id bigint, ctx_id bigint, score double"
 COUNT_SCHEMA = "query_id bigint, n_before bigint"
-_SCORE_CELLS = 1 << 25   # at most ~32M float64 scores (256 MB) per chunk
+_SCORE_CELLS = 1 << 23   # at most ~8M float64 scores (64 MB) per chunk
+_QUERY_ROWS = 4096       # query rows scored at once
+_PAIR_CELLS = 1 << 21    # vector cells gathered at once by the pair kernel
 
 
 def _chunk(n_query_rows: int) -> int:
@@ -40,89 +43,109 @@ def _matrix(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
-def _norms(m: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.einsum("ij,ij->i", m, m)) if m.size else np.zeros(len(m))
+def _pair_dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row-wise dot product, summed dimension by dimension: the result depends
+    only on the two rows, never on their place in a block."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1] if x.ndim == 2 else 0):
+        out += x[:, j] * y[:, j]
+    return out
 
 
-def _scores(q: np.ndarray, qn: np.ndarray, c: np.ndarray, cn: np.ndarray, cosine: bool) -> np.ndarray:
-    s = q @ c.T
+def _norms(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(_pair_dot(m, m)) if m.size else np.zeros(len(m))
+
+
+def _pair_scores(q, qn, c, cn, rows, cols, cosine: bool) -> np.ndarray:
+    """The scores that decide: pairs (rows[i], cols[i]) by the one pair kernel."""
+    out = np.zeros(len(rows))
+    step = max(1, _PAIR_CELLS // max(1, q.shape[1]))
+    for i in range(0, len(rows), step):
+        r, k = rows[i:i + step], cols[i:i + step]
+        s = _pair_dot(q[r], c[k])
+        if cosine:
+            den = qn[r] * cn[k]
+            s = np.where(den > 0, s / np.where(den > 0, den, 1.0), 0.0)
+        out[i:i + step] = s
+    return out
+
+
+def _filter_scores(q, qn, c, cn, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix-product scores and, per query, a bound of their distance from the
+    pair kernel's (they differ in the last bits)."""
+    d = q.shape[1] if q.size else 0
     if cosine:
-        denom = np.outer(qn, cn)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
-    return s
-
-
-def _topk_rows(s: np.ndarray, ids: np.ndarray, k: int):
-    """Per row the k best columns (score desc, id asc); ids ascending by column."""
-    n = s.shape[1]
-    kk = min(k, n)
-    if kk == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    if kk < n:
-        thr = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
+        q = q / np.where(qn > 0, qn, 1.0)[:, None]
+        c = c / np.where(cn > 0, cn, 1.0)[:, None]
+        slack = np.full(len(q), 8.0 * (d + 8) * np.finfo(float).eps)
     else:
-        thr = s.min(axis=1)
-    gt = s > thr[:, None]
-    eq = s == thr[:, None]
-    room = kk - gt.sum(axis=1)
-    take = gt | (eq & (np.cumsum(eq, axis=1) <= room[:, None]))
-    rows, cols = np.nonzero(take)
-    return rows, cols
+        slack = 8.0 * (d + 8) * np.finfo(float).eps * qn * (cn.max() if len(cn) else 0.0)
+    return q @ c.T, slack
 
 
 def _score_block(q: pd.DataFrame, c: pd.DataFrame, k: int, cosine: bool) -> pd.DataFrame:
-    if len(q) == 0 or len(c) == 0:
+    """The k best contexts of each query in a block pair. The matrix product only
+    sorts out what cannot be among them; order and ties are decided by the pair
+    kernel (score desc, id asc)."""
+    if len(q) == 0 or len(c) == 0 or k < 1:
         return pd.DataFrame({"query_id": [], "ctx_id": [], "score": []})
-    c = c.sort_values("ctx_id", kind="stable")
-    qm = _matrix(q["q_vec"].values)
-    qn = _norms(qm)
-    qids = q["query_id"].to_numpy(np.int64)
-    cids_all = c["ctx_id"].to_numpy(np.int64)
-    cm_all = _matrix(c["c_vec"].values)
-    cn_all = _norms(cm_all)
+    qm, cm = _matrix(q["q_vec"].values), _matrix(c["c_vec"].values)
+    qn, cn = _norms(qm), _norms(cm)
+    qids, cids = q["query_id"].to_numpy(np.int64), c["ctx_id"].to_numpy(np.int64)
     out_r, out_c, out_s = [], [], []
-    step = _chunk(len(q))
-    for start in range(0, len(c), step):
-        cm = cm_all[start:start + step]
-        s = _scores(qm, qn, cm, cn_all[start:start + step], cosine)
-        rows, cols = _topk_rows(s, cids_all[start:start + step], k)
-        out_r.append(rows)
-        out_c.append(cids_all[start + cols])
-        out_s.append(s[rows, cols])
-    rows = np.concatenate(out_r)
-    cids = np.concatenate(out_c)
-    scores = np.concatenate(out_s)
-    if len(out_r) > 1:  # merge chunk candidates: k best per query
-        order = np.lexsort((cids, -scores, rows))
-        rows, cids, scores = rows[order], cids[order], scores[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = (np.arange(len(rows)) - first) < k
-        rows, cids, scores = rows[keep], cids[keep], scores[keep]
-    return pd.DataFrame({"query_id": qids[rows], "ctx_id": cids, "score": scores})
+    for q0 in range(0, len(q), _QUERY_ROWS):
+        qs = slice(q0, min(q0 + _QUERY_ROWS, len(q)))
+        best = None
+        step = _chunk(qs.stop - qs.start)
+        for c0 in range(0, len(c), step):
+            cs = slice(c0, c0 + step)
+            s, slack = _filter_scores(qm[qs], qn[qs], cm[cs], cn[cs], cosine)
+            n = s.shape[1]
+            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1] if k < n else np.full(len(s), -np.inf)
+            rows, cols = np.nonzero(s >= (kth - 2 * slack)[:, None])
+            score = _pair_scores(qm[qs], qn[qs], cm[cs], cn[cs], rows, cols, cosine)
+            found = (rows, cids[cs][cols], score)
+            if best is not None:
+                found = tuple(np.concatenate(x) for x in zip(best, found))
+            order = np.lexsort((found[1], -found[2], found[0]))
+            rows, ids, score = (x[order] for x in found)
+            keep = (np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")) < k
+            best = (rows[keep], ids[keep], score[keep])
+        out_r.append(best[0] + q0)
+        out_c.append(best[1])
+        out_s.append(best[2])
+    return pd.DataFrame({"query_id": qids[np.concatenate(out_r)], "ctx_id": np.concatenate(out_c),
+                         "score": np.concatenate(out_s)})
 
 
 def _count_block(q: pd.DataFrame, c: pd.DataFrame, cosine: bool) -> pd.DataFrame:
-    """Per query: contexts ordered strictly before its threshold (score, ctx)."""
+    """Per query: contexts ordered strictly before its threshold (score, ctx).
+    Pairs within the slack of the threshold are decided by the pair kernel, which
+    also made the threshold."""
     if len(q) == 0:
         return pd.DataFrame({"query_id": [], "n_before": []})
     qids = q["query_id"].to_numpy(np.int64)
-    if len(c) == 0:
-        return pd.DataFrame({"query_id": qids, "n_before": np.zeros(len(q), dtype=np.int64)})
-    qm = _matrix(q["q_vec"].values)
-    qn = _norms(qm)
-    thr = q["thr_score"].to_numpy(np.float64)[:, None]
-    tid = q["thr_ctx"].to_numpy(np.int64)[:, None]
-    cids_all = c["ctx_id"].to_numpy(np.int64)
-    cm_all = _matrix(c["c_vec"].values)
-    cn_all = _norms(cm_all)
     total = np.zeros(len(q), dtype=np.int64)
-    step = _chunk(len(q))
-    for start in range(0, len(c), step):
-        cids = cids_all[None, start:start + step]
-        s = _scores(qm, qn, cm_all[start:start + step], cn_all[start:start + step], cosine)
-        before = ((s > thr) | ((s == thr) & (cids < tid))) & (cids != tid)
-        total += before.sum(axis=1)
+    if len(c) == 0:
+        return pd.DataFrame({"query_id": qids, "n_before": total})
+    qm, cm = _matrix(q["q_vec"].values), _matrix(c["c_vec"].values)
+    qn, cn = _norms(qm), _norms(cm)
+    thr, tid = q["thr_score"].to_numpy(np.float64), q["thr_ctx"].to_numpy(np.int64)
+    cids = c["ctx_id"].to_numpy(np.int64)
+    for q0 in range(0, len(q), _QUERY_ROWS):
+        qs = slice(q0, min(q0 + _QUERY_ROWS, len(q)))
+        step = _chunk(qs.stop - qs.start)
+        for c0 in range(0, len(c), step):
+            cs = slice(c0, c0 + step)
+            s, slack = _filter_scores(qm[qs], qn[qs], cm[cs], cn[cs], cosine)
+            other = cids[cs][None, :] != tid[qs][:, None]
+            over = s > (thr[qs] + slack)[:, None]
+            total[qs] += (over & other).sum(axis=1)
+            rows, cols = np.nonzero(other & ~over & (s >= (thr[qs] - slack)[:, None]))
+            score = _pair_scores(qm[qs], qn[qs], cm[cs], cn[cs], rows, cols, cosine)
+            t = thr[qs][rows]
+            before = (score > t) | ((score == t) & (cids[cs][cols] < tid[qs][rows]))
+            total[qs] += np.bincount(rows[before], minlength=qs.stop - qs.start)
     return pd.DataFrame({"query_id": qids, "n_before": total})
 
 
@@ -159,8 +182,9 @@ def _blocked(queries: DataFrame, corpus: DataFrame, qb: int, cb: int, extra_q=()
     # coalesce this small-by-bytes shuffle onto a few cores). Both sides use
     # the same hash partitioning, so the cogroup adds no further exchange.
     spark = queries.sparkSession
-    cap = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(qb * cb, cap))
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # beyond that, enough partitions that each holds a bounded number of block pairs
+    parts = max(1, min(qb * cb, max(least, qb * cb // PAIRS_PER_PARTITION)))
     q = q.repartition(parts, "qb", "cb")
     c = c.repartition(parts, "qb", "cb")
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
@@ -240,7 +264,7 @@ def pair_similarity(a, b, similarity: str = "cosine"):
         if ok.any():
             xm = _matrix(x.values[ok])
             ym = _matrix(y.values[ok])
-            dot = np.einsum("ij,ij->i", xm, ym)
+            dot = _pair_dot(xm, ym)
             if cosine:
                 den = _norms(xm) * _norms(ym)
                 with np.errstate(divide="ignore", invalid="ignore"):

@@ -8,6 +8,7 @@ from quarry.operators.metrics import judged_hits, judgements, own_rank
 from quarry.operators.retrieve import pair_similarity, rank_before, top_k
 from quarry.plans.common import emb_inputs, emb_rows, eval_set, model_vectors
 from quarry.plans.registry import query
+from quarry.sources.tables import table
 from quarry.plans.sqlfrag import EVAL_SET_CTES, cos_sql, emb_ctes
 
 
@@ -120,3 +121,40 @@ def example_queries(spark, sf):
     h = top_k(cent, c, 3, "cosine")
     return h.select(F.col("query_id").cast("int").alias("label"), "rank", "ctx_id",
                     _round(F.col("score"), "score"))
+
+
+_TWIN = 1 << 20     # every vector once more under a shifted id: all scores are tied
+
+
+def _twins(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    c = e.select(F.col("vec_id").alias("ctx_id"), "embedding")
+    return q, c.unionByName(c.withColumn("ctx_id", F.col("ctx_id") + F.lit(_TWIN)))
+
+
+_TWIN_CTES = f"""
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT vec_id AS ctx_id, v FROM e UNION ALL SELECT vec_id + {_TWIN}, v FROM e),
+s AS (SELECT e.vec_id AS query_id, c.ctx_id,
+             CASE WHEN list_dot_product(e.v, e.v) > 0 AND list_dot_product(c.v, c.v) > 0
+                  THEN list_cosine_similarity(e.v, c.v) ELSE 0 END AS score FROM e, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ctx_id) AS rank FROM s)"""
+
+
+@query("topk_ties", sql=f"""
+WITH {_TWIN_CTES}
+SELECT query_id, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def topk_ties(spark, sf):
+    q, c = _twins(spark, sf)
+    return top_k(q, c, 5, "cosine").select("query_id", "rank", "ctx_id", _round(F.col("score"), "score"))
+
+
+@query("full_rank_ties", sql=f"""
+WITH {_TWIN_CTES}
+SELECT query_id, rank AS full_rank FROM r WHERE ctx_id = query_id + {_TWIN}""")
+def full_rank_ties(spark, sf):
+    q, c = _twins(spark, sf)
+    thr = q.select("query_id", "embedding", pair_similarity(F.col("embedding"), F.col("embedding"), "cosine")
+                   .alias("thr_score"), (F.col("query_id") + F.lit(_TWIN)).alias("thr_ctx"))
+    return rank_before(thr, c, "cosine").select("query_id", F.col("rank").alias("full_rank"))

@@ -58,7 +58,9 @@ class IndexedRows:
 
 def index_eval_rows(eval_rows: DataFrame) -> IndexedRows:
     """Distinct query and context texts get dense ids; rows keep only ids."""
-    eval_rows = _ckpt(eval_rows.select("row_id", "query", "context", "relevance"))
+    # missing texts are empty texts (B15): no row is lost in the joins on text
+    eval_rows = _ckpt(eval_rows.select("row_id", F.coalesce("query", F.lit("")).alias("query"),
+                                       F.coalesce("context", F.lit("")).alias("context"), "relevance"))
     qi, nq = index_texts(eval_rows, "query", "query_id", with_total=True)
     ci, nc = index_texts(eval_rows, "context", "ctx_id", with_total=True)
     rows = (eval_rows.select("row_id", "query", "context", "relevance")
@@ -83,11 +85,13 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
     """Row-judged metrics per model, best model by MRR (earlier wins ties),
     example queries answered by the best model, dataset composition.
 
-    The example queries join the eval queries under negative ids (first-seen
-    ids are >= 0), so each model scores the corpus in a single top-k pass."""
+    The example queries join the eval queries under ids below the least id of
+    these, so each model scores the corpus in a single top-k pass."""
     spark = eval_rows.sparkSession
     ix = index_eval_rows(eval_rows)
-    ex = spark.createDataFrame([(-1 - i, q) for i, q in enumerate(example_queries)],
+    least = ix.queries.agg(F.min("query_id")).first()[0] or 0
+    is_example = F.col("query_id") < F.lit(least)
+    ex = spark.createDataFrame([(least - 1 - i, q) for i, q in enumerate(example_queries)],
                                "query_id bigint, text string")
     k = max(5, k_examples)
     boards, examples = [], []
@@ -96,16 +100,16 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
         cv = embed(ix.contexts, "ctx_id", enc)
         hits = _ckpt(top_k(qv, cv, k, "cosine", n_queries=ix.n_queries + len(example_queries),
                            n_corpus=ix.n_contexts))
-        eval_hits = hits.filter((F.col("query_id") >= 0) & (F.col("rank") <= 5))
+        eval_hits = hits.filter(~is_example & (F.col("rank") <= 5))
         m = evaluate_rowwise(ix.rows, None, None, "cosine", hits=eval_hits)
         boards.append(m.select(F.lit(name).alias("model"), F.lit(pos).alias("model_pos"), *METRIC_COLS,
                                "n_rows"))
-        examples.append(hits.filter((F.col("query_id") < 0) & (F.col("rank") <= k_examples))
-                        .select(F.lit(name).alias("model"), (F.lit(-1) - F.col("query_id")).alias("query_id"),
+        examples.append(hits.filter(is_example & (F.col("rank") <= k_examples))
+                        .select(F.lit(name).alias("model"), (F.lit(least - 1) - F.col("query_id")).alias("query_id"),
                                 "rank", "ctx_id", "score"))
     board = _ckpt(reduce(lambda a, b: a.unionByName(b), boards))
     best = best_model(board).select("model", "mrr")
-    ex0 = ex.select((F.lit(-1) - F.col("query_id")).alias("query_id"), F.col("text").alias("query"))
+    ex0 = ex.select((F.lit(least - 1) - F.col("query_id")).alias("query_id"), F.col("text").alias("query"))
     # materialised first: with the per-branch literal model names visible,
     # the optimizer would push the semi-join into the union branches and turn
     # it into a non-equi (nested loop) join
