@@ -34,22 +34,21 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z lower-cased (other letters kept)."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    return (F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare))     # ASCII only: the same, faster
-            .otherwise(F.translate(bare, _UPPER, _LOWER)))
-
-
-def key_hash(line: Column) -> Column:
-    """Two hashes of the key; null for an empty key."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+def keyed_lines(text: Column) -> Column:
+    """The text's lines as ``line, h``: two hashes of the line's key, null for an empty
+    key. The key is the line without blanks at its ends, A-Z lower-cased (other letters
+    kept). One array per step, so nothing inside a lambda is evaluated twice."""
+    bare = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("k")))
+    ascii_only = lambda k: F.octet_length(k) == F.char_length(k)
+    keys = F.transform(bare, lambda s: F.struct(s["line"].alias("line"), F.when(
+        ascii_only(s["k"]), F.lower(s["k"])).otherwise(F.translate(s["k"], _UPPER, _LOWER)).alias("k")))
+    return F.transform(keys, lambda s: F.struct(s["line"].alias("line"), F.when(s["k"] != "", F.struct(
+        F.xxhash64(s["k"]).alias("h1"), F.xxhash64(F.lit(1), s["k"]).alias("h2"))).alias("h")))
 
 
 def line_hashes(docs: DataFrame, *cols: str) -> DataFrame:
     """``cols, h`` once per document and distinct non-empty key."""
-    keys = F.array_distinct(F.transform(lines_of(F.col("text")), key_hash))
+    keys = F.array_distinct(keyed_lines(F.col("text"))["h"])
     return docs.select(*cols, F.explode(keys).alias("h")).filter(F.col("h").isNotNull())
 
 
@@ -94,8 +93,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int) -> DataFrame:
             .groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("h").alias("hits")))
     rows = docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left")
     lines = lines_of(F.col("text"))
-    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("hits"), key_hash(x)), F.lit(False)))
-    kept = F.when(F.col("hits").isNull(), lines).otherwise(left)
+    left = F.filter(keyed_lines(F.col("text")), lambda s: ~F.coalesce(F.array_contains("hits", s["h"]), F.lit(False)))
+    kept = F.when(F.col("hits").isNull(), lines).otherwise(left["line"])
     return (rows.withColumn("kept_lines", kept)
             .select("doc_id", F.size(lines).cast("bigint").alias("n_lines"),
                     (F.size(lines) - F.size("kept_lines")).cast("bigint").alias("n_dropped"),
