@@ -51,4 +51,4 @@ def all_sql() -> dict[str, str]:
 def _load() -> None:
     # importing the catalogue modules fills the registry
     from quarry.plans import (cat_text, cat_training, cat_responses,  # noqa: F401
-                              cat_vectors, cat_metrics, cat_reports)
+                              cat_vectors, cat_metrics, cat_reports, cat_io)

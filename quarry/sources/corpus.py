@@ -11,7 +11,7 @@ from quarry.functions.text import split_lines, ustrip
 
 
 def load_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Scan text files in list order: ``source_file, file_pos, line_no, text``.
+    """Scan text files or folders in list order: ``source_file, file_pos, line_no, text``.
 
     Lines are stripped (Unicode whitespace) and blank ones dropped. The scan is
     split by Spark like any text source; ``line_no`` is the scan position
@@ -24,7 +24,8 @@ def load_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     pos = F.lit(None).cast("int")
     file_path = F.regexp_replace(F.col("_file"), _SCHEME, "")
     for i, p in enumerate(paths):
-        pos = F.when(file_path == F.lit(re.sub(_SCHEME, "", _uri(spark, p))), F.lit(i)).otherwise(pos)
+        path = re.sub(_SCHEME, "", _uri(spark, p)).rstrip("/")
+        pos = F.when((file_path == F.lit(path)) | file_path.startswith(path + "/"), F.lit(i)).otherwise(pos)
     raw = (spark.read.format("text").load(paths)
            .select(F.col("value"), F.col("_metadata.file_path").alias("_file"),
                    F.monotonically_increasing_id().alias("_line")))
