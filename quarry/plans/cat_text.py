@@ -31,13 +31,14 @@ def scan_nonblank(spark, sf):
 
 
 @query("corpus_union", sql=f"""
-SELECT 'documents' AS source_file, 0 AS file_pos, * FROM ({_lines_sql("documents", "doc_id", "text")})
+SELECT 'documents' AS source_file, 0 AS file_pos, * FROM ({_lines_sql("documents", "doc_id::VARCHAR", "text")})
 UNION ALL
-SELECT 'conversations', 1, * FROM ({_lines_sql("conversations", "conv_id * 1000 + turn", "text")})""")
+SELECT 'conversations', 1, * FROM ({_lines_sql("conversations", "conv_id || '|' || turn", "text")})""")
 def corpus_union(spark, sf):
-    docs = table_lines(table(spark, sf, "documents", spread_rows=True), "doc_id", "text")
+    docs = table_lines(table(spark, sf, "documents", spread_rows=True).withColumn(
+        "rec_id", F.col("doc_id").cast("string")), "rec_id", "text")
     conv = table(spark, sf, "conversations", spread_rows=True).withColumn(
-        "rec_id", F.col("conv_id") * 1000 + F.col("turn"))
+        "rec_id", F.concat_ws("|", "conv_id", "turn"))
     conv = table_lines(conv, "rec_id", "text")
     return (docs.select(F.lit("documents").alias("source_file"), F.lit(0).alias("file_pos"), "*")
             .unionByName(conv.select(F.lit("conversations").alias("source_file"),
