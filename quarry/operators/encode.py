@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quarry.functions.rand import hash_int
-from quarry.operators.ids import dense_index
+from quarry.operators.keys import distinct_texts
+from quarry.session import stage_table
 
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -56,9 +57,6 @@ class HashEncoder:
 
     dim: int = 64
     seed: int = 0
-    # cheaper to recompute than to write and read back: pipelines do not
-    # checkpoint its vectors (plug-in model encoders are checkpointed)
-    materialize_output: bool = False
 
     def __call__(self, text: Column) -> Column:
         # 60-bit md5 prefix per token: bucket = h mod dim, sign = bit 40
@@ -75,39 +73,37 @@ def pandas_encoder(fn: Callable[[list[str]], np.ndarray], dim: int) -> Callable[
     return enc
 
 
-def index_texts(rows: DataFrame, text_col: str, id_col: str,
-                order_cols: tuple[str, ...] = ("row_id",), with_total: bool = False,
-                dense: bool = False):
-    """Distinct texts of ``text_col`` with an exact id: ``<id_col>, text``.
+def index_texts(rows: DataFrame, text_col: str, id_col: str, order_col: str = "row_id",
+                with_total: bool = False):
+    """Distinct texts of ``text_col`` with an exact id: ``<id_col>, text_key, text``.
 
-    By default the id is the first ``order_cols[0]`` value (e.g. ``row_id``) at
-    which the text occurs - unique per text, found with one partially
-    aggregated group-by. ``dense=True`` numbers texts 0..n-1 in first-seen
-    order instead (range partitioning + checkpoint). With ``with_total`` also
+    The id is the first ``order_col`` value at which the text occurs - unique per
+    text, found with one partially aggregated group-by. With ``with_total`` also
     returns the number of distinct texts."""
-    from quarry.session import materialize
-    order_cols = list(order_cols)
-    if dense:
-        g = (rows.groupBy(F.col(text_col).alias("text"))
-                 .agg(F.min(F.struct(*order_cols)).alias("_first"))
-                 .select("text", *[F.col("_first")[c].alias(f"_o{i}") for i, c in enumerate(order_cols)]))
-        idx, total = dense_index(g, [f"_o{i}" for i in range(len(order_cols))], out=id_col,
-                                 with_total=True)
-        idx = idx.select(id_col, "text")
-    else:
-        if len(order_cols) != 1:
-            raise ValueError("first-seen ids need a single order column; use dense=True")
-        idx = materialize(rows.groupBy(F.col(text_col).alias("text"))
-                              .agg(F.min(order_cols[0]).cast("bigint").alias(id_col))
-                              .select(id_col, "text"))
-        total = idx.count() if with_total else None
-    return (idx, total) if with_total else idx
+    idx = distinct_texts(rows.select(F.col(text_col).alias("_t"), order_col), F.col("_t"),
+                         F.min(order_col).cast("bigint").alias(id_col))
+    return (idx, idx.count()) if with_total else idx
 
 
 def embed(index: DataFrame, id_col: str, encoder: Callable[[Column], Column]) -> DataFrame:
     """Vectors of an id/text index: ``<id_col>, embedding``.
 
-    Encoding is CPU-bound: an index that arrives in fewer partitions than
-    cores (AQE coalesces small-by-bytes shuffles) is spread first."""
+    Encoding is CPU-bound: an index read from fewer files than cores is spread first."""
     from quarry.sources.tables import spread
     return spread(index).select(id_col, encoder(F.col("text")).alias("embedding"))
+
+
+def embed_table(index: DataFrame, id_col: str, encoders: list) -> DataFrame:
+    """Vectors of an index under several encoders, written once as ``<id_col>, e0,
+    e1, ...``: one read of the texts for all encoders, and no text is encoded again
+    by a later step."""
+    from quarry.sources.tables import spread
+    return stage_table(spread(index).select(
+        id_col, *[enc(F.col("text")).alias(f"e{i}") for i, enc in enumerate(encoders)]), "vectors")
+
+
+def embed_all(index: DataFrame, id_col: str, encoders: list) -> list[DataFrame]:
+    """:func:`embed_table` as one ``<id_col>, embedding`` table per encoder."""
+    from quarry.sources.tables import spread
+    written = embed_table(index, id_col, encoders)
+    return [spread(written.select(id_col, F.col(f"e{i}").alias("embedding"))) for i in range(len(encoders))]

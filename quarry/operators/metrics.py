@@ -24,7 +24,8 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT_CONFIG, EvalConfig
 from quarry.functions.rand import hash_uniform
-from quarry.operators.retrieve import pair_similarity, rank_before, top_k
+from quarry.operators.retrieve import best_hits, counted_ranks, pair_similarity, score_pass, top_k
+from quarry.session import stage_table
 
 METRICS = ("precision@1", "precision@3", "precision@5", "mrr", "ndcg@5")
 METRIC_COLS = ("p_at_1", "p_at_3", "p_at_5", "mrr", "ndcg_at_5")
@@ -90,14 +91,28 @@ def judged_hits(hits: DataFrame, judg: DataFrame) -> DataFrame:
 
 def multi_query_metrics(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
                         similarity: str = "cosine", hits: DataFrame | None = None,
-                        n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+                        n_corpus: int | None = None) -> DataFrame:
     """M5-M7 per distinct query: ``query_id, weight, p_at_1.., mrr, ndcg_at_5``.
 
-    ``n_queries`` / ``n_corpus`` (upper bounds suffice) only size the blocks."""
+    ``n_corpus`` (an upper bound suffices) only sizes the blocks."""
     judg = judgements(rows)
-    hits = hits if hits is not None else top_k(queries, corpus, 5, similarity, n_queries, n_corpus)
-    jh = judged_hits(hits, judg)
     rel1 = F.col("gain") == F.lit(1.0)
+    # the best context judged 1.0 is the query's threshold; then one pass over the
+    # corpus returns both the top five and the rank of that context
+    rel = judg.filter(rel1).select("query_id", "ctx_id")
+    qv = queries.select("query_id", F.col("embedding").alias("_qe"))
+    cv = corpus.select("ctx_id", F.col("embedding").alias("_ce"))
+    scored = (rel.join(qv, "query_id").join(cv, "ctx_id")
+                 .withColumn("_s", pair_similarity(F.col("_qe"), F.col("_ce"), similarity)))
+    best = scored.groupBy("query_id").agg(
+        F.min(F.struct((-F.col("_s")).alias("ns"), F.col("ctx_id").alias("c"))).alias("_b"))
+    thr = stage_table(queries.join(best, "query_id", "left")
+                      .select("query_id", "embedding", (-F.col("_b.ns")).alias("thr_score"),
+                              F.col("_b.c").alias("thr_ctx")), "thresholds")
+    passed = stage_table(score_pass(thr, corpus, 0 if hits is not None else 5, similarity, n_corpus), "scored")
+    ranks = counted_ranks(passed)
+    hits = hits if hits is not None else best_hits(passed, 5)
+    jh = judged_hits(hits, judg)
     disc = F.lit(1.0) / F.log2(F.col("rank") + F.lit(1))
     prec = jh.groupBy("query_id").agg(
         *[(F.sum(F.when(rel1 & (F.col("rank") <= k), 1.0).otherwise(0.0)) / F.lit(float(k)))
@@ -110,18 +125,6 @@ def multi_query_metrics(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
                  .withColumn("_i", F.row_number().over(wi)).filter(F.col("_i") <= 5)
                  .groupBy("query_id")
                  .agg(F.sum(F.col("gain") / F.log2(F.col("_i") + F.lit(1))).alias("idcg")))
-    # full-depth rank of the best context judged 1.0
-    rel = judg.filter(rel1).select("query_id", "ctx_id")
-    qv = queries.select("query_id", F.col("embedding").alias("_qe"))
-    cv = corpus.select("ctx_id", F.col("embedding").alias("_ce"))
-    scored = (rel.join(qv, "query_id").join(cv, "ctx_id")
-                 .withColumn("_s", pair_similarity(F.col("_qe"), F.col("_ce"), similarity)))
-    best = scored.groupBy("query_id").agg(
-        F.min(F.struct((-F.col("_s")).alias("ns"), F.col("ctx_id").alias("c"))).alias("_b"))
-    thr = (queries.join(best, "query_id")
-                  .select("query_id", "embedding", (-F.col("_b.ns")).alias("thr_score"),
-                          F.col("_b.c").alias("thr_ctx")))
-    ranks = rank_before(thr, corpus, similarity, n_queries=n_queries, n_corpus=n_corpus)
     weights = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("weight"))
     return (weights.join(prec, "query_id", "left").join(ideal, "query_id", "left")
                    .join(ranks, "query_id", "left")
@@ -135,9 +138,9 @@ def multi_query_metrics(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
 
 def evaluate_multi(rows: DataFrame, queries: DataFrame, corpus: DataFrame,
                    similarity: str = "dot", hits: DataFrame | None = None,
-                   n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+                   n_corpus: int | None = None) -> DataFrame:
     """M8: one row; each metric summed over all rows (by query weight) / rows."""
-    per_q = multi_query_metrics(rows, queries, corpus, similarity, hits, n_queries, n_corpus)
+    per_q = multi_query_metrics(rows, queries, corpus, similarity, hits, n_corpus)
     total = F.sum("weight")
     return per_q.agg(*[F.coalesce(F.sum(F.col(c) * F.col("weight")) / total, F.lit(0.0)).alias(c)
                        for c in METRIC_COLS], total.alias("n_rows"))

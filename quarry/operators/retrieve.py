@@ -1,13 +1,19 @@
 """Exact vector retrieval without a cross join.
 
-Queries and corpus are cut into hash blocks; query block ``qb`` meets corpus
-block ``cb`` in one cogroup group, where numpy scores the pair of blocks
-(chunked, so a task holds at most ``query rows x chunk`` scores) and keeps a
-local top-k per query. A window over at most ``#corpus blocks x k`` candidates
-per query then gives the global top-k (Catalyst plans it as a
-WindowGroupLimit). Data moved: every query row once per corpus block and every
-corpus row once per query block, never the pairs; block counts follow from
-the row counts and the configured block sizes.
+One pass over the corpus scores it against the queries and keeps, per query, the
+k best contexts and (where a threshold is given) the number of contexts ordered
+before it. Two routes, same rows:
+
+* a query side of a checked size (``QUERY_BYTES``) is broadcast and the corpus
+  is scanned where it lies: no exchange of the corpus;
+* beyond it queries and corpus are cut into hash blocks; query block ``qb`` meets
+  corpus block ``cb`` in one cogroup group. Data moved: every query row once per
+  corpus block and every corpus row once per query block, never the pairs;
+  block counts follow from the row counts and the configured block sizes.
+
+Inside a task numpy scores chunk by chunk (at most ``query rows x chunk`` scores
+held). A window over the local candidates then gives the global top-k (Catalyst
+plans it as a WindowGroupLimit).
 
 Ordering is total: score descending, then ``ctx_id`` ascending. Cosine of a
 zero vector is 0.
@@ -19,13 +25,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PAIRS_PER_PARTITION = 64
-HIT_SCHEMA = "query_id bigint, ctx_id bigint, score double"
-COUNT_SCHEMA = "query_id bigint, n_before bigint"
+QUERY_BYTES = 64 << 20   # largest query side (vectors and kept hits) that is broadcast
+PASS_SCHEMA = "query_id bigint, ctx_id bigint, score double, n_before bigint"
 _SCORE_CELLS = 1 << 23   # at most ~8M float64 scores (64 MB) per chunk
 _QUERY_ROWS = 4096       # query rows scored at once
 _PAIR_CELLS = 1 << 21    # vector cells gathered at once by the pair kernel
@@ -83,70 +91,95 @@ def _filter_scores(q, qn, c, cn, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
     return q @ c.T, slack
 
 
-def _score_block(q: pd.DataFrame, c: pd.DataFrame, k: int, cosine: bool) -> pd.DataFrame:
-    """The k best contexts of each query in a block pair. The matrix product only
-    sorts out what cannot be among them; order and ties are decided by the pair
-    kernel (score desc, id asc)."""
-    if len(q) == 0 or len(c) == 0 or k < 1:
-        return pd.DataFrame({"query_id": [], "ctx_id": [], "score": []})
-    qm, cm = _matrix(q["q_vec"].values), _matrix(c["c_vec"].values)
-    qn, cn = _norms(qm), _norms(cm)
-    qids, cids = q["query_id"].to_numpy(np.int64), c["ctx_id"].to_numpy(np.int64)
-    out_r, out_c, out_s = [], [], []
-    for q0 in range(0, len(q), _QUERY_ROWS):
-        qs = slice(q0, min(q0 + _QUERY_ROWS, len(q)))
-        best = None
-        step = _chunk(qs.stop - qs.start)
-        for c0 in range(0, len(c), step):
-            cs = slice(c0, c0 + step)
-            s, slack = _filter_scores(qm[qs], qn[qs], cm[cs], cn[cs], cosine)
-            n = s.shape[1]
-            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1] if k < n else np.full(len(s), -np.inf)
-            rows, cols = np.nonzero(s >= (kth - 2 * slack)[:, None])
-            score = _pair_scores(qm[qs], qn[qs], cm[cs], cn[cs], rows, cols, cosine)
-            found = (rows, cids[cs][cols], score)
-            if best is not None:
-                found = tuple(np.concatenate(x) for x in zip(best, found))
-            order = np.lexsort((found[1], -found[2], found[0]))
-            rows, ids, score = (x[order] for x in found)
-            keep = (np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")) < k
-            best = (rows[keep], ids[keep], score[keep])
-        out_r.append(best[0] + q0)
-        out_c.append(best[1])
-        out_s.append(best[2])
-    return pd.DataFrame({"query_id": qids[np.concatenate(out_r)], "ctx_id": np.concatenate(out_c),
-                         "score": np.concatenate(out_s)})
-
-
-def _count_block(q: pd.DataFrame, c: pd.DataFrame, cosine: bool) -> pd.DataFrame:
-    """Per query: contexts ordered strictly before its threshold (score, ctx).
-    Pairs within the slack of the threshold are decided by the pair kernel, which
-    also made the threshold."""
-    if len(q) == 0:
-        return pd.DataFrame({"query_id": [], "n_before": []})
-    qids = q["query_id"].to_numpy(np.int64)
-    total = np.zeros(len(q), dtype=np.int64)
-    if len(c) == 0:
-        return pd.DataFrame({"query_id": qids, "n_before": total})
-    qm, cm = _matrix(q["q_vec"].values), _matrix(c["c_vec"].values)
-    qn, cn = _norms(qm), _norms(cm)
-    thr, tid = q["thr_score"].to_numpy(np.float64), q["thr_ctx"].to_numpy(np.int64)
-    cids = c["ctx_id"].to_numpy(np.int64)
-    for q0 in range(0, len(q), _QUERY_ROWS):
-        qs = slice(q0, min(q0 + _QUERY_ROWS, len(q)))
-        step = _chunk(qs.stop - qs.start)
-        for c0 in range(0, len(c), step):
-            cs = slice(c0, c0 + step)
-            s, slack = _filter_scores(qm[qs], qn[qs], cm[cs], cn[cs], cosine)
-            other = cids[cs][None, :] != tid[qs][:, None]
-            over = s > (thr[qs] + slack)[:, None]
-            total[qs] += (over & other).sum(axis=1)
-            rows, cols = np.nonzero(other & ~over & (s >= (thr[qs] - slack)[:, None]))
-            score = _pair_scores(qm[qs], qn[qs], cm[cs], cn[cs], rows, cols, cosine)
-            t = thr[qs][rows]
-            before = (score > t) | ((score == t) & (cids[cs][cols] < tid[qs][rows]))
-            total[qs] += np.bincount(rows[before], minlength=qs.stop - qs.start)
-    return pd.DataFrame({"query_id": qids, "n_before": total})
+def _vectors(col) -> np.ndarray:
+    """An Arrow list column as a matrix, from its flat buffer."""
+    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if len(arr) == 0:
+        return np.zeros((0, 0))
+    sizes = pc.min_max(pc.list_value_length(arr)).as_py()
+    if arr.null_count or sizes["min"] != sizes["max"]:
+        raise ValueError("embeddings must be present and of one dimension")
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), -1)
+
+
+class BlockScorer:
+    """A block of queries and what it keeps of the contexts it is fed: per query the
+    ``k`` best, and the number ordered before its threshold ``(thr, thr_ctx)`` (NaN:
+    none wanted). The matrix product only sorts out what is clearly in or out;
+    order and ties are decided by the pair kernel, which also made the thresholds."""
+
+    def __init__(self, ids, vecs, k: int, cosine: bool, thr=None, thr_ctx=None):
+        self.ids, self.vecs, self.k, self.cosine = np.asarray(ids, dtype=np.int64), vecs, k, cosine
+        self.norms = _norms(vecs)
+        self.ranked = thr is not None
+        self.thr = np.asarray(thr, dtype=np.float64) if self.ranked else None
+        self.thr_ctx = np.asarray(thr_ctx, dtype=np.int64) if self.ranked else None
+        self.before = np.zeros(len(self.ids), dtype=np.int64)
+        self.kth = np.full(len(self.ids), -np.inf)
+        none = np.zeros(0, dtype=np.int64)
+        self.best = {q0: (none, none, np.zeros(0)) for q0 in range(0, len(self.ids), _QUERY_ROWS)}
+
+    def add(self, cids: np.ndarray, cm: np.ndarray) -> None:
+        if len(cids) == 0:
+            return
+        cn = _norms(cm)
+        for q0 in self.best:
+            qs = slice(q0, min(q0 + _QUERY_ROWS, len(self.ids)))
+            step = _chunk(qs.stop - qs.start)
+            for c0 in range(0, len(cids), step):
+                cs = slice(c0, c0 + step)
+                self._chunk(q0, qs, cids[cs], cm[cs], cn[cs])
+
+    def _chunk(self, q0, qs, cids, cm, cn) -> None:
+        q, qn = self.vecs[qs], self.norms[qs]
+        s, slack = _filter_scores(q, qn, cm, cn, self.cosine)
+        if self.ranked:
+            thr, tid = self.thr[qs], self.thr_ctx[qs]
+            other = cids[None, :] != tid[:, None]
+            over = s > (thr + slack)[:, None]
+            self.before[qs] += (over & other).sum(axis=1)
+            rows, cols = np.nonzero(other & ~over & (s >= (thr - slack)[:, None]))
+            score = _pair_scores(q, qn, cm, cn, rows, cols, self.cosine)
+            t = thr[rows]
+            before = (score > t) | ((score == t) & (cids[cols] < tid[rows]))
+            self.before[qs] += np.bincount(rows[before], minlength=len(q))
+        if self.k:
+            floor = self.kth[qs] - slack
+            if self.k < s.shape[1]:
+                kth = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1]
+                floor = np.maximum(floor, kth - 2 * slack)
+            rows, cols = np.nonzero(s >= floor[:, None])
+            found = (rows, cids[cols], _pair_scores(q, qn, cm, cn, rows, cols, self.cosine))
+            rows, ids, score = (np.concatenate(x) for x in zip(self.best[q0], found))
+            order = np.lexsort((ids, -score, rows))
+            rows, ids, score = rows[order], ids[order], score[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            keep = place < self.k
+            self.best[q0] = rows[keep], ids[keep], score[keep]
+            last = place == self.k - 1
+            self.kth[qs.start + rows[last]] = score[last]
+
+    def table(self) -> pa.Table:
+        """Rows of PASS_SCHEMA: a hit has ``ctx_id, score``, a count ``n_before``."""
+        rows = [np.zeros(0, dtype=np.int64)] + [b[0] + q0 for q0, b in self.best.items()]
+        ids = [np.zeros(0, dtype=np.int64)] + [b[1] for b in self.best.values()]
+        score = [np.zeros(0)] + [b[2] for b in self.best.values()]
+        rows, ids, score = np.concatenate(rows), np.concatenate(ids), np.concatenate(score)
+        want = np.flatnonzero(~np.isnan(self.thr)) if self.ranked else np.zeros(0, dtype=np.int64)
+        gap = lambda n, kind: pa.nulls(n, kind)
+        return pa.table({
+            "query_id": pa.concat_arrays([pa.array(self.ids[rows]), pa.array(self.ids[want])]),
+            "ctx_id": pa.concat_arrays([pa.array(ids), gap(len(want), pa.int64())]),
+            "score": pa.concat_arrays([pa.array(score), gap(len(want), pa.float64())]),
+            "n_before": pa.concat_arrays([gap(len(rows), pa.int64()), pa.array(self.before[want])])})
+
+
+def _scorer(q: pa.Table, k: int, cosine: bool) -> BlockScorer:
+    thr = tid = None
+    if "thr_score" in q.column_names:
+        thr = q["thr_score"].to_numpy()
+        tid = pc.fill_null(q["thr_ctx"], 0).to_numpy()
+    return BlockScorer(q["query_id"].to_numpy(), _vectors(q["q_vec"]), k, cosine, thr, tid)
 
 
 def plan_blocks(n_queries: int, n_corpus: int, parallelism: int,
@@ -169,20 +202,16 @@ def plan_blocks(n_queries: int, n_corpus: int, parallelism: int,
     return qb, cb
 
 
-def _blocked(queries: DataFrame, corpus: DataFrame, qb: int, cb: int, extra_q=()):
-    q = (queries.select(F.col("query_id").cast("bigint").alias("query_id"),
-                        F.col("embedding").alias("q_vec"), *extra_q)
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
+def _blocked(q: DataFrame, c: DataFrame, qb: int, cb: int):
+    q = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
          .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cb - 1).cast("bigint")))))
-    c = (corpus.select(F.col("ctx_id").cast("bigint").alias("ctx_id"), F.col("embedding").alias("c_vec"))
-         .withColumn("cb", F.pmod(F.xxhash64("ctx_id", F.lit(7)), F.lit(cb)))
+    c = (c.withColumn("cb", F.pmod(F.xxhash64("ctx_id", F.lit(7)), F.lit(cb)))
          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint")))))
     # Scoring is CPU-bound numpy: spread the block pairs over an explicit
     # number of partitions (AQE keeps user-given counts; it would otherwise
     # coalesce this small-by-bytes shuffle onto a few cores). Both sides use
     # the same hash partitioning, so the cogroup adds no further exchange.
-    spark = queries.sparkSession
-    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = 4 * int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # beyond that, enough partitions that each holds a bounded number of block pairs
     parts = max(1, min(qb * cb, max(least, qb * cb // PAIRS_PER_PARTITION)))
     q = q.repartition(parts, "qb", "cb")
@@ -190,63 +219,85 @@ def _blocked(queries: DataFrame, corpus: DataFrame, qb: int, cb: int, extra_q=()
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
 
 
-def _sizes(queries: DataFrame, corpus: DataFrame, n_queries, n_corpus):
-    nq = queries.count() if n_queries is None else n_queries
-    nc = corpus.count() if n_corpus is None else n_corpus
-    return nq, nc
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, similarity: str = "cosine",
-          n_queries: int | None = None, n_corpus: int | None = None,
-          query_block_rows: int = 4096, corpus_block_rows: int = 16384) -> DataFrame:
-    """Top-k contexts per query: ``query_id, ctx_id, score, rank`` (rank 1..k).
-
-    ``queries``: ``query_id, embedding``; ``corpus``: ``ctx_id, embedding``
-    (ids unique; embeddings array<float|double> of one dimension)."""
+def score_pass(queries: DataFrame, corpus: DataFrame, k: int, similarity: str = "cosine",
+               n_corpus: int | None = None,
+               query_block_rows: int = 4096, corpus_block_rows: int = 16384,
+               query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """One scoring pass, rows of PASS_SCHEMA: local top-``k`` candidates
+    (``ctx_id, score``) and, if ``queries`` has ``thr_score, thr_ctx``, local
+    counts ``n_before``. ``queries``: ``query_id, embedding``; a query without a
+    threshold (null) gets no count. The query side is read twice (its size is
+    checked before it may be broadcast): hand in a written table."""
     if similarity not in ("cosine", "dot"):
         raise ValueError("similarity must be 'cosine' or 'dot'")
     cosine = similarity == "cosine"
     spark = queries.sparkSession
-    nq, nc = _sizes(queries, corpus, n_queries, n_corpus)
-    qb, cb = plan_blocks(nq, nc, spark.sparkContext.defaultParallelism,
+    extra = [c for c in ("thr_score", "thr_ctx") if c in queries.columns]
+    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").alias("q_vec"), *extra)
+    c = corpus.select(F.col("ctx_id").cast("bigint").alias("ctx_id"), F.col("embedding").alias("c_vec"))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q_vec")).alias("d")).first()
+    if size["n"] * (8 * (size["d"] or 0) + 32 * (k + 1)) <= query_bytes:
+        side = spark.sparkContext.broadcast(q.toArrow())
+
+        def scan(batches):
+            scorer = _scorer(side.value, k, cosine)
+            for batch in batches:
+                scorer.add(batch.column(0).to_numpy(), _vectors(batch.column(1)))
+            yield from scorer.table().to_batches()
+
+        return c.mapInArrow(scan, PASS_SCHEMA)
+    nc = corpus.count() if n_corpus is None else n_corpus
+    qb, cb = plan_blocks(size["n"], nc, spark.sparkContext.defaultParallelism,
                          query_block_rows, corpus_block_rows)
 
-    def fn(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        return _score_block(qdf, cdf, k, cosine)
+    def meet(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        scorer = _scorer(qt, k, cosine)
+        scorer.add(ct["ctx_id"].to_numpy(), _vectors(ct["c_vec"]))
+        return scorer.table()
+
+    return _blocked(q, c, qb, cb).applyInArrow(meet, PASS_SCHEMA)
+
 
-    cands = _blocked(queries, corpus, qb, cb).applyInPandas(fn, HIT_SCHEMA)
+def best_hits(passed: DataFrame, k: int) -> DataFrame:
+    """Global top-k of a scoring pass: ``query_id, ctx_id, score, rank``."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ctx_id").asc())
-    return (cands.withColumn("rank", F.row_number().over(w))
-                 .filter(F.col("rank") <= k))
+    return (passed.filter(F.col("ctx_id").isNotNull()).select("query_id", "ctx_id", "score")
+                  .withColumn("rank", F.row_number().over(w))
+                  .filter(F.col("rank") <= k))
+
+
+def counted_ranks(passed: DataFrame) -> DataFrame:
+    """Full-depth ranks of a scoring pass: ``query_id, rank``."""
+    return (passed.filter(F.col("n_before").isNotNull())
+                  .groupBy("query_id").agg((F.sum("n_before") + 1).alias("rank")))
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, similarity: str = "cosine",
+          n_corpus: int | None = None,
+          query_block_rows: int = 4096, corpus_block_rows: int = 16384,
+          query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Top-k contexts per query: ``query_id, ctx_id, score, rank`` (rank 1..k).
+
+    ``queries``: ``query_id, embedding``; ``corpus``: ``ctx_id, embedding``
+    (ids unique; embeddings array<float|double> of one dimension)."""
+    return best_hits(score_pass(queries.select("query_id", "embedding"), corpus, k, similarity,
+                                n_corpus, query_block_rows, corpus_block_rows, query_bytes), k)
 
 
 def rank_before(queries: DataFrame, corpus: DataFrame, similarity: str = "cosine",
-                n_queries: int | None = None, n_corpus: int | None = None,
+                n_corpus: int | None = None,
                 query_block_rows: int = 4096, corpus_block_rows: int = 16384,
-                key: str = "query_id") -> DataFrame:
+                key: str = "query_id", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Full-depth rank of a given context per query without sorting all pairs.
 
     ``queries``: ``<key>, embedding, thr_score, thr_ctx`` (key unique) ->
     ``<key>, rank`` where rank = 1 + #contexts ordered before
     (thr_score desc, thr_ctx asc); the context ``thr_ctx`` itself is never
     counted."""
-    if key != "query_id":
-        queries = queries.withColumnRenamed(key, "query_id")
-        out = rank_before(queries, corpus, similarity, n_queries, n_corpus,
-                          query_block_rows, corpus_block_rows)
-        return out.withColumnRenamed("query_id", key)
-    cosine = similarity == "cosine"
-    spark = queries.sparkSession
-    nq, nc = _sizes(queries, corpus, n_queries, n_corpus)
-    qb, cb = plan_blocks(nq, nc, spark.sparkContext.defaultParallelism,
-                         query_block_rows, corpus_block_rows)
-
-    def fn(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        return _count_block(qdf, cdf, cosine)
-
-    counts = _blocked(queries, corpus, qb, cb, extra_q=("thr_score", "thr_ctx")).applyInPandas(
-        fn, COUNT_SCHEMA)
-    return counts.groupBy("query_id").agg((F.sum("n_before") + 1).alias("rank"))
+    q = queries.select(F.col(key).alias("query_id"), "embedding", "thr_score", "thr_ctx")
+    passed = score_pass(q, corpus, 0, similarity, n_corpus, query_block_rows,
+                        corpus_block_rows, query_bytes)
+    return counted_ranks(passed).withColumnRenamed("query_id", key)
 
 
 def pair_similarity(a, b, similarity: str = "cosine"):

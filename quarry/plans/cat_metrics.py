@@ -1,5 +1,5 @@
 """Catalogue: metric families, simulated metrics and model comparison
-(M1-M17) over the embeddings table with models A (64 d) and B (first 32 d)."""
+(M1-M17) over the embeddings table with models A (64 d) and B (folded to 32 d)."""
 
 from __future__ import annotations
 
@@ -128,7 +128,7 @@ MULTI = f"WITH {emb_ctes(sim='dot')}, {_multi_sql('')}"
 
 def _multi_q(spark, sf):
     rows, q, c = emb_inputs(spark, sf)
-    return multi_query_metrics(rows, q, c, "dot", n_queries=q.count(), n_corpus=c.count())
+    return multi_query_metrics(rows, q, c, "dot")
 
 
 @query("multi_precision", sql=f"""{MULTI}
@@ -158,7 +158,7 @@ def evaluate_multi_q(spark, sf):
     parts = []
     for name, dims in MODELS:
         rows, q, c = emb_inputs(spark, sf, dims)
-        e = evaluate_multi(rows, q, c, "dot", n_queries=q.count(), n_corpus=c.count())
+        e = evaluate_multi(rows, q, c, "dot")
         parts.append(e.select(F.lit(name).alias("model"), *r6(), "n_rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -6,15 +6,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators.training import (distinct_contexts, mini_batches, run_manifest,
-                                       sample_negatives, training_examples, training_labelled)
+                                       sample_negatives, training_examples, training_keys,
+                                       training_labelled)
 from quarry.plans.common import TEST_CFG, eval_set
+from quarry.plans.pipelines import build_training_set
 from quarry.plans.registry import query
 from quarry.plans.sqlfrag import (EVAL_SET_CTES, SEED, TEST_SET_CTES, alt_rows_cte,
                                   contexts_cte, hkey, parsed_cte, ring_offsets_sql)
-from quarry.session import materialize
+from quarry.session import scratch_dir, stage_table
+from quarry.sources.reports import manifest_json, write_json
 from quarry.sources.tables import table
 
 SEP = " ||| "
+RUN_STAMP = "2026-01-01 00:00:00"
 
 
 @query("positive_filter", sql=f"""
@@ -149,16 +153,37 @@ SELECT row_id, aug_pos, epoch::INTEGER AS epoch,
        (row_number() OVER (PARTITION BY epoch ORDER BY h, row_id, aug_pos) - 1) // 16 AS batch_id
 FROM e""")
 def mini_batches_q(spark, sf):
-    t = training_examples(eval_set(spark, sf), 3, TEST_CFG).select("row_id", "aug_pos")
-    return mini_batches(materialize(t), ["row_id", "aug_pos"], batch_size=16, epochs=2, seed=SEED)
+    keys = stage_table(training_keys(eval_set(spark, sf), TEST_CFG), "tuple-keys")
+    return mini_batches(keys, ["row_id", "aug_pos"], batch_size=16, epochs=2, seed=SEED)
+
+
+@query("training_set", sql=f"""
+WITH {TRAIN_CTES},
+e AS (SELECT row_id, aug_pos, query, md5(positive) AS positive_md5, md5(negatives) AS negatives_md5, epoch,
+             {hkey([str(SEED), "'batch'", 'epoch', "concat_ws('|', row_id, aug_pos)"])} AS h
+      FROM tuples, (SELECT unnest(range(3)) AS epoch))
+SELECT row_id, aug_pos, query, positive_md5, negatives_md5, epoch::INTEGER AS epoch,
+       (row_number() OVER (PARTITION BY epoch ORDER BY h, row_id, aug_pos) - 1) // 16 AS batch_id
+FROM e""")
+def training_set_q(spark, sf):
+    """The tuples in their batches."""
+    t = build_training_set(eval_set(spark, sf), TEST_CFG, epochs=3)
+    tuples = t["tuples"].select("row_id", "aug_pos", "query", F.md5("positive").alias("positive_md5"),
+                                F.md5(F.array_join("negatives", SEP)).alias("negatives_md5"))
+    return (t["batches"].join(tuples, ["row_id", "aug_pos"])
+            .select("row_id", "aug_pos", "query", "positive_md5", "negatives_md5", "epoch", "batch_id"))
 
 
 @query("run_manifest", sql=f"""
 WITH {TRAIN_CTES}
 SELECT 'base' AS base_model, 3 AS epochs, 16 AS batch_size, 2e-5::DOUBLE AS learning_rate,
        count(*) AS training_examples, ceil(count(*) / 16)::BIGINT AS batches_per_epoch,
-       floor(ceil(count(*) / 16) * 0.1)::BIGINT AS warmup_steps
+       floor(ceil(count(*) / 16) * 0.1)::BIGINT AS warmup_steps, '{RUN_STAMP}' AS timestamp
 FROM tuples""")
 def run_manifest_q(spark, sf):
-    t = training_examples(eval_set(spark, sf), 3, TEST_CFG)
-    return run_manifest(t, "base", epochs=3, batch_size=16, learning_rate=2e-5)
+    """The run record, written as JSON and read back."""
+    keys = training_keys(eval_set(spark, sf), TEST_CFG)
+    record = run_manifest(keys, "base", epochs=3, batch_size=16, learning_rate=2e-5, generated_at=RUN_STAMP)
+    path = scratch_dir(spark, "manifest")
+    write_json(manifest_json(record), path)
+    return spark.read.schema(record.schema).json(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_CONFIG
-from quarry.plans.sqlfrag import TEST_GENRES
-from quarry.sources.tables import table
+from quarry.plans.sqlfrag import TEST_GENRES, VECTOR_DIMS, fold_sign
+from quarry.session import stage_table
+from quarry.sources.tables import spread, table
 
 # The test tables carry no tags; entries are tagged from source and language,
 # and the first five sources play the role of whitelisted genres.
@@ -30,13 +33,19 @@ def joined(col, sep: str = "|"):
     return F.array_join(col, sep)
 
 
-# Two "models" over the embeddings table: all 64 dimensions, and the first 32.
+# Two "models" over the embeddings table: the vectors as they are, and all 64
+# dimensions folded to 32 with seeded signs (see sqlfrag.fold_sign).
 MODELS = (("A", 64), ("B", 32))
 
 
 def model_vectors(spark: SparkSession, sf: str, dims: int) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", F.slice("embedding", 1, dims).alias("embedding"))
+    e = table(spark, sf, "embeddings", spread_rows=True)
+    if dims == VECTOR_DIMS:
+        return e.select("vec_id", "label", "embedding")
+    x = F.col("embedding").cast("array<double>")
+    folded = [reduce(lambda a, b: a + b, [x[j] * F.lit(fold_sign(j)) for j in range(i, VECTOR_DIMS, dims)])
+              for i in range(dims)]
+    return e.select("vec_id", "label", F.array(*folded).alias("embedding"))
 
 
 def emb_rows(spark: SparkSession, sf: str, outer: bool = False) -> DataFrame:
@@ -61,8 +70,7 @@ def emb_inputs(spark: SparkSession, sf: str, dims: int = 64):
     v = model_vectors(spark, sf, dims)
     queries = v.join(rows.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     corpus = v.join(rows.select(F.col("ctx_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    # each is read by several operators downstream: materialise once
-    from quarry.session import materialize
-    return (materialize(rows),
-            materialize(queries.select(F.col("vec_id").alias("query_id"), "embedding")),
-            materialize(corpus.select(F.col("vec_id").alias("ctx_id"), "embedding")))
+    # each is read by several operators downstream: written once
+    return (stage_table(rows, "emb-rows"),
+            stage_table(queries.select(F.col("vec_id").alias("query_id"), "embedding"), "emb-queries"),
+            spread(stage_table(corpus.select(F.col("vec_id").alias("ctx_id"), "embedding"), "emb-corpus")))

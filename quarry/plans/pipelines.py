@@ -1,9 +1,11 @@
 """End-to-end pipelines (P1-P4) as compositions of the operators.
 
 Every function takes and returns DataFrames; intermediate tables that are
-read more than once are checkpointed to the shared checkpoint folder (the
+read more than once are written as Parquet to the shared checkpoint folder (the
 equivalent of the hand-off files between the original scripts), which also
-cuts lineage so lost executors only recompute from there.
+cuts lineage so lost executors only recompute from there (``drop_staged``
+removes them). Context texts are keyed: each distinct one is written once, rows
+carry its key.
 """
 
 from __future__ import annotations
@@ -18,25 +20,20 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULT_CONFIG, EXAMPLE_QUERIES, EvalConfig
 from quarry.operators.compare import (best_metric, best_model, improvement, model_means,
                                       one_metric, wide_to_long)
-from quarry.operators.encode import embed, index_texts
+from quarry.operators.encode import embed_all, embed_table, index_texts
+from quarry.operators.keys import distinct_texts, text_key
 from quarry.operators.metrics import (METRIC_COLS, METRICS, dataset_composition, evaluate_multi,
                                       evaluate_rowwise, simulated_metrics)
 from quarry.operators.parse import to_documents
 from quarry.operators.querygen import generate_queries
 from quarry.operators.responses import failed_requests, parse_responses, render_requests
 from quarry.operators.retrieve import pair_similarity, top_k
-from quarry.operators.training import mini_batches, run_manifest, training_examples
-from quarry.session import ensure_checkpoint_dir
-from quarry.sources.tables import spread
+from quarry.operators.training import mini_batches, run_manifest, training_examples, training_keys
+from quarry.session import stage_table
 
 Encoder = Callable[[Column], Column]
 
 
-def _ckpt(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 # -- P1 -------------------------------------------------------------------------
 
 def build_eval_set(entries: DataFrame, cfg: EvalConfig = DEFAULT_CONFIG, text_col: str = "text",
@@ -57,25 +54,24 @@ class IndexedRows:
 
 
 def index_eval_rows(eval_rows: DataFrame) -> IndexedRows:
-    """Distinct query and context texts get dense ids; rows keep only ids."""
-    # missing texts are empty texts (B15): no row is lost in the joins on text
-    eval_rows = _ckpt(eval_rows.select("row_id", F.coalesce("query", F.lit("")).alias("query"),
-                                       F.coalesce("context", F.lit("")).alias("context"), "relevance"))
-    qi, nq = index_texts(eval_rows, "query", "query_id", with_total=True)
-    ci, nc = index_texts(eval_rows, "context", "ctx_id", with_total=True)
-    rows = (eval_rows.select("row_id", "query", "context", "relevance")
-            .join(qi.withColumnRenamed("text", "query"), "query")
-            .join(ci.withColumnRenamed("text", "context"), "context")
-            .select("row_id", "query_id", "ctx_id", "relevance"))
-    return IndexedRows(_ckpt(rows), qi, ci, nq, nc)
-
-
-def _vectors(ix: IndexedRows, encoder: Encoder):
-    """Query and context vectors; written to the checkpoint folder unless the
-    encoder says recomputing is cheaper (``materialize_output = False``)."""
-    keep = _ckpt if getattr(encoder, "materialize_output", True) else (lambda df: df)
-    return (keep(embed(ix.queries, "query_id", encoder)),
-            keep(embed(ix.contexts, "ctx_id", encoder)))
+    """Ids for the distinct query and context texts; rows keep only ids.
+
+    The rows are written with their (short) queries and the keys of both texts,
+    the distinct contexts in a second narrow pass over the source; no context text
+    is joined."""
+    # missing texts are empty texts (B15): no row is lost in the joins on keys
+    src = eval_rows.select("row_id", F.coalesce("query", F.lit("")).alias("query"),
+                           F.coalesce("context", F.lit("")).alias("context"), "relevance")
+    rows = stage_table(src.select("row_id", "query", text_key(F.col("query")).alias("q_key"),
+                                  text_key(F.col("context")).alias("c_key"), "relevance"), "eval-rows")
+    qi, nq = index_texts(rows, "query", "query_id", with_total=True)
+    ci, nc = index_texts(src, "context", "ctx_id", with_total=True)
+    ids = (rows.select("row_id", "q_key", "c_key", "relevance")
+           .join(qi.select(F.col("text_key").alias("q_key"), "query_id"), "q_key")
+           .join(ci.select(F.col("text_key").alias("c_key"), "ctx_id"), "c_key")
+           .select("row_id", "query_id", "ctx_id", "relevance"))
+    return IndexedRows(stage_table(ids, "eval-ids"), qi.select("query_id", "text"),
+                       ci.select("ctx_id", "text"), nq, nc)
 
 
 # -- P2 -------------------------------------------------------------------------
@@ -94,54 +90,55 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
     ex = spark.createDataFrame([(least - 1 - i, q) for i, q in enumerate(example_queries)],
                                "query_id bigint, text string")
     k = max(5, k_examples)
+    encoders = list(models.values())
+    qvs = embed_all(ix.queries.unionByName(ex), "query_id", encoders)
+    cvs = embed_all(ix.contexts, "ctx_id", encoders)
     boards, examples = [], []
-    for pos, (name, enc) in enumerate(models.items()):
-        qv = embed(ix.queries.unionByName(ex), "query_id", enc)
-        cv = embed(ix.contexts, "ctx_id", enc)
-        hits = _ckpt(top_k(qv, cv, k, "cosine", n_queries=ix.n_queries + len(example_queries),
-                           n_corpus=ix.n_contexts))
-        eval_hits = hits.filter(~is_example & (F.col("rank") <= 5))
-        m = evaluate_rowwise(ix.rows, None, None, "cosine", hits=eval_hits)
+    for pos, (name, qv, cv) in enumerate(zip(models, qvs, cvs, strict=True)):
+        # written with the model's name: a literal would let the optimizer push the
+        # semi-join below into the union and turn it into a non-equi join
+        hits = stage_table(top_k(qv, cv, k, "cosine", n_corpus=ix.n_contexts)
+                           .withColumn("model", F.lit(name)), "hits")
+        m = evaluate_rowwise(ix.rows, None, None, "cosine", hits=hits.filter(~is_example & (F.col("rank") <= 5)))
         boards.append(m.select(F.lit(name).alias("model"), F.lit(pos).alias("model_pos"), *METRIC_COLS,
                                "n_rows"))
         examples.append(hits.filter(is_example & (F.col("rank") <= k_examples))
-                        .select(F.lit(name).alias("model"), (F.lit(least - 1) - F.col("query_id")).alias("query_id"),
+                        .select("model", (F.lit(least - 1) - F.col("query_id")).alias("query_id"),
                                 "rank", "ctx_id", "score"))
-    board = _ckpt(reduce(lambda a, b: a.unionByName(b), boards))
+    board = stage_table(reduce(lambda a, b: a.unionByName(b), boards), "board")
     best = best_model(board).select("model", "mrr")
     ex0 = ex.select((F.lit(least - 1) - F.col("query_id")).alias("query_id"), F.col("text").alias("query"))
-    # materialised first: with the per-branch literal model names visible,
-    # the optimizer would push the semi-join into the union branches and turn
-    # it into a non-equi (nested loop) join
-    ex_hits = (_ckpt(reduce(lambda a, b: a.unionByName(b), examples))
+    ex_hits = (reduce(lambda a, b: a.unionByName(b), examples)
                .join(best.select("model"), "model", "left_semi")
                .join(ex0, "query_id")
                .join(ix.contexts.withColumnRenamed("text", "context"), "ctx_id"))
     return {"board": board, "best": best, "examples": ex_hits,
-            "composition": dataset_composition(eval_rows)}
+            "composition": dataset_composition(ix.rows)}
 
 
 # -- P3 -------------------------------------------------------------------------
 
 def build_training_set(eval_rows: DataFrame, cfg: EvalConfig = DEFAULT_CONFIG, epochs: int = 3,
-                       learning_rate: float = 2e-5, base_model: str = "base") -> dict:
-    tuples = _ckpt(training_examples(eval_rows, cfg.num_negatives, cfg))
-    batches = mini_batches(tuples.select("row_id", "aug_pos"), ["row_id", "aug_pos"],
-                           cfg.batch_size, epochs, cfg.seed)
-    manifest = run_manifest(tuples, base_model, epochs, cfg.batch_size, learning_rate)
-    return {"tuples": tuples, "batches": batches, "manifest": manifest}
+                       learning_rate: float = 2e-5, base_model: str = "base",
+                       generated_at: str | None = None) -> dict:
+    """Training tuples, their batches and the run record; the latter two need the
+    tuples' keys only."""
+    keys = stage_table(training_keys(eval_rows, cfg), "tuple-keys")
+    return {"tuples": training_examples(eval_rows, cfg.num_negatives, cfg),
+            "batches": mini_batches(keys, ["row_id", "aug_pos"], cfg.batch_size, epochs, cfg.seed),
+            "manifest": run_manifest(keys, base_model, epochs, cfg.batch_size, learning_rate,
+                                     generated_at=generated_at)}
 
 
 def compare_models(eval_rows: DataFrame, base: Encoder, candidate: Encoder,
                    similarity: str = "dot") -> DataFrame:
     """Multi-relevant metrics of two encoders and their improvement table."""
     ix = index_eval_rows(eval_rows)
+    qvs = embed_all(ix.queries, "query_id", [base, candidate])
+    cvs = embed_all(ix.contexts, "ctx_id", [base, candidate])
     parts = []
-    for name, enc in (("base", base), ("candidate", candidate)):
-        qv, cv = _vectors(ix, enc)
-        hits5 = top_k(qv, cv, 5, similarity, n_queries=ix.n_queries, n_corpus=ix.n_contexts)
-        e = evaluate_multi(ix.rows, qv, cv, similarity, hits=hits5,
-                           n_queries=ix.n_queries, n_corpus=ix.n_contexts)
+    for name, qv, cv in zip(("base", "candidate"), qvs, cvs, strict=True):
+        e = evaluate_multi(ix.rows, qv, cv, similarity, n_corpus=ix.n_contexts)
         parts.append(wide_to_long(e.withColumn("model", F.lit(name)), list(METRIC_COLS), list(METRICS)))
     means = reduce(lambda a, b: a.unionByName(b), parts)
     return improvement(means, "base", "candidate")
@@ -166,23 +163,26 @@ def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
                    order_cols: tuple[str, ...] = ("entry_id", "resp_id", "line_no")) -> dict:
     """Simulated RAG metrics of (query, context) pairs for two encoders.
 
-    Query and context texts are encoded once per distinct text and joined
-    back on the text; the pair similarity follows the two equi-joins."""
-    rows = _ckpt(test_set.select(
+    Query and context texts are encoded once per distinct text, by both encoders in
+    one pass, and their vectors joined back by key; one pass over the rows gives both
+    similarities."""
+    src = test_set.select(
         F.concat_ws("|", *[F.col(c).cast("string") for c in order_cols]).alias("row_id"),
-        "query", "context", (F.col("context") == F.lit("")).alias("context_empty")))
-    qt = spread(_ckpt(rows.select(F.col("query").alias("_qt")).distinct()))
-    ct = spread(_ckpt(rows.filter(~F.col("context_empty")).select(F.col("context").alias("_ct")).distinct()))
-    longs = []
-    for name, enc in (("base", base), ("candidate", candidate)):
-        qv = qt.select("_qt", enc(F.col("_qt")).alias("_qe"))
-        cv = ct.select("_ct", enc(F.col("_ct")).alias("_ce"))
-        p = (rows.join(qv, rows["query"] == qv["_qt"])
-                 .join(cv, rows["context"] == cv["_ct"], "left")
-                 .select("row_id", "context_empty",
-                         pair_similarity(F.col("_qe"), F.col("_ce")).alias("similarity")))
-        longs.append(simulated_metrics(p, name, cfg))
-    long = _ckpt(reduce(lambda a, b: a.unionByName(b), longs))
-    impr = _ckpt(improvement(model_means(long), "base", "candidate"))
+        F.coalesce("query", F.lit("")).alias("query"), F.coalesce("context", F.lit("")).alias("context"))
+    empty = F.col("context") == F.lit("")
+    rows = stage_table(src.select("row_id", "query", text_key(F.col("query")).alias("q_key"),
+                                  text_key(F.col("context")).alias("c_key"), empty.alias("context_empty")), "pairs")
+    texts = {"q": distinct_texts(rows.select("query"), F.col("query")),
+             "c": distinct_texts(src.filter(~empty).select("context"), F.col("context"))}
+    p = rows.select("row_id", "q_key", "c_key", "context_empty")
+    for side, how in (("q", "inner"), ("c", "left")):
+        v = embed_table(texts[side], "text_key", [base, candidate])
+        p = p.join(v.toDF(f"{side}_key", f"_{side}0", f"_{side}1"), f"{side}_key", how)
+    p = stage_table(p.select("row_id", "context_empty", pair_similarity(F.col("_q0"), F.col("_c0")).alias("s0"),
+                             pair_similarity(F.col("_q1"), F.col("_c1")).alias("s1")), "similarities")
+    long = reduce(lambda a, b: a.unionByName(b), [
+        simulated_metrics(p.withColumnRenamed(f"s{i}", "similarity"), name, cfg)
+        for i, name in enumerate(("base", "candidate"))])
+    impr = stage_table(improvement(model_means(long), "base", "candidate"), "improvement")
     return {"per_row": long, "improvement": impr, "best_metric": best_metric(impr),
             "faithfulness": one_metric(impr, "simulated_faithfulness")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from quarry.config import DEFAULT_CONFIG
 from quarry.functions.text import WHITESPACE, WS_CLASS
 
@@ -169,12 +171,28 @@ def dot_sql(a: str, b: str) -> str:
     return f"list_dot_product({a}, {b})"
 
 
+VECTOR_DIMS = 64
+
+
+def fold_sign(j: int) -> float:
+    """Seeded sign of dimension ``j`` in the folded test vectors (model B)."""
+    return -1.0 if int(hashlib.md5(f"{SEED}|fold|{j}".encode()).hexdigest()[:8], 16) & 1 else 1.0
+
+
+def _model_vector_sql(dims: int) -> str:
+    if dims == VECTOR_DIMS:
+        return "embedding::DOUBLE[]"
+    return "[" + ", ".join(
+        " + ".join(f"embedding[{j + 1}]::DOUBLE * {fold_sign(j)}::DOUBLE" for j in range(i, VECTOR_DIMS, dims))
+        for i in range(dims)) + "]"
+
+
 def emb_ctes(dims: int = 64, outer: bool = False, sim: str = "cos", p: str = "") -> str:
     """Embedding eval rows (see plans.common.emb_rows), vectors and all
     query x corpus scores with their rank (oracle only: all pairs)."""
     join = "LEFT JOIN" if outer else "JOIN"
     simf = cos_sql if sim == "cos" else dot_sql
-    return f"""{p}e AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, {dims}) AS v, label FROM embeddings),
+    return f"""{p}e AS (SELECT vec_id, {_model_vector_sql(dims)} AS v, label FROM embeddings),
 {p}rows AS (
   SELECT q.vec_id * 3 + o.off - 1 AS row_id, q.vec_id AS query_id, q.vec_id + o.off AS ctx_id,
          CASE WHEN q.label = c.label THEN 1.0 ELSE 0.0 END::DOUBLE AS relevance,

@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over at least ``min_partitions`` tasks when the
     scan yields fewer (e.g. one large row group); a no-op when the source is
-    already split finer, as any large input is. Used before CPU-heavy
-    per-row text work."""
+    already split finer, as any large input is. Only for scans and written
+    tables (no shuffle above them): counting partitions then runs nothing."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n)

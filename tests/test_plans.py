@@ -28,11 +28,25 @@ def test_no_cross_products_anywhere(spark):
     assert bad == []
 
 
-def test_top_k_plan_shape(spark):
-    import __spark_entry__ as E
-    plan = _plan(E.queries()["cosine_topk"](spark, SF))
-    assert "FlatMapCoGroupsInPandas" in plan
+def _vectors(spark, name):
+    return spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr(f"vec_id AS {name}", "embedding")
+
+
+def test_top_k_scans_the_corpus_where_it_lies(spark):
+    from quarry.operators.retrieve import top_k
+    plan = _plan(top_k(_vectors(spark, "query_id"), _vectors(spark, "ctx_id"), 5))
+    assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
     assert plan.count("WindowGroupLimit") >= 2      # partial limit before the shuffle, final after
+    tree = plan.split("\n\n\n")[0]
+    assert tree.count("Exchange") == 1              # the candidates only
+    below = tree[tree.index("MapInArrow"):]
+    assert "Exchange" not in below
+
+
+def test_large_query_sides_meet_in_blocks(spark):
+    from quarry.operators.retrieve import top_k
+    plan = _plan(top_k(_vectors(spark, "query_id"), _vectors(spark, "ctx_id"), 5, query_bytes=0))
+    assert "FlatMapCoGroupsInArrow" in plan
     assert "REPARTITION_BY_NUM" in plan
 
 

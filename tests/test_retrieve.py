@@ -39,11 +39,11 @@ def _fixture(n_q=40, n_c=300, d=8, seed=3):
 
 
 @pytest.mark.parametrize("similarity", ["cosine", "dot"])
-@pytest.mark.parametrize("blocks", [(4096, 16384), (7, 50)])
-def test_top_k_matches_brute_force(spark, similarity, blocks):
+@pytest.mark.parametrize("route", [{}, {"query_bytes": 0},
+                                   {"query_bytes": 0, "query_block_rows": 7, "corpus_block_rows": 50}])
+def test_top_k_matches_brute_force(spark, similarity, route):
     q, c = _fixture()
-    hits = top_k(_vecs(spark, q, "query_id"), _vecs(spark, c, "ctx_id"), 5, similarity,
-                 query_block_rows=blocks[0], corpus_block_rows=blocks[1]).collect()
+    hits = top_k(_vecs(spark, q, "query_id"), _vecs(spark, c, "ctx_id"), 5, similarity, **route).collect()
     got = {}
     for r in sorted(hits, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.ctx_id, round(r.score, 9)))
@@ -67,11 +67,11 @@ def test_rank_before_equals_full_sort(spark):
     df = spark.createDataFrame(rows, "query_id long, embedding array<float>, thr_score double, thr_ctx long")
     # use the engine's own pair score as the threshold, as the metrics do
     qdf = _vecs(spark, q, "query_id")
-    got = {r.query_id: r["rank"] for r in rank_before(df, _vecs(spark, c, "ctx_id"), "cosine",
-                                                      corpus_block_rows=40).collect()}
-    for i, j in targets:
-        full = [cid for cid, _ in brute[i]]
-        assert got[i] == full.index(j) + 1
+    for route in ({}, {"query_bytes": 0, "corpus_block_rows": 40}):
+        got = {r.query_id: r["rank"] for r in rank_before(df, _vecs(spark, c, "ctx_id"), "cosine", **route).collect()}
+        for i, j in targets:
+            full = [cid for cid, _ in brute[i]]
+            assert got[i] == full.index(j) + 1
     assert qdf.count() == len(q)
 
 
@@ -92,18 +92,17 @@ def test_block_scorer_merges_chunks():
     c = rng.normal(size=(1000, 4)).astype(np.float32)
     c[700] = c[10]            # tie across chunks: lower id must win
     c[5] = 0.0
-    qdf = pd.DataFrame({"query_id": np.arange(3), "q_vec": list(q)})
     ids = rng.permutation(1000)           # scrambled ids and row order
-    cdf = pd.DataFrame({"ctx_id": ids, "c_vec": list(c)})
+    thr = pd.DataFrame({"thr_score": [0.0, 0.5, -0.2], "thr_ctx": [int(ids[1]), int(ids[2]), int(ids[3])]})
     old = R._SCORE_CELLS
     R._SCORE_CELLS = 3 * 256                # forces 256-column chunks -> 4 chunks
     try:
-        out = R._score_block(qdf, cdf, 5, True)
-        thr = pd.DataFrame({"query_id": np.arange(3), "q_vec": list(q),
-                            "thr_score": [0.0, 0.5, -0.2], "thr_ctx": [int(ids[1]), int(ids[2]), int(ids[3])]})
-        cnt = R._count_block(thr, cdf, True)
+        scorer = R.BlockScorer(range(3), q.astype(np.float64), 5, True, thr.thr_score, thr.thr_ctx)
+        scorer.add(ids, c.astype(np.float64))
     finally:
         R._SCORE_CELLS = old
+    out = scorer.table().to_pandas()
+    cnt, out = out[out.n_before.notna()], out[out.ctx_id.notna()]
     s = (q.astype(np.float64) @ c.astype(np.float64).T)
     d = np.outer(np.linalg.norm(q.astype(np.float64), axis=1), np.linalg.norm(c.astype(np.float64), axis=1))
     s = np.where(d > 0, s / np.where(d > 0, d, 1), 0.0)

@@ -25,16 +25,21 @@ def test_blocks_decide_ties_like_the_pair_kernel(dim, cosine):
     qn, cn = R._norms(qs), R._norms(ctx)
     rows, cols = np.divmod(np.arange(60 * 400), 400)
     exact = R._pair_scores(qs, qn, ctx, cn, rows, cols, cosine).reshape(60, 400)
-    q = pd.DataFrame({"query_id": range(60), "q_vec": list(qs), "thr_score": exact[:, 200], "thr_ctx": 200})
     for parts in (1, 3):                                   # independent of the blocking
-        blocks = [pd.DataFrame({"ctx_id": np.arange(400)[i::parts], "c_vec": list(ctx[i::parts])}) for i in range(parts)]
-        before = sum(R._count_block(q, b, cosine)["n_before"].to_numpy() for b in blocks)
-        hits = pd.concat([R._score_block(q, b, 5, cosine) for b in blocks])
-        for i in range(60):
-            order = sorted(range(400), key=lambda j: (-exact[i, j], j))
-            assert before[i] == order.index(200)
-            mine = hits[hits.query_id == i].sort_values(["score", "ctx_id"], ascending=[False, True])
-            assert mine.ctx_id.tolist()[:5] == order[:5]
+        whole = R.BlockScorer(range(60), qs, 5, cosine, exact[:, 200], np.full(60, 200))
+        apart = [R.BlockScorer(range(60), qs, 5, cosine, exact[:, 200], np.full(60, 200)) for _ in range(parts)]
+        for i in range(parts):
+            ids, vecs = np.arange(400)[i::parts], ctx[i::parts]
+            whole.add(ids, vecs)
+            apart[i].add(ids, vecs)
+        rows = pd.concat([x.table().to_pandas() for x in apart])
+        for got in (whole.table().to_pandas(), rows):
+            before, hits = got.groupby("query_id")["n_before"].sum(), got[got.ctx_id.notna()]
+            for i in range(60):
+                order = sorted(range(400), key=lambda j: (-exact[i, j], j))
+                assert before[i] == order.index(200)
+                mine = hits[hits.query_id == i].sort_values(["score", "ctx_id"], ascending=[False, True])
+                assert mine.ctx_id.tolist()[:5] == order[:5]
 
 
 def _rows(spark, shift=0):
