@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import split_lines, ustrip
+from quarry.session import stage_table
 
 
-def load_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Scan text files or folders in list order: ``source_file, file_pos, line_no, text``.
+MAX_BROADCAST_SPLITS = 100_000
+
+
+def load_lines(spark: SparkSession, paths: list[str] | str, splits: bool = False) -> DataFrame:
+    """Scan text files or folders in list order: ``source_file, file_pos, line_no, text``
+    (and ``split_start``, where the line's file split begins, with ``splits``).
 
     Lines are stripped (Unicode whitespace) and blank ones dropped. The scan is
     split by Spark like any text source; ``line_no`` is the scan position
@@ -28,9 +33,10 @@ def load_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         pos = F.when((file_path == F.lit(path)) | file_path.startswith(path + "/"), F.lit(i)).otherwise(pos)
     raw = (spark.read.format("text").load(paths)
            .select(F.col("value"), F.col("_metadata.file_path").alias("_file"),
-                   F.monotonically_increasing_id().alias("_line")))
+                   F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("_line")))
     return (raw.select(F.col("_file").alias("source_file"), pos.alias("file_pos"),
-                       F.col("_line").alias("line_no"), ustrip(F.col("value")).alias("text"))
+                       F.col("_line").alias("line_no"), *(["split_start"] if splits else []),
+                       ustrip(F.col("value")).alias("text"))
                .filter(F.col("text") != F.lit("")))
 
 
@@ -60,9 +66,20 @@ def table_lines(df: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def corpus_entries(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Entries of a multi-file corpus numbered in file order, then line order
-    (the order in which the files are concatenated): ``entry_id, source_file, text``."""
+    """Entries of a multi-file corpus: ``entry_id, source_file, text``; ids are unique
+    and follow the file order, then the line order (the order in which the files
+    are concatenated), with gaps.
+
+    Only the list of file splits is sorted and numbered; an id is the number of its
+    split and its place in the scan, so no text is moved."""
     from quarry.operators.ids import dense_index
-    lines = require_rows(load_lines(spark, paths))
-    return dense_index(lines, ["file_pos", "line_no"], out="entry_id").select(
-        "entry_id", "source_file", "text")
+    lines = require_rows(load_lines(spark, paths, splits=True))
+    key = ["file_pos", "source_file", "split_start"]
+    splits = stage_table(dense_index(lines.select(*key).distinct(), key, out="_split"), "splits")
+    # one row per file split: broadcast when the list is known to be small
+    small = splits.count() <= MAX_BROADCAST_SPLITS
+    splits = F.broadcast(splits) if small else splits
+    same = [lines[c].eqNullSafe(splits[c]) for c in key]
+    place = F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1))       # a split is read by one task
+    return lines.join(splits, same).select(
+        F.shiftleft("_split", 33).bitwiseOR(place).alias("entry_id"), lines["source_file"], "text")
