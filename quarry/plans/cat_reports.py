@@ -55,17 +55,21 @@ RUN_STAMP = "2026-01-01 00:00:00"
 WITH docs AS (SELECT text, min(doc_id) AS ctx_id FROM documents GROUP BY text),
 {hash_vec_cte('hv', 'docs', 'ctx_id', 'text', 64, 1)}
 SELECT vid AS ctx_id, len(v) AS dim, len(list_filter(v, lambda x: x <> 0)) AS nnz,
-       round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1
+       round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1,
+       array_to_string(list_transform(v, lambda x: x::BIGINT), ',') AS vector
 FROM hv""")
 def hash_embed(spark, sf):
-    """Distinct document texts encoded once; vector statistics."""
+    """Distinct document texts encoded once: the vectors (whole numbers) and
+    their statistics."""
     docs = table(spark, sf, "documents", spread_rows=True).select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("context"))
     ix = index_texts(docs, "context", "ctx_id")
     v = embed(ix, "ctx_id", TEXT_MODELS["hash64"])
     return v.select("ctx_id", F.size("embedding").cast("bigint").alias("dim"),
                     F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nnz"),
-                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("l1"))
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("l1"),
+                    F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",")
+                     .alias("vector"))
 
 
 def _p2(spark, sf):

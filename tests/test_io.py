@@ -65,9 +65,10 @@ def test_sinks_write_readable_files(spark):
 
 def test_missing_file_and_empty_corpus(spark):
     import pytest
+    from pyspark.errors import AnalysisException
     from quarry.sources.corpus import require_rows
     d = tempfile.mkdtemp(prefix="quarry-test-guard-")
-    with pytest.raises(Exception):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         load_lines(spark, [os.path.join(d, "does-not-exist.txt")]).collect()
     empty = os.path.join(d, "blank.txt")
     with open(empty, "w") as f:

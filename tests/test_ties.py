@@ -8,7 +8,8 @@ import pytest
 
 from quarry.operators import retrieve as R
 from quarry.operators.compare import improvement, model_means
-from quarry.operators.encode import HashEncoder
+from quarry.operators.encode import HashEncoder, embed_all, index_texts, pandas_encoder
+from quarry.operators.keys import distinct_texts
 from quarry.operators.training import distinct_contexts, sample_negatives
 from quarry.plans import pipelines as P
 from quarry.sources.evalset_io import read_eval_csv, write_eval_csv
@@ -84,3 +85,23 @@ def test_no_rows_report_zeros_and_names_are_escaped(spark):
     assert sorted((r["metric"], r["base"], r["relative"]) for r in impr.collect()) == [("x", 0.0, 0.0), ("y", 0.0, 0.0)]
     doc = comparison_json(impr, 'C:\\models\\"one"', "b", "2026-01-01").first()["json"]
     assert json.loads(doc)["base_model"] == 'C:\\models\\"one"'
+
+
+def test_plugged_encoder_sees_each_distinct_text_once(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "c", "ab", "", None])],
+                                 "row_id bigint, text string")
+    index, total = index_texts(rows, "text", "ctx_id", with_total=True)
+    assert total == 4
+    lengths = pandas_encoder(lambda ts: np.array([[len(t), 1.0] for t in ts]), 2)
+    one, two = embed_all(index, "ctx_id", [lengths, HashEncoder(8, 1)])
+    got = {r["ctx_id"]: list(r["embedding"]) for r in one.collect()}
+    assert got == {0: [2.0, 1.0], 1: [1.0, 1.0], 3: [0.0, 1.0], 4: [0.0, 1.0]}
+    assert {r["ctx_id"] for r in two.collect()} == set(got)
+
+
+def test_text_keys_keep_missing_and_empty_apart(spark):
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([("",), (None,), ("a",), ("a",)], "t string")
+    got = distinct_texts(rows, F.col("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert {(r["text"], r["n"]) for r in got} == {("", 1), (None, 1), ("a", 2)}
+    assert len({r["text_key"] for r in got}) == 3
