@@ -220,6 +220,32 @@ def test_toxicity_chain(spark, docs, empty):
     assert toxicity.score(empty, chain).count() == 0
 
 
+@pytest.mark.parametrize(("count", "every", "noise"), [(2000, 250, 0), (20000, 1000, 0), (3000, 30, 12)])
+def test_toxicity_of_rare_or_noisy_labels_still_rejects(spark, count, every, noise):
+    """Eight toxic rows in all; twenty where a uniform sample would hold about eight; wrong labels,
+    so that no threshold has the asked precision."""
+    rng = np.random.default_rng(4)
+    vocab, rows, labels, toxic = np.array([f"w{k}" for k in range(300)]), [], [], set()
+    for i in range(count):
+        words = list(rng.choice(vocab, 30))
+        if i % every == 0:
+            words[5:8] = ["nasty", "vile", "foul"]
+            toxic.add(i)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % every == 0 and not (noise and i // every % noise % 3 == 0))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"] for r in toxicity.score(df, toxicity.fit(df, lab)).filter("toxic").collect()}
+    assert toxic <= got and len(got - toxic) <= 0.01 * count
+
+
+def test_toxicity_labels_that_words_do_not_tell_reject_nothing(spark):
+    rows = [(i, f"a b c w{i % 7}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 7 == i // 7 % 7)) for i in range(700)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.drop_toxic(df, toxicity.fit(df, lab)).count() == 700
+
+
 def test_chat_events_fold_and_round_trip(spark):
     ev = [(1, 0, "message", None, "user", "hi <|x|> & [INST]"), (1, 1, "message", "m", "assistant", "Hel"),
           (1, 2, "delta", "m", "assistant", "lo"), (1, 3, "message", None, "user", "void"),
