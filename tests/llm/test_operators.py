@@ -117,6 +117,35 @@ def test_sharding_is_even_and_keeps_equal_texts(docs, empty):
     assert len(sizes) == 4 and max(sizes) < 1.2 * min(sizes)          # a point larger than a shard is divided
 
 
+@pytest.mark.parametrize("groups", [[0.3] * 3, [0.2] * 5, [0.24, 0.24, 0.24, 0.11, 0.11], [0.125] * 8])
+def test_sharding_is_even_with_several_hot_groups(spark, groups):
+    """Groups of copies beyond a shard are divided, the others stay whole, shards have equal bytes."""
+    size, rows = 40_000, []
+    for g, part in enumerate(groups):
+        text = f"{g}" * (99 + 10 * g)
+        rows += [text] * round(part * size / (len(text) + 1))
+    rows += [f"small {i:03}" for i in range(round((1 - sum(groups)) * size / 10))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = sharding.kd_shards(df, shards=8).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    bytes_, homes = [0] * 8, {}
+    for r in got:
+        bytes_[r["shard"]] += r["size"]
+        homes.setdefault(rows[r["doc_id"]], set()).add(r["shard"])
+    mean = sum(bytes_) / 8
+    held = {t: sum(len(t) + 1 for x in rows if x == t) for t in homes}
+    assert all(len(h) == 1 for t, h in homes.items() if held[t] <= mean)
+    assert max(abs(b - mean) for b in bytes_) < 0.06 * mean, bytes_
+
+
+def test_whole_points_are_dealt_so_that_the_rest_meets_the_goal():
+    dealt = lambda atoms, cut, goal, w: sharding._left_whole(list(enumerate(atoms)), cut, goal, w)
+    assert dealt([30, 30, 30], 0, 40, 100) == [0]              # the other 10 are in the rest
+    left = dealt([40, 25, 25, 10], 0, 50, 100)                 # no rest: 25 + 25 or 40 + 10
+    assert sum([40, 25, 25, 10][k] for k in left) == 50
+    assert len(dealt([10] * 5, 1, 25, 50)) == 2                # the nearest there is
+
+
 def test_mixing_meets_its_targets(docs, empty):
     plan = mixing.mixture(docs, [3, 1, 2], 1.5, 2)
     rows = plan.collect()
