@@ -2,17 +2,21 @@
 
 Base detectors (e-mail, IP, card, phone) give spans that always stand. On top,
 high-recall generators propose overlapping candidate spans (obfuscated or
-loosely formatted variants); each candidate gets binned format and context
-features; per kind, boosted decision stumps are fitted on the counts of
-distinct feature vectors over all documents (one aggregate; at most
-MAX_VECTORS vectors reach the driver, the most frequent) with candidates that
-hit a base span as positives and the rest as unlabelled; a held-out fold sets
-the threshold at which nearly all of the selected are positives. The fitted
-model is a plain expression, so scoring is one scan without shuffles.
+loosely formatted variants). A candidate that passes an independent check of
+its kind (``proven``: Luhn, octets, digit counts, words before it) is added.
+Each candidate gets binned format and context features; per kind, boosted
+decision stumps are fitted on the counts of all feature vectors over all
+documents (one aggregate; the bins bound their number) with candidates that
+hit a base span or are proven as positives and the rest as unlabelled. On a
+held-out fold the share of positives that are labelled is estimated from the
+labelled ones, so an unlabelled vector counts by its chance to be a positive,
+and the threshold is the least at which nearly all of the selected are
+expected to be positives. The fitted model is a plain expression, so scoring
+is one scan without shuffles.
 
 Defined results: null and empty texts have no spans; spans are in code points,
-end exclusive; equal spans of one kind count once; an empty table trains no
-model and gives no rows; other columns are ignored.
+end exclusive; equal spans of one kind count once; a kind with too few positives
+gets no model and adds its proven candidates only; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_VECTORS = 20_000
 ROUNDS, RATE, PRECISION, MIN_HELD = 20, 0.4, 0.99, 20
 _LOCAL = r"[A-Za-z0-9._%+-]"
 # A run of the first class is entered at its start only (or where the previous
@@ -45,6 +48,10 @@ GENERATORS = {
 NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9][.,:][0-9]", "card": r"[0-9][ .-]?[0-9][ .-]?[0-9][ .-]?[0-9]",
          "phone": r"[0-9][0-9 ().-]{4}"}
 CONTEXT = r"(?i)(?:call|phone|tel|fax|mail|contact|card|visa|pay|ip|address|host|server)[^A-Za-z]{0,3}$"
+#: Words right before a span that name its kind.
+NAMED = {"email": r"(?i)\b(?:e-?mail|mail|contact)(?: (?:is|at|to))?[^A-Za-z0-9]{0,3}$",
+         "ip": r"(?i)\b(?:ip|ipv4|ip address|address|host|server)(?: (?:is|at))?[^A-Za-z0-9]{0,3}$",
+         "phone": r"(?i)\b(?:call|phone|tel|telephone|fax|mobile|contact)(?: (?:is|at|us|me|us at|me at))?[^A-Za-z0-9]{0,3}$"}
 SPAN = "array<struct<start:bigint,stop:bigint,txt:string>>"
 
 
@@ -128,9 +135,11 @@ def _features(text: Column, s: Column) -> dict[str, Column]:
     before = F.when(s["start"] > 0, F.substr(text, s["start"].cast("int"), F.lit(1))).otherwise(F.lit(""))
     first = F.greatest(s["start"] - 24, F.lit(0))
     lead = F.substr(text, (first + 1).cast("int"), (s["start"] - first).cast("int"))
-    return {"digits": F.least(F.char_length(digits), F.lit(20)),
-            "marks": F.least(F.char_length(F.regexp_replace(txt, "[A-Za-z0-9]", "")), F.lit(8)),
-            "length": F.least(F.floor(F.char_length(txt) / 4), F.lit(12)).cast("int"),
+    n, size = F.char_length(digits), F.char_length(txt)
+    steps = lambda c, *at: reduce(lambda x, y: x + y, [(c >= v).cast("int") for v in at])
+    return {"digits": steps(n, 1, 8, 10, 13, 16, 20),
+            "marks": F.least(F.char_length(F.regexp_replace(txt, "[A-Za-z0-9]", "")), F.lit(4)),
+            "length": steps(size, 8, 16, 32),
             "head": F.when(txt.startswith("+"), 3).when(txt.startswith("("), 2).when(txt.rlike("^[0-9]"), 1).otherwise(0),
             "before": _char_class(before),
             "after": _char_class(F.substr(text, (s["stop"] + 1).cast("int"), F.lit(1))),
@@ -139,6 +148,24 @@ def _features(text: Column, s: Column) -> dict[str, Column]:
             "context": lead.rlike(CONTEXT).cast("int")}
 
 
+def proven(kind: str, text: Column, s: Column) -> Column:
+    """Whether a candidate passes a check that does not come from the base detectors.
+    Digits right before or after it: it is a piece of something longer."""
+    txt, n = s["txt"], F.char_length(_digits(s["txt"]))
+    first = F.greatest(s["start"] - 24, F.lit(0))
+    lead = F.substr(text, (first + 1).cast("int"), (s["start"] - first).cast("int"))
+    after = F.substr(text, (s["stop"] + 1).cast("int"), F.lit(2))
+    apart = ~lead.rlike(r"[0-9][.,:]?$") & ~after.rlike("^[.,:]?[0-9]")
+    if kind == "email":
+        spelt = txt.rlike(r"[(\[]at[)\]].*(?:\.|[(\[]dot[)\]])")
+        return txt.rlike(r"[A-Za-z]{2,24}$") & (spelt | lead.rlike(NAMED[kind]))
+    if kind == "card":
+        return apart & n.between(13, 19) & luhn(_digits(txt)) & txt.rlike("[1-9]")
+    if kind == "ip":
+        return apart & F.forall(F.split(txt, "[.,:]"), lambda p: p.rlike(_OCTET)) & lead.rlike(NAMED[kind])
+    return apart & n.between(8, 15) & (lead.rlike(NAMED[kind]) | txt.rlike(r"^\([0-9]{2,4}\) ?[0-9]"))
+
+
 def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
 
@@ -148,11 +175,12 @@ def _of_kind(kind: str, text: Column, base: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
         F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])).alias("hit"),
+        proven(kind, text, s).alias("proven"),
         *[c.cast("int").alias(f) for f, c in _features(text, s).items()]))
 
 
 def candidates(text: Column, base: dict[str, Column]) -> Column:
-    """All generators' spans as ``kind, start, stop, hit`` and the features."""
+    """All generators' spans as ``kind, start, stop, hit, proven`` and the features."""
     return F.concat(*[_of_kind(k, text, base[k]) for k in KINDS])
 
 
@@ -164,8 +192,8 @@ def fit(docs: DataFrame) -> dict[str, dict]:
     based = spans.select("fold", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     rows = based.select("fold", F.explode(candidates(F.col("text"), {k: F.col(k) for k in KINDS})).alias("c"))
     counts = (rows.groupBy("c.kind", (F.col("fold") == 0).alias("held"), *[F.col(f"c.{f}") for f in FEATURES])
-              .agg(F.sum(F.col("c.hit").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "kind", *FEATURES).limit(MAX_VECTORS).collect())
+              .agg(F.sum((F.col("c.hit") | F.col("c.proven")).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
+              .orderBy("kind", "held", *FEATURES).collect())          # bounded by the features' bins
     models = {}
     for k in KINDS:
         train = [(tuple(r[f] for f in FEATURES), r["pos"], r["n"]) for r in counts if r["kind"] == k and not r["held"]]
@@ -202,17 +230,19 @@ def _boost(train: list, held: list) -> dict:
         stumps.append(best[1:])
         score = [s + (best[3] if x[best[1]] <= best[2] else best[4]) for s, (x, _, _) in zip(score, train, strict=True)]
     ranked = sorted(((_value(stumps, bias, x), p, m) for x, p, m in held), reverse=True)
-    threshold, hits, seen = float("inf"), 0, 0
-    for s, p, m in ranked:
-        hits, seen = hits + p, seen + m
+    prob = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s, _, _ in ranked]
+    known = sum(q * p for q, (_, p, _) in zip(prob, ranked, strict=True)) / sum(p for _, p, _ in ranked)   # share of positives labelled
+    threshold, hits, seen = float("inf"), 0.0, 0
+    for q, (s, p, m) in zip(prob, ranked, strict=True):
+        hits, seen = hits + p + (m - p) * min(1.0, (1 - known) / known * q / (1 - q)), seen + m
         if hits >= PRECISION * seen:
             threshold = s
     return {"stumps": stumps, "bias": bias, "threshold": threshold}
 
 
 def _chosen(c: Column, models: dict[str, dict]) -> Column:
-    """Whether the model adds a candidate (none of a kind without a model)."""
-    out = F.lit(False)
+    """Whether a candidate is added: proven, or chosen by the model of its kind."""
+    out = c["proven"]
     for k, m in models.items():
         score = reduce(lambda a, b: a + b, [F.when(c[FEATURES[f]] <= cut, F.lit(a)).otherwise(F.lit(b))
                                             for f, cut, a, b in m["stumps"]], F.lit(m["bias"]))
@@ -226,11 +256,9 @@ def detect(docs: DataFrame, models: dict[str, dict] | None = None) -> DataFrame:
     models = fit(docs) if models is None else models
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
-    added = F.from_json(F.lit("[]"), "array<struct<kind:string,start:bigint,stop:bigint>>")
-    if models:
-        picked = F.filter(candidates(F.col("text"), {k: F.col(k) for k in KINDS}), lambda c: _chosen(c, models))
-        added = F.array_distinct(F.transform(picked, lambda c: F.struct(
-            c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))))
+    picked = F.filter(candidates(F.col("text"), {k: F.col(k) for k in KINDS}), lambda c: _chosen(c, models))
+    added = F.array_distinct(F.transform(picked, lambda c: F.struct(
+        c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))))
     return rows.select("doc_id", "text", *KINDS, added.alias("added"))
 
 

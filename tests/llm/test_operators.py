@@ -209,6 +209,24 @@ def test_pii(docs, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_pii_adds_loose_forms_however_many_there_are(spark):
+    """As many loose spans as base spans of each kind; numbers that are none of them stay."""
+    rows, want = [], {}
+    loose = ["write to joe{} (at) example (dot) org today", "reach (555) 555-{:04} today", "card 4111.1111.1111.1111 x{}",
+             "server 10,20,30,{} down"]
+    plain = ["mail joe{}@example.org now", "or +1 555 555 {:04} now", "card 4111 1111 1111 1111 x{}", "at 10.20.30.{} now",
+             "on 2024-01-02 we sold {} of 1,200,300 in lot 4111.1111.1111.1112"]
+    for i in range(1000):
+        t = [*loose, *plain][i % 9].format(i % 200)
+        rows.append((i, t))
+        want[i] = i % 9 < 4
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: [a["kind"] for a in r["added"]] for r in pii.detect(df).collect()}
+    kinds = ["email", "phone", "card", "ip"]
+    assert all(kinds[i % 9] in got[i] for i in want if want[i])
+    assert not any(got[i] for i in want if i % 9 == 8)
+
+
 def test_decontamination(docs, empty, spark):
     passage = " ".join(_texts()[10].split()[50:90])
     broken = passage.split()
