@@ -2,7 +2,8 @@
 
 toxicity -> n-gram Jaccard join -> benchmark decontamination -> mixing -> sharding.
 All but the last stage return the columns of ``documents``; repeats of the mix
-are repeated rows. Null and empty texts pass every filter; an empty table
+are repeated rows. Null and empty texts pass every filter; repeated rows, repeated
+doc_ids and rows without one are rows of their own in the dedup stage; an empty table
 passes through all stages.
 """
 
@@ -32,12 +33,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least doc_id) of each group of near duplicates (3)."""
+    """One row (the least doc_id, rows without one last) of each group of near duplicates (3).
+    Rows go by a written key, so repeated rows and doc_ids and missing ones are rows like others."""
     _ready(spark)
-    classes = ngram_join.jaccard_classes(docs)
-    losers = stage_table(classes.filter(F.col("doc_id") != F.col("component_id"))
-                         .select(F.col("doc_id").alias("loser")).distinct(), "pipe-losers")
-    return docs.join(small(losers), docs["doc_id"] == losers["loser"], "left_anti")
+    rows = stage_table(docs.withColumn("pipe_key", F.monotonically_increasing_id()), "pipe-rows")
+    classes = (ngram_join.jaccard_classes(rows.select(F.col("pipe_key").alias("doc_id"), "text"))
+               .select(F.col("doc_id").alias("c_key"), F.col("component_id").alias("c_group")))
+    # only groups of several rows
+    shared = classes.groupBy("c_group").agg(F.count(F.lit(1)).alias("c_rows")).filter("c_rows > 1")
+    grouped = stage_table(classes.join(shared, "c_group").join(
+        rows.select("pipe_key", "doc_id"), F.col("c_key") == F.col("pipe_key"))
+        .select("c_group", "c_key", "doc_id"), "pipe-groups")
+    kept = grouped.groupBy("c_group").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "c_key"))["c_key"].alias("kept"))
+    losers = stage_table(grouped.join(kept, "c_group").filter(F.col("c_key") != F.col("kept"))
+                         .select(F.col("c_key").alias("loser")), "pipe-losers")
+    return rows.join(small(losers), F.col("pipe_key") == F.col("loser"), "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

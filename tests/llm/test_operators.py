@@ -325,3 +325,13 @@ def test_pipeline_dedup_stage_matches_brute_force(spark, docs):
     classes = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(docs).collect()}
     kept = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").select("doc_id").collect()}
     assert kept == {d for d, c in classes.items() if d == c}
+
+
+def test_pipeline_dedup_stage_keeps_one_row_of_each_group(spark):
+    """Repeated rows, repeated doc_ids with different texts, rows without doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (None, c), (None, a + " z"), (None, "only here"), (None, "only here"),
+            (11, None), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.one_of_each_group(spark, df, "").collect())
+    assert got == sorted([(3, a), (5, b), (9, c), (0, "only here"), (11, ""), (11, "")])
