@@ -75,6 +75,18 @@ def test_ngram_join_matches_brute_force(docs, empty):
     assert ngram_join.jaccard_classes(empty).count() == 0
 
 
+def test_ngram_join_links_every_set_of_a_repeated_doc_id(spark):
+    """Ids with two texts of different size, each near another document's text."""
+    rng, rows, exp = np.random.default_rng(8), [], {}
+    for i in range(0, 60, 3):
+        one, two = [[f"{t}{i}x{k}" for k in rng.integers(0, 10**6, n)] for t, n in (("a", 60), ("b", 300))]
+        rows += [(i + 2, " ".join(one)), (i + 2, " ".join(two)), (i, " ".join(one[:-3])), (i + 1, " ".join(two[:-3]))]
+        exp |= {(i + 2, 56): i, (i + 2, 296): i + 1, (i, 53): i, (i + 1, 293): i + 1}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == exp
+
+
 def test_blocks_of_linked_sets_meet():
     """Pigeonhole: any two sets with J >= 0.75 share a key, whatever their size."""
     rng = np.random.default_rng(1)
