@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (chat_format, decontaminate, line_dedup, mixing, ngram_join, pii, sharding, simhash,
-                        substring_dedup, toxicity)
+from quarry.llm import (chat_format, decontaminate, importance, line_dedup, merkle, mixing, ngram_join, piece_bpe, pii,
+                        sharding, simhash, substring_dedup, toxicity)
 from quarry.llm.common import read_table, word_count
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,119 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+def sql_crc32(codes: str) -> str:
+    """CRC-32 of a list of byte values as DuckDB SQL."""
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    step = f"list_reduce(range(8), lambda a, i: {bit}, xor(acc, b::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda acc, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in MANIFEST_FIELDS]
+    harmed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in MANIFEST_FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col("lang").alias("grp"),
+                       merkle.leaf_hash(*fields).alias("leaf"), F.when(tampered, merkle.leaf_hash(*harmed)).alias("changed"))
+    return merkle.proofs(rows).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def _sql_field(expr: str) -> str:
+    return f"coalesce(octet_length(encode(({expr})::VARCHAR))::VARCHAR || ':' || ({expr})::VARCHAR, '-')"
+
+
+_LEAF, _HARMED = (" || ".join(_sql_field(f"{c} + 1" if harm and c == "n_chars" else c) for c in MANIFEST_FIELDS)
+                  for harm in (False, True))
+_DECIMAL = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))"
+OP11_SQL = f"""
+WITH RECURSIVE
+l AS (SELECT doc_id, lang, sha256({_LEAF}) AS leaf,
+             CASE WHEN {sql_crc32(_DECIMAL)} % 7 = 0 THEN sha256({_HARMED}) END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (
+  SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM p
+  UNION ALL
+  SELECT a.lang, a.lvl + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, ''))
+  FROM t a LEFT JOIN t b ON a.lang IS NOT DISTINCT FROM b.lang AND b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0),
+s AS (SELECT lang, lvl, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+      FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos, n, h FROM s
+  UNION ALL
+  SELECT a.lvl + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, ''))
+  FROM u a LEFT JOIN u b ON b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0),
+steps AS (
+  SELECT p.lang, p.pos, w.lvl, (p.pos >> w.lvl) % 2 AS slot, x.h AS sib
+  FROM p JOIN (SELECT DISTINCT lang, lvl FROM t WHERE n > 1) w ON p.lang IS NOT DISTINCT FROM w.lang
+  LEFT JOIN t x ON x.lang IS NOT DISTINCT FROM p.lang AND x.lvl = w.lvl AND x.pos = xor(p.pos >> w.lvl, 1)
+  UNION ALL
+  SELECT p.lang, p.pos, s.lvl + w.lvl, (s.pos >> w.lvl) % 2, x.h
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) w
+  LEFT JOIN u x ON x.lvl = w.lvl AND x.pos = xor(s.pos >> w.lvl, 1)),
+f AS (
+  SELECT lang, pos, 0 AS lvl, coalesce(changed, leaf) AS h FROM p
+  UNION ALL
+  SELECT f.lang, f.pos, f.lvl + 1, sha256(CASE WHEN slot = 0 THEN f.h || coalesce(sib, '') ELSE sib || f.h END)
+  FROM f JOIN steps ON f.lang IS NOT DISTINCT FROM steps.lang AND f.pos = steps.pos AND f.lvl = steps.lvl),
+e AS (SELECT lang, pos, arg_max(h, lvl) AS folded FROM f GROUP BY lang, pos),
+q AS (SELECT lang, pos, sha256(coalesce(string_agg(sib, '' ORDER BY lvl), '')) AS proof FROM steps GROUP BY lang, pos)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded AS folded_root,
+       e.folded = r.h AS verified
+FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT h FROM u WHERE n = 1) r
+JOIN e ON p.lang IS NOT DISTINCT FROM e.lang AND p.pos = e.pos
+LEFT JOIN q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.pos
+"""
+
+def vocabulary_path() -> str:
+    """The tokenizer's file; tasks get its tables, not the path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    rows = piece_bpe.decode(piece_bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       piece_bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_CODES = "list_transform(range(0, length(hex(w)), 2), lambda i: ('0x' || substr(hex(w), i + 1, 2))::BIGINT)"
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, 0 AS side FROM documents
+  UNION ALL SELECT NULL, NULL, text, 1 FROM benchmark),
+x AS (
+  SELECT r, doc_id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+o AS (SELECT r, side, w, count(*) AS k FROM (SELECT r, side, unnest(ws) AS w FROM x) GROUP BY ALL),
+b AS (SELECT w, {sql_crc32(_CODES)} % 10000 AS bucket FROM (SELECT DISTINCT w FROM o)),
+n AS (SELECT bucket, coalesce(sum(k) FILTER (WHERE side = 0), 0)::DOUBLE AS s,
+             coalesce(sum(k) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM o JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000)
+             / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n),
+m AS (SELECT r, floor(sum(k * gain)::DOUBLE / sum(k)::DOUBLE)::BIGINT AS weight
+      FROM o JOIN b USING (w) JOIN g USING (bucket) WHERE side = 0 GROUP BY r),
+c AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                   / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM x LEFT JOIN m USING (r) WHERE side = 0),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM c LEFT JOIN k USING (r)
+"""
+
 _QUERIES: dict[str, QueryFn] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_mixing": op2_mixing,
@@ -191,9 +304,13 @@ _QUERIES: dict[str, QueryFn] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 _SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_decontamination": OP7_SQL,
-                        "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
+                        "op8_line_dedup": OP8_SQL, "op10_chat_format": OP10_SQL, "op11_merkle_manifest": OP11_SQL,
+                        "op13_importance_resampling": OP13_SQL}
 
 
 def _prepared(fn: QueryFn) -> QueryFn:

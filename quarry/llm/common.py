@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +32,15 @@ def spread_tasks(df: DataFrame, *keys: str) -> int:
 def word_count(text: Column) -> Column:
     """Number of words (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def text_slices(col: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """``(row, texts)``: consecutive rows of at most ``most`` bytes of text, or one longer
+    one, as large strings (null: empty). Each slice is a copy: some Arrow kernels misread
+    arrays whose first offset is not 0."""
+    ends, row = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while row < len(col):
+        to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
+        texts = col.take(pa.array(np.arange(row, to)))
+        yield row, pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        row = to
