@@ -13,11 +13,15 @@ eval sets repeat the same query text many times.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -73,6 +77,75 @@ def pandas_encoder(fn: Callable[[list[str]], np.ndarray], dim: int) -> Callable[
     return enc
 
 
+def encode_isolated(fn: Callable[[list[str]], np.ndarray], texts: list[str],
+                    dim: int) -> tuple[np.ndarray, list[str | None]]:
+    """Vectors and errors of a batch. A batch that fails is halved until the failing texts
+    stand alone, so k of them cost about ``2 k log2(batch)`` more calls and every other
+    text keeps its vector. A vector that is not finite is an error of its text."""
+    out, errors = np.zeros((len(texts), dim), dtype=np.float32), [None] * len(texts)
+    todo = [(0, len(texts))] if texts else []
+    while todo:
+        a, b = todo.pop()
+        try:
+            m = np.asarray(fn(texts[a:b]), dtype=np.float32)
+            if m.shape != (b - a, dim):
+                raise ValueError(f"expected vectors of shape {(b - a, dim)}, got {m.shape}")
+        except Exception as e:  # noqa: BLE001  the encoder is the user's: whatever it raises is the text's error
+            if b - a == 1:
+                errors[a] = f"{type(e).__name__}: {e}"
+            else:
+                todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            continue
+        out[a:b] = m
+        for i in np.flatnonzero(~np.isfinite(m).all(axis=1)):
+            errors[a + i] = "ValueError: the vector is not finite"
+    return out, errors
+
+
+@dataclass(frozen=True)
+class IsolatingEncoder:
+    """Arrow-batched ``fn(list_of_texts) -> (n, dim) array`` whose errors stay with the texts
+    that cause them: such a text has no vector (its similarities are 0), the others
+    are not touched. :meth:`checked` also tells the error."""
+
+    fn: Callable[[list[str]], np.ndarray]
+    dim: int
+
+    def checked(self, text: Column) -> Column:
+        """``struct<vector array<float>, error string>``."""
+        fn, dim = self.fn, self.dim
+
+        @F.arrow_udf("struct<vector:array<float>,error:string>")
+        def enc(texts: pa.Array) -> pa.Array:
+            m, errors = encode_isolated(fn, [t or "" for t in texts.to_pylist()], dim)
+            bad = np.array([e is not None for e in errors], dtype=bool)
+            size = np.where(bad, 0, dim)
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(m[~bad].ravel()), mask=pa.array(bad))
+            return pa.StructArray.from_arrays([vectors, pa.array(errors, pa.string())], names=["vector", "error"])
+
+        return enc(text)
+
+    def __call__(self, text: Column) -> Column:
+        return self.checked(text)["vector"]
+
+
+@lru_cache(1 << 16)
+def _token_hash(seed: int, token: str) -> int:
+    return int(hashlib.md5(f"{seed}|{token}".encode()).hexdigest()[:15], 16)
+
+
+def hash_vectors(texts: list[str], dim: int, seed: int) -> np.ndarray:
+    """The vectors of :class:`HashEncoder` for a batch of Python strings."""
+    out = np.zeros((len(texts), dim), dtype=np.float32)
+    for i, text in enumerate(texts):
+        for t in re.split(r"[\W_]+", text.lower()):
+            if t:
+                h = _token_hash(seed, t)
+                out[i, h % dim] += -1.0 if (h >> 40) & 1 else 1.0
+    return out
+
+
 def index_texts(rows: DataFrame, text_col: str, id_col: str, order_col: str = "row_id",
                 with_total: bool = False):
     """Distinct texts of ``text_col`` with an exact id: ``<id_col>, text_key, text``.
@@ -80,9 +153,8 @@ def index_texts(rows: DataFrame, text_col: str, id_col: str, order_col: str = "r
     The id is the first ``order_col`` value at which the text occurs - unique per
     text, found with one partially aggregated group-by. With ``with_total`` also
     returns the number of distinct texts."""
-    idx = distinct_texts(rows.select(F.col(text_col).alias("_t"), order_col), F.col("_t"),
-                         F.min(order_col).cast("bigint").alias(id_col))
-    return (idx, idx.count()) if with_total else idx
+    return distinct_texts(rows.select(F.col(text_col).alias("_t"), order_col), F.col("_t"),
+                          F.min(order_col).cast("bigint").alias(id_col), with_total=with_total)
 
 
 def embed(index: DataFrame, id_col: str, encoder: Callable[[Column], Column]) -> DataFrame:
@@ -96,10 +168,27 @@ def embed(index: DataFrame, id_col: str, encoder: Callable[[Column], Column]) ->
 def embed_table(index: DataFrame, id_col: str, encoders: list) -> DataFrame:
     """Vectors of an index under several encoders, written once as ``<id_col>, e0,
     e1, ...``: one read of the texts for all encoders, and no text is encoded again
-    by a later step."""
+    by a later step. Encoders that isolate errors (:class:`IsolatingEncoder`) add
+    ``x0, x1, ...``, the error of a text without a vector (else null)."""
     from quarry.sources.tables import spread
-    return stage_table(spread(index).select(
-        id_col, *[enc(F.col("text")).alias(f"e{i}") for i, enc in enumerate(encoders)]), "vectors")
+    checks = [hasattr(enc, "checked") for enc in encoders]
+    written = stage_table(spread(index).select(id_col, *[
+        (enc.checked if check else enc)(F.col("text")).alias(f"e{i}")
+        for i, (enc, check) in enumerate(zip(encoders, checks, strict=True))]), "vectors")
+    vector = lambda i, check: F.col(f"e{i}.vector" if check else f"e{i}").alias(f"e{i}")
+    return written.select(id_col, *[vector(i, c) for i, c in enumerate(checks)],
+                          *[F.col(f"e{i}.error").alias(f"x{i}") for i, c in enumerate(checks) if c])
+
+
+def encode_errors(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """``model, error, texts``: how many texts of an :func:`embed_table` failed, by the kind
+    of error; models without failures have no row."""
+    checked = [(n, f"x{i}") for i, n in enumerate(names) if f"x{i}" in vectors.columns]
+    items = [F.struct(F.lit(n).alias("model"), F.split(F.col(x), ":")[0].alias("error")) for n, x in checked]
+    if not items:
+        return vectors.sparkSession.createDataFrame([], "model string, error string, texts bigint")
+    return (vectors.select(F.inline(F.array(*items))).filter(F.col("error").isNotNull())
+            .groupBy("model", "error").agg(F.count(F.lit(1)).alias("texts")))
 
 
 def embed_all(index: DataFrame, id_col: str, encoders: list) -> list[DataFrame]:

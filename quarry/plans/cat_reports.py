@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from quarry.operators.encode import HashEncoder, index_texts, embed
+from quarry.operators.encode import HashEncoder, IsolatingEncoder, embed, hash_vectors, index_texts
 from quarry.plans.cat_training import _test_set
 from quarry.plans.common import TEST_CFG, eval_set
 from quarry.plans.pipelines import compare_models, compare_paired, leaderboard
@@ -340,3 +340,39 @@ def comparison_json_q(spark, sf):
         [doc.select(*_fact(F.lit(n), F.lit(None), F.col(n))) for n in ("timestamp", "base_model", "finetuned_model")]
         + [per.select(*_fact(F.concat_ws(".", F.lit("metrics"), "metric", F.lit(n)), F.round(F.col(f"v.{n}"), 6)))
            for n in ("base", "finetuned", "absolute", "relative")])
+
+
+# an encoder that fails on every text with the marker: a plain function over batches
+FAIL_MARK = "tionth"
+
+
+def _failing_hash64(texts):
+    if any(FAIL_MARK in t for t in texts):
+        raise ValueError(f"cannot read {FAIL_MARK}")
+    return hash_vectors(texts, 64, 1)
+
+
+def _p4_failing(spark, sf):
+    return compare_paired(_test_set(spark, sf), TEXT_MODELS["hash32"], IsolatingEncoder(_failing_hash64, 64), TEST_CFG)
+
+
+_FAILED = f"contains(r.query, '{FAIL_MARK}') OR contains(r.context, '{FAIL_MARK}')"
+
+
+@query("paired_errors", sql=f"""{PAIRED}
+SELECT sim.model, row_id, round(CASE WHEN context_empty OR (model = 'candidate' AND ({_FAILED.replace('r.', 't.')})) THEN 0.0
+       ELSE s END, 6) AS similarity, model = 'candidate' AND ({_FAILED.replace('r.', 't.')}) AS failed
+FROM sim JOIN tsr t USING (row_id)""".replace("context_empty OR", "sim.context_empty OR"))
+def paired_errors(spark, sf):
+    """A text on which the encoder fails gives a similarity of 0 to its own rows only."""
+    return _p4_failing(spark, sf)["pairs"].select("model", "row_id", F.round("similarity", 6).alias("similarity"), "failed")
+
+
+@query("encode_errors", sql=f"""WITH {TEST_SET_CTES},
+t AS (SELECT DISTINCT 'query' AS side, query AS text FROM test_set
+      UNION ALL SELECT DISTINCT 'context', context FROM test_set WHERE context <> '')
+SELECT 'candidate' AS model, side, 'ValueError' AS error, count(*) AS texts FROM t WHERE contains(text, '{FAIL_MARK}')
+GROUP BY side""")
+def encode_errors_q(spark, sf):
+    """The texts on which a model failed, counted."""
+    return _p4_failing(spark, sf)["errors"].select("model", "side", "error", "texts")

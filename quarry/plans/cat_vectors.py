@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators.metrics import judged_hits, judgements, own_rank
+from quarry.operators.encode import HashEncoder
 from quarry.operators.retrieve import pair_similarity, rank_before, top_k
+from quarry.operators.keys import text_key
 from quarry.plans.common import emb_inputs, emb_rows, eval_set, model_vectors
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
+from quarry.session import scratch_dir, stage_table
 from quarry.sources.tables import table
-from quarry.plans.sqlfrag import EVAL_SET_CTES, cos_sql, emb_ctes
+from quarry.plans.sqlfrag import EVAL_SET_CTES, cos_sql, emb_ctes, hash_vec_cte
 
 
 def _round(c, name):
@@ -158,3 +162,47 @@ def full_rank_ties(spark, sf):
     thr = q.select("query_id", "embedding", pair_similarity(F.col("embedding"), F.col("embedding"), "cosine")
                    .alias("thr_score"), (F.col("query_id") + F.lit(_TWIN)).alias("thr_ctx"))
     return rank_before(thr, c, "cosine").select("query_id", F.col("rank").alias("full_rank"))
+
+
+# -- a kept index: the benchmark texts first, then the documents -----------------
+
+INDEX_MODELS = {"hash64": HashEncoder(64, 1), "hash32": HashEncoder(32, 2)}
+
+
+def _grown_index(spark, sf):
+    index = VectorIndex(spark, scratch_dir(spark, "index"))
+    b = table(spark, sf, "benchmark").select(F.coalesce("text", F.lit("")).alias("text"))
+    d = table(spark, sf, "documents", spread_rows=True).select(F.coalesce("text", F.lit("")).alias("text"))
+    return index, [index.update(texts, INDEX_MODELS) for texts in (b, b.unionByName(d))]
+
+
+@query("index_update", sql="""
+WITH b AS (SELECT DISTINCT coalesce(text, '') AS text FROM benchmark),
+d AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents)
+SELECT m.model, r.step::INTEGER AS step, CASE step WHEN 0 THEN (SELECT count(*) FROM b)
+       ELSE (SELECT count(*) FROM d WHERE text NOT IN (SELECT text FROM b)) END AS encoded
+FROM (VALUES ('hash64'), ('hash32')) m(model), (VALUES (0), (1)) r(step)""")
+def index_update(spark, sf):
+    """A second run over a grown corpus encodes the new texts only."""
+    _, steps = _grown_index(spark, sf)
+    return spark.createDataFrame([(m, i, n) for i, counts in enumerate(steps) for m, n in counts.items()],
+                                 "model string, step int, encoded bigint")
+
+
+@query("index_retrieval", sql=f"""
+WITH qs AS (SELECT item_id, coalesce(text, '') AS text FROM benchmark),
+ds AS (SELECT min(doc_id) AS ctx_id, coalesce(text, '') AS text FROM documents GROUP BY ALL),
+{hash_vec_cte('qv', 'qs', 'item_id', 'text', 64, 1)},
+{hash_vec_cte('dv', 'ds', 'ctx_id', 'text', 64, 1)},
+s AS (SELECT q.vid AS query_id, d.vid AS ctx_id, {cos_sql('q.v', 'd.v')} AS score FROM qv q, dv d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, ctx_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def index_retrieval(spark, sf):
+    """Retrieval with the vectors of the grown, compacted index; no text is encoded."""
+    index, _ = _grown_index(spark, sf)
+    index.compact("hash64")
+    key = text_key(F.coalesce("text", F.lit(""))).alias("text_key")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), key)
+    c = table(spark, sf, "documents").select(key, "doc_id").groupBy("text_key").agg(F.min("doc_id").alias("ctx_id"))
+    h = top_k(stage_table(index.lookup(q, "query_id", "hash64"), "index-queries"), index.lookup(c, "ctx_id", "hash64"), 5)
+    return h.select("query_id", "rank", "ctx_id", _round(F.col("score"), "score"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULT_CONFIG, EXAMPLE_QUERIES, EvalConfig
 from quarry.operators.compare import (best_metric, best_model, improvement, model_means,
                                       one_metric, wide_to_long)
-from quarry.operators.encode import embed_all, embed_table, index_texts
+from quarry.operators.encode import embed_all, embed_table, encode_errors, index_texts
 from quarry.operators.keys import distinct_texts, text_key
 from quarry.operators.metrics import (METRIC_COLS, METRICS, dataset_composition, evaluate_multi,
                                       evaluate_rowwise, simulated_metrics)
@@ -32,6 +32,7 @@ from quarry.operators.training import mini_batches, run_manifest, training_examp
 from quarry.session import stage_table
 
 Encoder = Callable[[Column], Column]
+SIDES = {"q": "query", "c": "context"}
 
 
 # -- P1 -------------------------------------------------------------------------
@@ -165,7 +166,8 @@ def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
 
     Query and context texts are encoded once per distinct text, by both encoders in
     one pass, and their vectors joined back by key; one pass over the rows gives both
-    similarities."""
+    similarities. ``pairs`` tells them with the rows on which a model failed,
+    ``errors`` counts the texts it failed on (:class:`~quarry.operators.encode.IsolatingEncoder`)."""
     src = test_set.select(
         F.concat_ws("|", *[F.col(c).cast("string") for c in order_cols]).alias("row_id"),
         F.coalesce("query", F.lit("")).alias("query"), F.coalesce("context", F.lit("")).alias("context"))
@@ -175,14 +177,24 @@ def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
     texts = {"q": distinct_texts(rows.select("query"), F.col("query")),
              "c": distinct_texts(src.filter(~empty).select("context"), F.col("context"))}
     p = rows.select("row_id", "q_key", "c_key", "context_empty")
+    errors = []
     for side, how in (("q", "inner"), ("c", "left")):
         v = embed_table(texts[side], "text_key", [base, candidate])
-        p = p.join(v.toDF(f"{side}_key", f"_{side}0", f"_{side}1"), f"{side}_key", how)
-    p = stage_table(p.select("row_id", "context_empty", pair_similarity(F.col("_q0"), F.col("_c0")).alias("s0"),
-                             pair_similarity(F.col("_q1"), F.col("_c1")).alias("s1")), "similarities")
+        errors.append(encode_errors(v, ["base", "candidate"]).withColumn("side", F.lit(SIDES[side])))
+        p = p.join(v.select(F.col("text_key").alias(f"{side}_key"), F.col("e0").alias(f"_{side}0"),
+                            F.col("e1").alias(f"_{side}1")), f"{side}_key", how)
+    # a text that no model could encode has no vector: its pairs have a similarity of 0
+    p = stage_table(p.select("row_id", "context_empty", *[c for i in (0, 1) for c in (
+        pair_similarity(F.col(f"_q{i}"), F.col(f"_c{i}")).alias(f"s{i}"),
+        (F.col(f"_q{i}").isNull() | (F.col(f"_c{i}").isNull() & ~F.col("context_empty"))).alias(f"failed{i}"))]),
+        "similarities")
     long = reduce(lambda a, b: a.unionByName(b), [
         simulated_metrics(p.withColumnRenamed(f"s{i}", "similarity"), name, cfg)
         for i, name in enumerate(("base", "candidate"))])
     impr = stage_table(improvement(model_means(long), "base", "candidate"), "improvement")
-    return {"per_row": long, "improvement": impr, "best_metric": best_metric(impr),
+    pairs = p.select("row_id", F.inline(F.array(*[F.struct(
+        F.lit(name).alias("model"), F.col(f"s{i}").alias("similarity"), F.col(f"failed{i}").alias("failed"))
+        for i, name in enumerate(("base", "candidate"))])))
+    return {"per_row": long, "improvement": impr, "best_metric": best_metric(impr), "pairs": pairs,
+            "errors": reduce(lambda a, b: a.unionByName(b), errors),
             "faithfulness": one_metric(impr, "simulated_faithfulness")}

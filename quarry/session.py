@@ -64,6 +64,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 _STAGED: list[tuple[str, str]] = []
 
 
+def written_rows(df, path: str, *aggs) -> int | tuple:
+    """Write ``df`` as Parquet and return its row count, observed by the write itself (no
+    second job); with ``aggs`` (named aggregate columns) ``(rows, {name: value})``."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("_rows"), *aggs).write.mode("overwrite").parquet(path)
+    values = seen.get
+    rows = int(values.pop("_rows") or 0)
+    return (rows, values) if aggs else rows
+
+
 def stage_table(df, name: str = "stage"):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: a columnar, compressed hand-off that is computed once, cuts lineage
@@ -75,6 +88,17 @@ def stage_table(df, name: str = "stage"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df, name: str = "stage", *aggs) -> tuple:
+    """:func:`stage_table` with what the write observed: ``(table, rows)``, with ``aggs``
+    ``(table, rows, values)``."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    seen = written_rows(df, path, *aggs)
+    _STAGED.append((spark.sparkContext.applicationId, path))
+    table = spark.read.schema(df.schema).parquet(path)
+    return (table, *seen) if aggs else (table, seen)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables staged by this application (call when the results
     built on them are written); returns how many there were."""

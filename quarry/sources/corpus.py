@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import split_lines, ustrip
-from quarry.session import stage_table
+from quarry.session import stage_counted
 
 
 MAX_BROADCAST_SPLITS = 100_000
@@ -73,12 +73,13 @@ def corpus_entries(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     Only the list of file splits is sorted and numbered; an id is the number of its
     split and its place in the scan, so no text is moved."""
     from quarry.operators.ids import dense_index
-    lines = require_rows(load_lines(spark, paths, splits=True))
+    lines = load_lines(spark, paths, splits=True)
     key = ["file_pos", "source_file", "split_start"]
-    splits = stage_table(dense_index(lines.select(*key).distinct(), key, out="_split"), "splits")
+    splits, n = stage_counted(dense_index(lines.select(*key).distinct(), key, out="_split"), "splits")
+    if not n:                   # A3, told by the write of the splits
+        raise ValueError("no corpus records loaded")
     # one row per file split: broadcast when the list is known to be small
-    small = splits.count() <= MAX_BROADCAST_SPLITS
-    splits = F.broadcast(splits) if small else splits
+    splits = F.broadcast(splits) if n <= MAX_BROADCAST_SPLITS else splits
     same = [lines[c].eqNullSafe(splits[c]) for c in key]
     place = F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1))       # a split is read by one task
     return lines.join(splits, same).select(
