@@ -260,8 +260,8 @@ def vocabulary_path() -> str:
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     rows = piece_bpe.decode(piece_bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                       piece_bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

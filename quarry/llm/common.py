@@ -34,13 +34,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def text_slices(col: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
-    """``(row, texts)``: consecutive rows of at most ``most`` bytes of text, or one longer
-    one, as large strings (null: empty). Each slice is a copy: some Arrow kernels misread
-    arrays whose first offset is not 0."""
+def byte_slices(col: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """``(row, rows)``: consecutive rows of at most ``most`` bytes of a string or binary
+    column, or one longer one."""
     ends, row = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while row < len(col):
         to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
-        texts = col.take(pa.array(np.arange(row, to)))
-        yield row, pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        yield row, to - row
         row = to
+
+
+def text_slices(col: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """``(row, texts)``: the slices as large strings (null: empty). Each slice is a copy:
+    some Arrow kernels misread arrays whose first offset is not 0."""
+    for row, n in byte_slices(col, most):
+        texts = col.take(pa.array(np.arange(row, row + n)))
+        yield row, pc.fill_null(pc.cast(texts, pa.large_string()), "")

@@ -12,6 +12,7 @@ Characters outside the vocabulary become byte pieces.
 
 Only batches of bounded size are in memory (a single longer text is its own batch).
 The vocabulary's tables are sent to the tasks; their size is that of the model file.
+Ids are packed as little-endian unsigned 32-bit integers, as training loaders read them.
 
 Defined results: null and empty texts have only the begin and end ids and decode to the
 empty text; repeated rows, missing doc_ids and very long texts are rows like others; an
@@ -22,7 +23,6 @@ the library, and so it decodes to one.
 from __future__ import annotations
 
 import codecs
-import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -31,14 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices
+from quarry.llm.common import byte_slices, text_slices
 
 BATCH_BYTES = 4 << 20
 MARK = "▁"               # the library's mark for a blank
 BLANK = 0x20
+SLOT_BITS = 18
 NO_PAIR = np.iinfo(np.int32).max
-ENCODED_SCHEMA = "doc_id bigint, ids array<int>"
-DECODED_SCHEMA = "doc_id bigint, ids array<int>, decoded string"
+ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, packed binary"
+DECODED_SCHEMA = ENCODED_SCHEMA + ", decoded string"
 
 
 class Vocabulary(NamedTuple):
@@ -47,7 +48,8 @@ class Vocabulary(NamedTuple):
     symbol_of: np.ndarray     # per code point: its symbol, -1 if no piece has it
     n_pieces: int
     inner: np.ndarray         # code points of the symbols from n_pieces on
-    pair: np.ndarray          # left symbol * stride + right symbol, ascending
+    pair: np.ndarray          # left symbol * stride + right symbol, ascending by slot
+    slot: np.ndarray          # where each hash slot's pairs begin
     pair_rank: np.ndarray
     pair_symbol: np.ndarray
     stride: int
@@ -95,7 +97,8 @@ def read_vocabulary(path: str) -> Vocabulary:
             for part in (left, right):
                 if len(part) > 1 and part in rank and rank[p] <= rank[part]:
                     opens[rank[part]] = True
-    keys = np.array(sorted(pairs), dtype=np.int64)
+    keys = np.array(list(pairs), dtype=np.int64)
+    keys = keys[np.argsort(_slot_of(keys), kind="stable")]
     symbol_of = np.full(0x110000, -1, dtype=np.int32)
     for c in symbol:
         if len(c) == 1:
@@ -103,6 +106,7 @@ def read_vocabulary(path: str) -> Vocabulary:
     raw = [_bytes_of(model, i) for i in range(n)]
     v = Vocabulary(
         symbol_of, n, np.array([ord(c) for c in inner], dtype=np.int64), keys,
+        np.searchsorted(_slot_of(keys), np.arange((1 << SLOT_BITS) + 1)),
         np.array([pairs[k][0] for k in keys.tolist()], dtype=np.int32),
         np.array([pairs[k][1] for k in keys.tolist()], dtype=np.int32), stride, opens, byte_id,
         np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0] + [len(r) for r in raw]),
@@ -133,11 +137,24 @@ def _blank_run(v: Vocabulary, rank: dict[str, int]) -> int:
     return k if all(taken[m] == taken[k] + taken[m - k] for m in range(k + 1, 3 * k + 1)) else 0
 
 
+def _slot_of(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _pair_index(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Place of each pair in ``v.pair``, -1 if it is none."""
     key = left.astype(np.int64) * v.stride + right
-    at = np.minimum(np.searchsorted(v.pair, key), len(v.pair) - 1)
-    return np.where((left >= 0) & (right >= 0) & (v.pair[at] == key), at, -1)
+    slot = _slot_of(key)
+    at, end = v.slot[slot], v.slot[slot + 1]
+    found = np.full(len(key), -1, dtype=np.int64)
+    open_ = np.flatnonzero((at < end) & (left >= 0) & (right >= 0))
+    while len(open_):
+        here = at[open_]
+        hit = v.pair[here] == key[open_]
+        found[open_[hit]] = here[hit]
+        at[open_] += 1
+        open_ = open_[~hit & (here + 1 < end[open_])]
+    return found
 
 
 def _ranks(v: Vocabulary, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,47 +337,54 @@ def _keeps_blank(v: Vocabulary, i: int) -> bool:
     return i == v.byte_id[BLANK] or i == v.unknown
 
 
-def _lists(ids: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+def _packed(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [
+        None, pa.py_buffer(first * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    packed = pc.cast(packed, pa.large_binary())
+    buffers, n = packed.buffers(), len(packed)
+    off = np.frombuffer(buffers[1], dtype=np.int64)[packed.offset:packed.offset + n + 1]
+    data = np.frombuffer(buffers[2], dtype=np.uint8)[off[0]:off[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), dtype="<u4").astype(np.int32), (off - off[0]) // 4
+
+
+def unpack(packed: Column) -> Column:
+    """The ids of a packed column as an array."""
+    @F.arrow_udf("array<int>")
+    def ids(rows: pa.Array) -> pa.Array:
+        flat, first = _unpacked(rows)
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+
+    return ids(packed)
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, ids`` of every row's ``text``, begin and end ids included."""
+    """``doc_id, n_tokens, packed`` of every row's ``text``, begin and end ids included."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(read_vocabulary(model_path)))
 
     def run(batches):
         v = Vocabulary(*shared.value)
         for batch in batches:
             for row, texts in text_slices(batch.column(1), BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), _lists(*encode_texts(v, texts))],
-                                                 names=["doc_id", "ids"])
+                ids, first = encode_texts(v, texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(np.diff(first)),
+                                                  _packed(ids, first)], names=["doc_id", "n_tokens", "packed"])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, ENCODED_SCHEMA)
 
 
-def ids_digest(ids: Column) -> Column:
-    """Hex SHA-256 of an id list as little-endian unsigned 32-bit integers."""
-    @F.arrow_udf("string")
-    def digest(lists: pa.Array) -> pa.Array:
-        first, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)],
-                        pa.string())
-
-    return digest(ids)
-
-
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of rows with ``doc_id, ids``."""
+    """``doc_id, n_tokens, packed, decoded`` of rows with ``doc_id, n_tokens, packed``."""
     shared = coded.sparkSession.sparkContext.broadcast(tuple(read_vocabulary(model_path)))
 
     def run(batches):
         v = Vocabulary(*shared.value)
         for batch in batches:
-            ids = batch.column(1)
-            first = ids.offsets.to_numpy().astype(np.int64)
-            flat = ids.values.to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decode_ids(v, flat[first[0]:first[-1]],
-                                                                                      first - first[0]))],
-                                             names=["doc_id", "ids", "decoded"])
-
-    return coded.select("doc_id", "ids").mapInArrow(run, DECODED_SCHEMA)
+            for row, n in byte_slices(batch.column(2), BATCH_BYTES):
+                part = batch.slice(row, n)
+                said = pa.array(decode_ids(v, *_unpacked(part.column(2))), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, said], names=["doc_id", "n_tokens", "packed", "decoded"])
+
+    return coded.select("doc_id", "n_tokens", "packed").mapInArrow(run, DECODED_SCHEMA)

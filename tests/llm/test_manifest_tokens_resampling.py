@@ -168,8 +168,10 @@ def test_decoding_of_any_ids(library, vocabulary):
 def test_encode_and_decode_tables(spark, library):
     long = "once upon a time " * 30_000
     rows = [(1, "Hello  world", 1, "x"), (1, "Hello  world", 1, "x"), (None, "é", 2, "y"), (3, None, 3, None), (4, long, 4, "z")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids bigint, decoded string").repartition(2)
-    got = piece_bpe.decode(piece_bpe.encode(df, vocabulary_path()), vocabulary_path()).collect()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, packed bigint, decoded string").repartition(2)
+    back = piece_bpe.decode(piece_bpe.encode(df, vocabulary_path()), vocabulary_path())
+    got = back.select("doc_id", piece_bpe.unpack(F.col("packed")).alias("ids"), "decoded").collect()
+    assert all(r["n_tokens"] * 4 == len(r["packed"]) for r in back.collect())
     want = [(d, library.encode(t or "", add_bos=True, add_eos=True), t or "") for d, t, _, _ in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert piece_bpe.encode(df.limit(0), vocabulary_path()).count() == 0
