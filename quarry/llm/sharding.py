@@ -9,14 +9,15 @@ are routed by a join with the node table, never moved.
 Rows with equal texts share all coordinates and the text hash, so they are one
 point of the tree and stay in one shard unless they outgrow one. If the point
 at a median is so heavy that the cut would miss its goal, it is divided by row
-hash if it outgrows a shard; else the node's heavy points are dealt to the
+key (a written hash of doc_id and row) if it outgrows a shard; else the node's heavy points are dealt to the
 sides whole, so that the rest can meet the goal, and the median is taken again
 without them. Only where no choice of whole points meets the goal, the nearest
 one is taken.
 
 Defined results: a null text has size 1 (no bytes plus 1), checksum 0; null
-metadata counts as the smallest value; repeated rows are separate rows of
-one point; no rows give no rows; extra input columns are ignored.
+metadata counts as the smallest value; repeated rows, rows of one doc_id and rows
+without one are separate rows of one point and are divided like others; no rows give
+no rows; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +47,14 @@ def text_coord(x: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.substring(F.hex(x.cast("binary")), 1, 4), 4, "0"), 16, 10).cast("bigint"), F.lit(0))
 
 
+def row_key(doc_id: Column) -> Column:
+    """60 bits by which a point's rows are divided: 40 of the doc_id, then 20 of the row's
+    own number, so that rows of one doc_id or none can be divided too. To be written
+    before it is used."""
+    by_id = F.shiftrightunsigned(F.xxhash64(F.lit("row"), doc_id), 24)
+    return F.shiftleft(by_id, 20).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 44))
+
+
 def kd_leaves(points: DataFrame, dims: list[str], leaves: int) -> tuple[DataFrame, int]:
     """``points``: coordinates ``dims`` (22 bits), ``p_tie`` (38 bits), ``p_row`` (60
     bits) and ``p_size``. Returns ``(points + p_leaf, leaves)``; leaf numbers follow the
@@ -205,8 +214,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         F.col("doc_id"), size.alias("p_size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("bigint").alias("p_crc"),
         log_coord(F.char_length(text)).alias("c_chars"), log_coord(lines).alias("c_lines"),
-        text_coord(F.col("lang")).alias("c_lang"), tie.alias("p_tie"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col("doc_id")), 4).alias("p_row"))
+        text_coord(F.col("lang")).alias("c_lang"), tie.alias("p_tie"), row_key(F.col("doc_id")).alias("p_row"))
     if shards is None:
         points = stage_table(points, "kd")
         total = points.agg(F.sum("p_size")).first()[0] or 1

@@ -347,3 +347,21 @@ def test_pipeline_dedup_stage_keeps_one_row_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.one_of_each_group(spark, df, "").collect())
     assert got == sorted([(3, a), (5, b), (9, c), (0, "only here"), (11, ""), (11, "")])
+
+
+@pytest.mark.parametrize("ids", ["one", "none", "own"])
+def test_sharding_divides_repeated_rows(spark, ids):
+    """A group of equal rows with three quarters of all bytes, with one doc_id, none or their own."""
+    same = "the same words again " * 40
+    rows = [({"one": 7, "none": None, "own": i}[ids], same, "en") for i in range(600)]
+    rows += [(1000 + i, f"small text {i} " * 19, "en") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    got = sharding.kd_shards(df, shards=8).collect()
+    assert len(got) == len(rows)
+    weight, slots = [0] * 8, {}
+    for r in got:
+        weight[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(weight) / 8
+    assert max(abs(w - mean) for w in weight) <= 0.011 * mean, weight
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
