@@ -9,6 +9,7 @@ from quarry.operators.encode import HashEncoder
 from quarry.operators.retrieve import pair_similarity, rank_before, top_k
 from quarry.operators.keys import text_key
 from quarry.plans.common import emb_inputs, emb_rows, eval_set, model_vectors
+from quarry.operators.cell_index import build_index, pruned_top_k
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
 from quarry.session import scratch_dir, stage_table
@@ -164,6 +165,41 @@ def full_rank_ties(spark, sf):
     return rank_before(thr, c, "cosine").select("query_id", F.col("rank").alias("full_rank"))
 
 
+# -- cells that a bound skips ------------------------------------------------------
+
+def _pruned(spark, sf, similarity):
+    rows, q, c = emb_inputs(spark, sf)
+    return pruned_top_k(q, build_index(c, similarity), 5)
+
+
+@query("pruned_topk", sql=f"""
+WITH {emb_ctes()}
+SELECT query_id, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
+def pruned_topk(spark, sf):
+    """E3/E6 with the cell index: the rows of cosine_topk."""
+    return _pruned(spark, sf, "cosine")[0].select("query_id", "rank", "ctx_id", _round(F.col("score"), "score"))
+
+
+@query("pruned_dot_topk", sql=f"""
+WITH {emb_ctes(sim='dot')}
+SELECT query_id, rank::INTEGER AS rank, ctx_id, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
+def pruned_dot_topk(spark, sf):
+    """E4/E6 with the cell index: the rows of dot_topk."""
+    return _pruned(spark, sf, "dot")[0].select("query_id", "rank", "ctx_id", _round(F.col("score"), "score"))
+
+
+@query("pruned_share")
+def pruned_share(spark, sf):
+    """How many of the query x cell pairs the bound skips, benchmark texts against all
+    documents (a report; the hits are exact)."""
+    text, enc = F.coalesce("text", F.lit("")), INDEX_MODELS["hash64"]
+    c = stage_table(table(spark, sf, "documents", spread_rows=True).select(F.col("doc_id").alias("ctx_id"), enc(text).alias("embedding")),
+                    "pruned-corpus")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), enc(text).alias("embedding"))
+    parts = [pruned_top_k(q, build_index(c, s), 5)[1].withColumn("similarity", F.lit(s)) for s in ("cosine", "dot")]
+    return parts[0].unionByName(parts[1])
+
+
 # -- a kept index: the benchmark texts first, then the documents -----------------
 
 INDEX_MODELS = {"hash64": HashEncoder(64, 1), "hash32": HashEncoder(32, 2)}
