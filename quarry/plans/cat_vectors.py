@@ -10,6 +10,7 @@ from quarry.operators.retrieve import pair_similarity, rank_before, top_k
 from quarry.operators.keys import text_key
 from quarry.plans.common import emb_inputs, emb_rows, eval_set, model_vectors
 from quarry.operators.cell_index import build_index, pruned_top_k
+from quarry.operators.skew import heavy_hitters, salted_join
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
 from quarry.session import scratch_dir, stage_table
@@ -165,6 +166,32 @@ def full_rank_ties(spark, sf):
     return rank_before(thr, c, "cosine").select("query_id", F.col("rank").alias("full_rank"))
 
 
+# -- keys with much of the rows -----------------------------------------------------
+
+HEAVY_SHARE = 0.05
+
+
+@query("heavy_queries", sql=f"""
+WITH {EVAL_SET_CTES}
+SELECT query, count(*) AS n_rows, (SELECT count(*) FROM eval_rows WHERE query IS NOT NULL) AS total
+FROM eval_rows GROUP BY query HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM eval_rows WHERE query IS NOT NULL)""")
+def heavy_queries(spark, sf):
+    """The query texts on at least a twentieth of the eval rows, by a mergeable sketch."""
+    found = heavy_hitters(eval_set(spark, sf).select("query"), "query", HEAVY_SHARE)
+    return spark.createDataFrame([(k, n, found.total) for k, n in found.keys], "query string, n_rows bigint, total bigint")
+
+
+@query("salted_query_ids", sql=f"""
+WITH {EVAL_SET_CTES},
+q AS (SELECT query, min(row_id) AS query_id FROM eval_rows GROUP BY query)
+SELECT row_id, query_id, relevance FROM eval_rows JOIN q USING (query)""")
+def salted_query_ids(spark, sf):
+    """Rows and their query ids joined with the heavy query texts salted."""
+    rows = stage_table(eval_set(spark, sf).select("row_id", "query", "relevance"), "heavy-rows")
+    q = rows.groupBy("query").agg(F.min("row_id").alias("query_id"))
+    return salted_join(rows, q, "query", heavy_hitters(rows, "query", HEAVY_SHARE)).select("row_id", "query_id", "relevance")
+
+
 # -- cells that a bound skips ------------------------------------------------------
 
 def _pruned(spark, sf, similarity):

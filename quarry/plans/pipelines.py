@@ -28,6 +28,7 @@ from quarry.operators.parse import to_documents
 from quarry.operators.querygen import generate_queries
 from quarry.operators.responses import failed_requests, parse_responses, render_requests
 from quarry.operators.retrieve import pair_similarity, top_k
+from quarry.operators.skew import BROADCAST_ROWS, keyed_join
 from quarry.operators.training import mini_batches, run_manifest, training_examples, training_keys
 from quarry.session import stage_table
 
@@ -67,10 +68,13 @@ def index_eval_rows(eval_rows: DataFrame) -> IndexedRows:
                                   text_key(F.col("context")).alias("c_key"), "relevance"), "eval-rows")
     qi, nq = index_texts(rows, "query", "query_id", with_total=True)
     ci, nc = index_texts(src, "context", "ctx_id", with_total=True)
-    ids = (rows.select("row_id", "q_key", "c_key", "relevance")
-           .join(qi.select(F.col("text_key").alias("q_key"), "query_id"), "q_key")
-           .join(ci.select(F.col("text_key").alias("c_key"), "ctx_id"), "c_key")
-           .select("row_id", "query_id", "ctx_id", "relevance"))
+    # one query text may cover most rows: its key is broadcast or salted, never one task's
+    ids = keyed_join(rows.select("row_id", "q_key", "c_key", "relevance"),
+                     qi.select(F.col("text_key").alias("q_key"), "query_id"), "q_key", nq)
+    c_keys = ci.select(F.col("text_key").alias("c_key"), "ctx_id")
+    if nc > BROADCAST_ROWS:             # a salted join deals a written table
+        ids = stage_table(ids, "eval-query-ids")
+    ids = keyed_join(ids, c_keys, "c_key", nc).select("row_id", "query_id", "ctx_id", "relevance")
     return IndexedRows(stage_table(ids, "eval-ids"), qi.select("query_id", "text"),
                        ci.select("ctx_id", "text"), nq, nc)
 
