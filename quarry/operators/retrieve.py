@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 PAIRS_PER_PARTITION = 64
 QUERY_BYTES = 64 << 20   # largest query side (vectors and kept hits) that is broadcast
 PASS_SCHEMA = "query_id bigint, ctx_id bigint, score double, n_before bigint"
+STACKED_SCHEMA = PASS_SCHEMA + ", model int"
 _SCORE_CELLS = 1 << 23   # at most ~8M float64 scores (64 MB) per chunk
 _QUERY_ROWS = 4096       # query rows scored at once
 _PAIR_CELLS = 1 << 21    # vector cells gathered at once by the pair kernel
@@ -174,14 +175,6 @@ class BlockScorer:
             "n_before": pa.concat_arrays([gap(len(rows), pa.int64()), pa.array(self.before[want])])})
 
 
-def _scorer(q: pa.Table, k: int, cosine: bool) -> BlockScorer:
-    thr = tid = None
-    if "thr_score" in q.column_names:
-        thr = q["thr_score"].to_numpy()
-        tid = pc.fill_null(q["thr_ctx"], 0).to_numpy()
-    return BlockScorer(q["query_id"].to_numpy(), _vectors(q["q_vec"]), k, cosine, thr, tid)
-
-
 def plan_blocks(n_queries: int, n_corpus: int, parallelism: int,
                 query_block_rows: int = 4096, corpus_block_rows: int = 16384) -> tuple[int, int]:
     """Numbers of query blocks QB and corpus blocks CB.
@@ -219,57 +212,91 @@ def _blocked(q: DataFrame, c: DataFrame, qb: int, cb: int):
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
 
 
-def score_pass(queries: DataFrame, corpus: DataFrame, k: int, similarity: str = "cosine",
-               n_corpus: int | None = None,
-               query_block_rows: int = 4096, corpus_block_rows: int = 16384,
-               query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """One scoring pass, rows of PASS_SCHEMA: local top-``k`` candidates
-    (``ctx_id, score``) and, if ``queries`` has ``thr_score, thr_ctx``, local
-    counts ``n_before``. ``queries``: ``query_id, embedding``; a query without a
-    threshold (null) gets no count. The query side is read twice (its size is
-    checked before it may be broadcast): hand in a written table."""
+def stacked_pass(queries: DataFrame, corpus: DataFrame, models: int, k: int, similarity: str = "cosine",
+                 n_corpus: int | None = None,
+                 query_block_rows: int = 4096, corpus_block_rows: int = 16384,
+                 query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """One scoring pass for all models: rows of PASS_SCHEMA with the ``model`` (0, 1, ...).
+
+    ``queries``: ``query_id, e0, e1, ...`` (a vector per model) and, where counts are
+    wanted, ``thr0, ctx0, thr1, ...``; ``corpus``: ``ctx_id, e0, e1, ...``. A query without a
+    threshold (null) gets no count. Each model's vectors are scored on their own inside the
+    task, so the plan is the same for any number of models. The query side is read
+    twice (its size is checked before it may be broadcast): hand in a written table."""
     if similarity not in ("cosine", "dot"):
         raise ValueError("similarity must be 'cosine' or 'dot'")
     cosine = similarity == "cosine"
     spark = queries.sparkSession
-    extra = [c for c in ("thr_score", "thr_ctx") if c in queries.columns]
-    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").alias("q_vec"), *extra)
-    c = corpus.select(F.col("ctx_id").cast("bigint").alias("ctx_id"), F.col("embedding").alias("c_vec"))
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q_vec")).alias("d")).first()
-    if size["n"] * (8 * (size["d"] or 0) + 32 * (k + 1)) <= query_bytes:
+    vecs = [f"e{i}" for i in range(models)]
+    limits = [c for i in range(models) for c in (f"thr{i}", f"ctx{i}") if f"thr{i}" in queries.columns]
+    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), *vecs, *limits)
+    c = corpus.select(F.col("ctx_id").cast("bigint").alias("ctx_id"), *vecs)
+    size = q.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.size(v)).alias(v) for v in vecs]).first()
+    dims = sum(size[v] or 0 for v in vecs)
+
+    def scorers(t: pa.Table) -> list[BlockScorer]:
+        ids = t["query_id"].to_numpy()
+        out = []
+        for i, v in enumerate(vecs):
+            thr = t[f"thr{i}"].to_numpy() if f"thr{i}" in t.column_names else None
+            ctx = pc.fill_null(t[f"ctx{i}"], 0).to_numpy() if thr is not None else None
+            out.append(BlockScorer(ids, _vectors(t[v]), k, cosine, thr, ctx))
+        return out
+
+    def result(made: list[BlockScorer]) -> pa.Table:
+        parts = [s.table() for s in made]
+        return pa.concat_tables([p.append_column("model", pa.array(np.full(p.num_rows, i, dtype=np.int32)))
+                                 for i, p in enumerate(parts)])
+
+    if size["n"] * (8 * dims + 32 * models * (k + 1)) <= query_bytes:
         side = spark.sparkContext.broadcast(q.toArrow())
 
         def scan(batches):
-            scorer = _scorer(side.value, k, cosine)
+            made = scorers(side.value)
             for batch in batches:
-                scorer.add(batch.column(0).to_numpy(), _vectors(batch.column(1)))
-            yield from scorer.table().to_batches()
+                for i, s in enumerate(made):
+                    s.add(batch.column(0).to_numpy(), _vectors(batch.column(1 + i)))
+            yield from result(made).to_batches()
 
-        return c.mapInArrow(scan, PASS_SCHEMA)
+        return c.mapInArrow(scan, STACKED_SCHEMA)
     nc = corpus.count() if n_corpus is None else n_corpus
     qb, cb = plan_blocks(size["n"], nc, spark.sparkContext.defaultParallelism,
                          query_block_rows, corpus_block_rows)
 
     def meet(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        scorer = _scorer(qt, k, cosine)
-        scorer.add(ct["ctx_id"].to_numpy(), _vectors(ct["c_vec"]))
-        return scorer.table()
+        made = scorers(qt)
+        for v, s in zip(vecs, made, strict=True):
+            s.add(ct["ctx_id"].to_numpy(), _vectors(ct[v]))
+        return result(made)
 
-    return _blocked(q, c, qb, cb).applyInArrow(meet, PASS_SCHEMA)
+    return _blocked(q, c, qb, cb).applyInArrow(meet, STACKED_SCHEMA)
 
 
-def best_hits(passed: DataFrame, k: int) -> DataFrame:
-    """Global top-k of a scoring pass: ``query_id, ctx_id, score, rank``."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ctx_id").asc())
-    return (passed.filter(F.col("ctx_id").isNotNull()).select("query_id", "ctx_id", "score")
+def score_pass(queries: DataFrame, corpus: DataFrame, k: int, similarity: str = "cosine",
+               n_corpus: int | None = None,
+               query_block_rows: int = 4096, corpus_block_rows: int = 16384,
+               query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """:func:`stacked_pass` of one model: ``query_id, embedding`` and, if ``queries`` has
+    them, ``thr_score, thr_ctx`` -> rows of PASS_SCHEMA."""
+    names = {"embedding": "e0", "thr_score": "thr0", "thr_ctx": "ctx0"}
+    q = queries.select("query_id", *[F.col(c).alias(n) for c, n in names.items() if c in queries.columns])
+    c = corpus.select("ctx_id", F.col("embedding").alias("e0"))
+    return stacked_pass(q, c, 1, k, similarity, n_corpus, query_block_rows, corpus_block_rows, query_bytes).drop("model")
+
+
+def best_hits(passed: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Global top-k of a scoring pass: ``query_id, ctx_id, score, rank``; of a stacked one with
+    ``by=("model", "query_id")`` with the model in front."""
+    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("ctx_id").asc())
+    return (passed.filter(F.col("ctx_id").isNotNull()).select(*by, "ctx_id", "score")
                   .withColumn("rank", F.row_number().over(w))
                   .filter(F.col("rank") <= k))
 
 
-def counted_ranks(passed: DataFrame) -> DataFrame:
-    """Full-depth ranks of a scoring pass: ``query_id, rank``."""
+def counted_ranks(passed: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Full-depth ranks of a scoring pass: ``by, rank``."""
     return (passed.filter(F.col("n_before").isNotNull())
-                  .groupBy("query_id").agg((F.sum("n_before") + 1).alias("rank")))
+                  .groupBy(*by).agg((F.sum("n_before") + 1).alias("rank")))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, similarity: str = "cosine",

@@ -3,18 +3,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_CONFIG
 from quarry.operators.compare import (best_metric, best_model, improvement, model_means,
                                       one_metric)
-from quarry.operators.metrics import (METRIC_COLS, dataset_composition, evaluate_multi,
-                                      evaluate_rowwise, multi_query_metrics, rowwise_metrics,
-                                      simulated_metrics)
-from quarry.operators.retrieve import pair_similarity
-from quarry.plans.common import MODELS, emb_inputs, emb_rows, model_vectors
+from quarry.operators.metrics import (METRIC_COLS, dataset_composition, evaluate_multi_models,
+                                      evaluate_rowwise, evaluate_rowwise_models, multi_query_metrics,
+                                      rowwise_metrics, simulated_models)
+from quarry.operators.retrieve import best_hits, pair_similarity, stacked_pass
+from quarry.plans.common import MODELS, emb_inputs, emb_models, emb_rows, stacked_vectors
 from quarry.plans.registry import query
 from quarry.plans.sqlfrag import SEED, cos_sql, emb_ctes, h
 from quarry.sources.tables import table
@@ -73,13 +71,16 @@ BOARD_CTES = "WITH " + ",\n".join(
 BOARD_SQL = "\nUNION ALL\n".join(_avg_sql(f"{n.lower()}_", n, i) for i, (n, _) in enumerate(MODELS))
 
 
+def _named(df):
+    """Model numbers to the names of MODELS, with their place."""
+    names = F.array(*[F.lit(n) for n, _ in MODELS])
+    return df.withColumn("model_pos", F.col("model")).withColumn("model", F.element_at(names, F.col("model") + 1))
+
+
 def _board(spark, sf):
-    parts = []
-    for i, (name, dims) in enumerate(MODELS):
-        rows, q, c = emb_inputs(spark, sf, dims)
-        e = evaluate_rowwise(rows, q, c, "cosine")
-        parts.append(e.select(F.lit(name).alias("model"), F.lit(i).alias("model_pos"), *r6(), "n_rows"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows, q, c = emb_models(spark, sf)
+    hits = best_hits(stacked_pass(q, c, len(MODELS), 5, "cosine"), 5, ("model", "query_id"))
+    return _named(evaluate_rowwise_models(rows, hits, len(MODELS))).select("model", "model_pos", *r6(), "n_rows")
 
 
 @query("evaluate_rowwise", sql=f"WITH {emb_ctes()}, {_rowwise_sql('')}\n{_avg_sql('', 'A', 0)}")
@@ -155,27 +156,19 @@ def multi_ndcg(spark, sf):
         f"round(sum({c} * weight) / sum(weight), 6) AS {c}" for c in METRIC_COLS)
     + f", sum(weight)::BIGINT AS n_rows FROM {n.lower()}_mq" for n, _ in MODELS))
 def evaluate_multi_q(spark, sf):
-    parts = []
-    for name, dims in MODELS:
-        rows, q, c = emb_inputs(spark, sf, dims)
-        e = evaluate_multi(rows, q, c, "dot")
-        parts.append(e.select(F.lit(name).alias("model"), *r6(), "n_rows"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows, q, c = emb_models(spark, sf)
+    return _named(evaluate_multi_models(rows, q, c, len(MODELS), "dot")).select("model", *r6(), "n_rows")
 
 
 # -- simulated metrics ---------------------------------------------------------
 
 def _sim_long(spark, sf):
-    rows = emb_rows(spark, sf, outer=True)
-    parts = []
-    for name, dims in MODELS:
-        v = model_vectors(spark, sf, dims)
-        qv = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_qe"))
-        cv = v.select(F.col("vec_id").alias("ctx_id"), F.col("embedding").alias("_ce"))
-        p = (rows.join(qv, "query_id").join(cv, "ctx_id", "left")
-                 .withColumn("similarity", pair_similarity(F.col("_qe"), F.col("_ce"), "cosine")))
-        parts.append(simulated_metrics(p.select("row_id", "context_empty", "similarity"), name))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    v = stacked_vectors(spark, sf)
+    side = lambda key, p: v.select(F.col("vec_id").alias(key), *[F.col(f"e{i}").alias(f"_{p}{i}") for i in range(len(MODELS))])
+    p = (emb_rows(spark, sf, outer=True).join(side("query_id", "q"), "query_id").join(side("ctx_id", "c"), "ctx_id", "left")
+         .select("row_id", "context_empty", *[pair_similarity(F.col(f"_q{i}"), F.col(f"_c{i}"), "cosine").alias(f"s{i}")
+                                              for i in range(len(MODELS))]))
+    return simulated_models(p, [name for name, _ in MODELS])
 
 
 def _sim_sql() -> str:

@@ -38,14 +38,25 @@ def joined(col, sep: str = "|"):
 MODELS = (("A", 64), ("B", 32))
 
 
+def _folded(x, dims: int):
+    """The vector column for a model of ``dims`` dimensions."""
+    if dims == VECTOR_DIMS:
+        return x
+    x = x.cast("array<double>")
+    return F.array(*[reduce(lambda a, b: a + b, [x[j] * F.lit(fold_sign(j)) for j in range(i, VECTOR_DIMS, dims)])
+                     for i in range(dims)])
+
+
 def model_vectors(spark: SparkSession, sf: str, dims: int) -> DataFrame:
     e = table(spark, sf, "embeddings", spread_rows=True)
-    if dims == VECTOR_DIMS:
-        return e.select("vec_id", "label", "embedding")
-    x = F.col("embedding").cast("array<double>")
-    folded = [reduce(lambda a, b: a + b, [x[j] * F.lit(fold_sign(j)) for j in range(i, VECTOR_DIMS, dims)])
-              for i in range(dims)]
-    return e.select("vec_id", "label", F.array(*folded).alias("embedding"))
+    return e.select("vec_id", "label", _folded(F.col("embedding"), dims).alias("embedding"))
+
+
+def stacked_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Both models' vectors side by side, written once: ``vec_id, e0, e1``."""
+    e = table(spark, sf, "embeddings", spread_rows=True)
+    return spread(stage_table(e.select("vec_id", *[_folded(F.col("embedding"), d).alias(f"e{i}")
+                                                   for i, (_, d) in enumerate(MODELS)]), "emb-vectors"))
 
 
 def emb_rows(spark: SparkSession, sf: str, outer: bool = False) -> DataFrame:
@@ -64,13 +75,27 @@ def emb_rows(spark: SparkSession, sf: str, outer: bool = False) -> DataFrame:
                     F.col("_cid").isNull().alias("context_empty"))
 
 
+def _emb_sides(rows: DataFrame, vectors: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors that are queries, and those that are contexts, of ``rows``: one join
+    with the ids' roles, written once."""
+    rest = [c for c in vectors.columns if c != "vec_id"]
+    role = lambda c, q: F.struct(F.col(c).alias("vec_id"), F.lit(q).alias("is_q"), F.lit(not q).alias("is_c"))
+    roles = (rows.select(F.inline(F.array(role("query_id", True), role("ctx_id", False))))
+             .groupBy("vec_id").agg(F.max("is_q").alias("is_q"), F.max("is_c").alias("is_c")))
+    both = spread(stage_table(vectors.join(roles, "vec_id"), name))
+    return (both.filter("is_q").select(F.col("vec_id").alias("query_id"), *rest),
+            both.filter("is_c").select(F.col("vec_id").alias("ctx_id"), *rest))
+
+
 def emb_inputs(spark: SparkSession, sf: str, dims: int = 64):
     """(rows, query vectors, corpus vectors) for one model."""
-    rows = emb_rows(spark, sf).drop("context_empty")
-    v = model_vectors(spark, sf, dims)
-    queries = v.join(rows.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    corpus = v.join(rows.select(F.col("ctx_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    # each is read by several operators downstream: written once
-    return (stage_table(rows, "emb-rows"),
-            stage_table(queries.select(F.col("vec_id").alias("query_id"), "embedding"), "emb-queries"),
-            spread(stage_table(corpus.select(F.col("vec_id").alias("ctx_id"), "embedding"), "emb-corpus")))
+    rows = stage_table(emb_rows(spark, sf).drop("context_empty"), "emb-rows")
+    return rows, *_emb_sides(rows, model_vectors(spark, sf, dims).drop("label"), "emb-sides")
+
+
+def emb_models(spark: SparkSession, sf: str):
+    """(rows, query vectors, corpus vectors) with a vector column per model of MODELS."""
+    rows = stage_table(emb_rows(spark, sf).drop("context_empty"), "emb-rows")
+    e = table(spark, sf, "embeddings", spread_rows=True)
+    vectors = e.select("vec_id", *[_folded(F.col("embedding"), d).alias(f"e{i}") for i, (_, d) in enumerate(MODELS)])
+    return rows, *_emb_sides(rows, vectors, "emb-sides")

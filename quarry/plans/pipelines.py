@@ -20,17 +20,18 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULT_CONFIG, EXAMPLE_QUERIES, EvalConfig
 from quarry.operators.compare import (best_metric, best_model, improvement, model_means,
                                       one_metric, wide_to_long)
-from quarry.operators.encode import embed_all, embed_table, encode_errors, index_texts
+from quarry.operators.encode import embed_table, encode_errors, index_texts
 from quarry.operators.keys import distinct_texts, text_key
-from quarry.operators.metrics import (METRIC_COLS, METRICS, dataset_composition, evaluate_multi,
-                                      evaluate_rowwise, simulated_metrics)
+from quarry.operators.metrics import (METRIC_COLS, METRICS, dataset_composition, evaluate_multi_models,
+                                      evaluate_rowwise_models, simulated_models)
 from quarry.operators.parse import to_documents
 from quarry.operators.querygen import generate_queries
 from quarry.operators.responses import failed_requests, parse_responses, render_requests
-from quarry.operators.retrieve import pair_similarity, top_k
+from quarry.operators.retrieve import best_hits, pair_similarity, stacked_pass
 from quarry.operators.skew import BROADCAST_ROWS, keyed_join
 from quarry.operators.training import mini_batches, run_manifest, training_examples, training_keys
 from quarry.session import stage_table
+from quarry.sources.tables import spread
 
 Encoder = Callable[[Column], Column]
 SIDES = {"q": "query", "c": "context"}
@@ -87,33 +88,27 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
     example queries answered by the best model, dataset composition.
 
     The example queries join the eval queries under ids below the least id of
-    these, so each model scores the corpus in a single top-k pass."""
+    these, and all models' vectors lie in one table: a single top-k pass scores the
+    corpus for all models."""
     spark = eval_rows.sparkSession
     ix = index_eval_rows(eval_rows)
     least = ix.queries.agg(F.min("query_id")).first()[0] or 0
-    is_example = F.col("query_id") < F.lit(least)
     ex = spark.createDataFrame([(least - 1 - i, q) for i, q in enumerate(example_queries)],
                                "query_id bigint, text string")
-    k = max(5, k_examples)
+    k, names, n = max(5, k_examples), list(models), len(models)
     encoders = list(models.values())
-    qvs = embed_all(ix.queries.unionByName(ex), "query_id", encoders)
-    cvs = embed_all(ix.contexts, "ctx_id", encoders)
-    boards, examples = [], []
-    for pos, (name, qv, cv) in enumerate(zip(models, qvs, cvs, strict=True)):
-        # written with the model's name: a literal would let the optimizer push the
-        # semi-join below into the union and turn it into a non-equi join
-        hits = stage_table(top_k(qv, cv, k, "cosine", n_corpus=ix.n_contexts)
-                           .withColumn("model", F.lit(name)), "hits")
-        m = evaluate_rowwise(ix.rows, None, None, "cosine", hits=hits.filter(~is_example & (F.col("rank") <= 5)))
-        boards.append(m.select(F.lit(name).alias("model"), F.lit(pos).alias("model_pos"), *METRIC_COLS,
-                               "n_rows"))
-        examples.append(hits.filter(is_example & (F.col("rank") <= k_examples))
-                        .select("model", (F.lit(least - 1) - F.col("query_id")).alias("query_id"),
-                                "rank", "ctx_id", "score"))
-    board = stage_table(reduce(lambda a, b: a.unionByName(b), boards), "board")
+    qv = embed_table(ix.queries.unionByName(ex), "query_id", encoders)
+    cv = spread(embed_table(ix.contexts, "ctx_id", encoders))
+    hits = stage_table(best_hits(stacked_pass(qv, cv, n, k, "cosine", ix.n_contexts), k, ("model", "query_id")), "hits")
+    own = hits.filter((F.col("query_id") >= least) & (F.col("rank") <= 5))
+    board = evaluate_rowwise_models(ix.rows, own, n)
+    board = stage_table(board.select(_name(names, F.col("model")).alias("model"), F.col("model").alias("model_pos"),
+                                     *METRIC_COLS, "n_rows"), "board")
     best = best_model(board).select("model", "mrr")
     ex0 = ex.select((F.lit(least - 1) - F.col("query_id")).alias("query_id"), F.col("text").alias("query"))
-    ex_hits = (reduce(lambda a, b: a.unionByName(b), examples)
+    ex_hits = (hits.filter((F.col("query_id") < least) & (F.col("rank") <= k_examples))
+               .select(_name(names, F.col("model")).alias("model"),
+                       (F.lit(least - 1) - F.col("query_id")).alias("query_id"), "rank", "ctx_id", "score")
                .join(best.select("model"), "model", "left_semi")
                .join(ex0, "query_id")
                .join(ix.contexts.withColumnRenamed("text", "context"), "ctx_id"))
@@ -121,6 +116,10 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
             "composition": dataset_composition(ix.rows)}
 
 
+def _name(names: list[str], model: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names]), model + 1)
+
+
 # -- P3 -------------------------------------------------------------------------
 
 def build_training_set(eval_rows: DataFrame, cfg: EvalConfig = DEFAULT_CONFIG, epochs: int = 3,
@@ -139,14 +138,12 @@ def compare_models(eval_rows: DataFrame, base: Encoder, candidate: Encoder,
                    similarity: str = "dot") -> DataFrame:
     """Multi-relevant metrics of two encoders and their improvement table."""
     ix = index_eval_rows(eval_rows)
-    qvs = embed_all(ix.queries, "query_id", [base, candidate])
-    cvs = embed_all(ix.contexts, "ctx_id", [base, candidate])
-    parts = []
-    for name, qv, cv in zip(("base", "candidate"), qvs, cvs, strict=True):
-        e = evaluate_multi(ix.rows, qv, cv, similarity, n_corpus=ix.n_contexts)
-        parts.append(wide_to_long(e.withColumn("model", F.lit(name)), list(METRIC_COLS), list(METRICS)))
-    means = reduce(lambda a, b: a.unionByName(b), parts)
-    return improvement(means, "base", "candidate")
+    names, encoders = ["base", "candidate"], [base, candidate]
+    qv = embed_table(ix.queries, "query_id", encoders)
+    cv = spread(embed_table(ix.contexts, "ctx_id", encoders))
+    e = evaluate_multi_models(ix.rows, qv, cv, 2, similarity, ix.n_contexts)
+    e = e.withColumn("model", _name(names, F.col("model")))
+    return improvement(wide_to_long(e, list(METRIC_COLS), list(METRICS)), "base", "candidate")
 
 
 # -- P4 -------------------------------------------------------------------------
@@ -192,9 +189,7 @@ def compare_paired(test_set: DataFrame, base: Encoder, candidate: Encoder,
         pair_similarity(F.col(f"_q{i}"), F.col(f"_c{i}")).alias(f"s{i}"),
         (F.col(f"_q{i}").isNull() | (F.col(f"_c{i}").isNull() & ~F.col("context_empty"))).alias(f"failed{i}"))]),
         "similarities")
-    long = reduce(lambda a, b: a.unionByName(b), [
-        simulated_metrics(p.withColumnRenamed(f"s{i}", "similarity"), name, cfg)
-        for i, name in enumerate(("base", "candidate"))])
+    long = simulated_models(p, ["base", "candidate"], cfg)
     impr = stage_table(improvement(model_means(long), "base", "candidate"), "improvement")
     pairs = p.select("row_id", F.inline(F.array(*[F.struct(
         F.lit(name).alias("model"), F.col(f"s{i}").alias("similarity"), F.col(f"failed{i}").alias("failed"))
