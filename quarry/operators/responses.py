@@ -28,6 +28,11 @@ def clean_query(q, cfg: EvalConfig = DEFAULT_CONFIG):
     return lower_first(strip_starters(q, cfg.starters))
 
 
+def usable(response):
+    """Whether an answer has a line that is not blank; missing answers have none."""
+    return F.coalesce(ustrip(F.regexp_replace(response, "\n", "")) != F.lit(""), F.lit(False))
+
+
 def parse_responses(docs: DataFrame, responses: DataFrame, cfg: EvalConfig = DEFAULT_CONFIG,
                     id_col: str = "entry_id", body_col: str = "page_content",
                     response_col: str = "response", resp_key: str = "resp_id",
@@ -52,6 +57,6 @@ def parse_responses(docs: DataFrame, responses: DataFrame, cfg: EvalConfig = DEF
 
 def failed_requests(docs: DataFrame, responses: DataFrame, id_col: str = "entry_id",
                     response_col: str = "response") -> DataFrame:
-    """Entries without any usable response (anti-join)."""
-    ok = responses.filter(F.col(response_col).isNotNull()).select(F.col(id_col).alias("entry_id"))
+    """Entries without any usable response (anti-join): none, missing or blank ones only."""
+    ok = responses.filter(usable(F.col(response_col))).select(F.col(id_col).alias("entry_id"))
     return docs.select(F.col(id_col).alias("entry_id")).join(ok, "entry_id", "left_anti")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import lower_first, normalise_context, strip_starters
+from quarry.operators.ledger import RequestLedger
 from quarry.operators.parse import to_documents
 from quarry.operators.responses import failed_requests, render_requests
 from quarry.plans.cat_training import _test_set
@@ -40,9 +41,12 @@ def parse_responses_q(spark, sf):
     return _test_set(spark, sf)
 
 
-@query("failed_responses", sql="""
+_USABLE = strip("replace(text, chr(10), '')") + " <> ''"
+
+
+@query("failed_responses", sql=f"""
 SELECT doc_id AS entry_id FROM documents
-WHERE doc_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)""")
+WHERE doc_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'assistant' AND text IS NOT NULL AND {_USABLE})""")
 def failed_responses(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"))
     conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
@@ -50,6 +54,59 @@ def failed_responses(spark, sf):
     return failed_requests(docs, resp)
 
 
+# -- the ledger: every turn of a conversation is an attempt at the entry of its number; in
+# turns divisible by 3 the service answers with blanks only, in those by 5 not at all
+
+_ATTEMPTS = """
+a AS (
+  SELECT conv_id AS entry_id, turn AS attempt,
+         CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 3 = 0 THEN ' ' || chr(10) || chr(9) ELSE text END AS text,
+         'answers-' || role AS batch FROM conversations),
+u AS (SELECT *, coalesce(""" + _USABLE + """, false) AS ok FROM a)"""
+
+
+def _ledger(spark, sf):
+    """The attempts recorded by role, with every batch replayed."""
+    c = table(spark, sf, "conversations")
+    answer = F.when(F.col("turn") % 5 == 0, F.lit(None)).when(F.col("turn") % 3 == 0, F.lit(" \n\t")).otherwise(F.col("text"))
+    rows = c.select(F.col("conv_id").alias("entry_id"), F.col("turn").alias("resp_id"), answer.alias("response"), "role")
+    ledger = RequestLedger(spark, scratch_dir(spark, "ledger"))
+    for role in ("assistant", "user", "assistant", "user"):
+        ledger.record(rows.filter(F.col("role") == role).drop("role"), f"answers-{role}")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("entry_id"), "text")
+    return ledger, docs
+
+
+@query("ledger_status", sql=f"""
+WITH {_ATTEMPTS}
+SELECT d.doc_id AS entry_id, count(u.entry_id) AS attempts, count(*) FILTER (WHERE NOT u.ok) AS failed,
+       count(*) FILTER (WHERE u.ok) > 0 AS answered
+FROM documents d LEFT JOIN u ON u.entry_id = d.doc_id AND u.batch IN ('answers-assistant', 'answers-user') GROUP BY d.doc_id""")
+def ledger_status(spark, sf):
+    """Attempts of every request; blank-only answers are failures, replays count once."""
+    ledger, docs = _ledger(spark, sf)
+    return ledger.status(docs)
+
+
+@query("ledger_answers", sql=f"""
+WITH {_ATTEMPTS}
+SELECT entry_id, max(attempt) AS resp_id, md5(arg_max(text, struct_pack(a := attempt, b := batch))) AS response_md5
+FROM u WHERE ok AND batch IN ('answers-assistant', 'answers-user') GROUP BY entry_id""")
+def ledger_answers(spark, sf):
+    """The latest usable answer of every entry."""
+    return _ledger(spark, sf)[0].answers().select("entry_id", "resp_id", F.md5("response").alias("response_md5"))
+
+
+@query("ledger_open", sql=f"""
+WITH {_ATTEMPTS}, {TAGGED}, {parsed_cte()}
+SELECT entry_id, {_lit(_PRE)} || body || {_lit(_POST)} AS request FROM parsed
+WHERE entry_id NOT IN (SELECT entry_id FROM u WHERE ok AND batch IN ('answers-assistant', 'answers-user'))""")
+def ledger_open(spark, sf):
+    """The requests still to be sent."""
+    ledger, _ = _ledger(spark, sf)
+    return ledger.open_requests(render_requests(to_documents(tagged(spark, sf), cfg=TEST_CFG), TEST_CFG))
+
+
 # Starter-stripping inputs: every benchmark text prefixed with two starters,
 # one pair in list order and one against it (indices derived from item_id).
 N_ST = len(TEST_CFG.starters)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.training import (distinct_contexts, mini_batches, run_manifest,
+from quarry.operators.training import (_augmented, _positives, distinct_contexts, mini_batches, run_manifest,
                                        sample_negatives, training_examples, training_keys,
                                        training_labelled)
 from quarry.plans.common import TEST_CFG, eval_set
@@ -14,6 +14,7 @@ from quarry.plans.registry import query
 from quarry.plans.sqlfrag import (EVAL_SET_CTES, SEED, TEST_SET_CTES, alt_rows_cte,
                                   contexts_cte, hkey, parsed_cte, ring_offsets_sql)
 from quarry.session import scratch_dir, stage_table
+from quarry.sources.batches import read_batches, write_batches
 from quarry.sources.reports import manifest_json, write_json
 from quarry.sources.tables import table
 
@@ -157,6 +158,29 @@ def mini_batches_q(spark, sf):
     return mini_batches(keys, ["row_id", "aug_pos"], batch_size=16, epochs=2, seed=SEED)
 
 
+BATCHES_PER_FILE = 10
+
+
+@query("batch_files", sql=f"""
+WITH {TRAIN_CTES},
+e AS (SELECT row_id, aug_pos, query, epoch,
+             {hkey([str(SEED), "'batch'", 'epoch', "concat_ws('|', row_id, aug_pos)"])} AS h
+      FROM tuples, (SELECT unnest(range(2)) AS epoch)),
+b AS (SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY h, row_id, aug_pos) - 1) // 16 AS batch_id FROM e)
+SELECT epoch::INTEGER AS epoch, batch_id, count(*) AS n_rows, 1::BIGINT AS n_files,
+       md5(string_agg(query, '|' ORDER BY row_id, aug_pos)) AS queries_md5
+FROM b GROUP BY epoch, batch_id""")
+def batch_files(spark, sf):
+    """Batches with their queries written by range and read back; each lies in one file."""
+    keyed = stage_table(_augmented(_positives(eval_set(spark, sf)), TEST_CFG).select("row_id", "aug_pos", "query"), "tuple-queries")
+    batches = mini_batches(keyed.select("row_id", "aug_pos"), ["row_id", "aug_pos"], batch_size=16, epochs=2, seed=SEED)
+    path = scratch_dir(spark, "batches")
+    write_batches(batches.join(keyed, ["row_id", "aug_pos"]), path, BATCHES_PER_FILE)
+    said = F.transform(F.sort_array(F.collect_list(F.struct("row_id", "aug_pos", "query"))), lambda x: x["query"])
+    return read_batches(spark, path).withColumn("_f", F.input_file_name()).groupBy("epoch", "batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_f").alias("n_files"), F.md5(F.array_join(said, "|")).alias("queries_md5"))
+
+
 @query("training_set", sql=f"""
 WITH {TRAIN_CTES},
 e AS (SELECT row_id, aug_pos, query, md5(positive) AS positive_md5, md5(negatives) AS negatives_md5, epoch,
