@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ MAX_BROADCAST_SPLITS = 100_000
 
 
 def load_lines(spark: SparkSession, paths: list[str] | str, splits: bool = False) -> DataFrame:
-    """Scan text files or folders in list order: ``source_file, file_pos, line_no, text``
+    """Scan text files, folders or globs in list order: ``source_file, file_pos, line_no, text``
     (and ``split_start``, where the line's file split begins, with ``splits``).
 
     Lines are stripped (Unicode whitespace) and blank ones dropped. The scan is
@@ -26,27 +28,68 @@ def load_lines(spark: SparkSession, paths: list[str] | str, splits: bool = False
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no corpus files given")
-    pos = F.lit(None).cast("int")
-    file_path = F.regexp_replace(F.col("_file"), _SCHEME, "")
-    for i, p in enumerate(paths):
-        path = re.sub(_SCHEME, "", _uri(spark, p)).rstrip("/")
-        pos = F.when((file_path == F.lit(path)) | file_path.startswith(path + "/"), F.lit(i)).otherwise(pos)
-    raw = (spark.read.format("text").load(paths)
-           .select(F.col("value"), F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("_line")))
-    return (raw.select(F.col("_file").alias("source_file"), pos.alias("file_pos"),
-                       F.col("_line").alias("line_no"), *(["split_start"] if splits else []),
-                       ustrip(F.col("value")).alias("text"))
-               .filter(F.col("text") != F.lit("")))
+    with _few_listing_tasks(spark):
+        scan = spark.read.format("text").load(paths)
+    manifest = path_manifest(spark, paths, scan.inputFiles())
+    raw = scan.select(F.col("value"), F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("_line"))
+    # one row per file
+    files = spark.createDataFrame(manifest, "_path string, file_pos int")
+    files = F.broadcast(files) if len(manifest) <= MAX_BROADCAST_SPLITS else files
+    lines = (raw.select(F.col("_file").alias("source_file"), F.col("_line").alias("line_no"),
+                        *(["split_start"] if splits else []), ustrip(F.col("value")).alias("text"))
+                .filter(F.col("text") != F.lit("")))
+    return (lines.join(files, F.regexp_replace(F.col("source_file"), _SCHEME, "") == F.col("_path"))
+                 .select("source_file", "file_pos", "line_no", *(["split_start"] if splits else []), "text"))
+
+
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Spark lists paths with a task each, up to 10,000: many paths are dealt to four tasks a core."""
+    old = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(old), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, old)
 
 
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+_GLOB = re.compile(r"[*?\[{]")
 
 
-def _uri(spark: SparkSession, p: str) -> str:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(p)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    return str(fs.makeQualified(jvm_path).toUri().toString())
+def path_manifest(spark: SparkSession, paths: list[str], files: list[str]) -> list[tuple[str, int]]:
+    """``(path, list position)`` of every scanned file: it belongs to the last entry of ``paths`` that
+    is the file, a folder above it or a glob that matches one of these. Spark has listed the
+    files; only globs ask the file system again."""
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    here = _bare(fs.getWorkingDirectory().toUri().getPath())
+    places: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        if _GLOB.search(p):
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)  # noqa: SLF001
+            found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []  # noqa: SLF001
+            places.update((_bare(s.getPath().toUri().getPath()), i) for s in found)
+        else:
+            bare = _bare(p)
+            places[bare if bare.startswith("/") else f"{here}/{bare}"] = i
+    out = []
+    for f in files:
+        uri = re.sub(_SCHEME, "", f)
+        at, pos = unquote(uri), -1
+        while at:
+            pos = max(pos, places.get(at, -1))
+            at = at.rpartition("/")[0]
+        out.append((uri, pos))
+    return out
+
+
+def _bare(path: str) -> str:
+    """A path without scheme, host, doubled and trailing slashes."""
+    return re.sub("/+", "/", re.sub(_SCHEME, "", path)).rstrip("/").removeprefix("./")
 
 
 def require_rows(df: DataFrame, what: str = "corpus") -> DataFrame:

@@ -96,3 +96,37 @@ def test_files_to_eval_csv(spark):
     back = read_eval_csv(spark, out)
     assert back.count() == ev.count() > 0
     assert {r.relevance for r in back.collect()} <= {0.0, 1.0}
+
+
+def _folder(files):
+    d = tempfile.mkdtemp(prefix="quarry-test-paths-")
+    for name, text in files.items():
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    return d
+
+
+def test_files_folders_and_globs_keep_their_place_in_the_list(spark):
+    d = _folder({"one/a.txt": "a\n", "one/b.txt": "b\n", "two/c d+ü%20.txt": "c\n", "three/e.txt": "e\n", "three/f.log": "f\n", "g.txt": "g\n"})
+    paths = [f"{d}/two/", f"{d}/thr*/*.txt", f"file:{d}/one", f"{d}//g.txt", f"file://{d}/three/f.log"]
+    got = {(r.text, r.file_pos) for r in load_lines(spark, paths).collect()}
+    assert got == {("c", 0), ("e", 1), ("a", 2), ("b", 2), ("g", 3), ("f", 4)}
+
+
+def test_a_file_named_twice_belongs_to_the_last_entry(spark):
+    d = _folder({"x/a.txt": "a\n", "x/b.txt": "b\n"})
+    got = sorted((r.text, r.file_pos) for r in load_lines(spark, [f"{d}/x", f"{d}/x/a.txt"]).distinct().collect())
+    assert {(t, p) for t, p in got} == {("a", 1), ("b", 0)}
+
+
+def test_five_thousand_paths_plan_quickly(spark):
+    import time
+    d = _folder({f"{i % 50}/f{i}.txt": f"line {i}\n" for i in range(5000)})
+    paths = [f"{d}/{i % 50}/f{i}.txt" for i in range(5000)]
+    t0 = time.perf_counter()
+    lines = load_lines(spark, paths)
+    lines._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - t0 < 5
+    bad = lines.filter(F.concat(F.lit("line "), F.col("file_pos").cast("string")) != F.col("text"))
+    assert lines.count() == 5000 and bad.count() == 0
