@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.training import (_augmented, _positives, distinct_contexts, mini_batches, run_manifest,
-                                       sample_negatives, training_examples, training_keys,
-                                       training_labelled)
+from quarry.operators.training import (TextStore, _augmented, _positives, distinct_contexts, mini_batches,
+                                       run_manifest, sample_negatives, training_examples, training_keys,
+                                       training_labelled, training_refs, tuple_texts)
 from quarry.plans.common import TEST_CFG, eval_set
 from quarry.plans.pipelines import build_training_set
 from quarry.plans.registry import query
@@ -126,6 +126,34 @@ def training_examples_q(spark, sf):
                     F.array_join("negatives", SEP).alias("negatives"), "label", "augmented")
 
 
+_KEY = "substr(sha256({}), 1, 32)"
+_REF_NEGS = f"""
+rn AS (SELECT o.row_id, string_agg({_KEY.format('ctx.context')}, ',' ORDER BY t.j) AS negative_keys
+       FROM o, unnest(range(len(offs))) AS t(j) JOIN ctx ON ctx.ctx_id = (o.p + 1 + o.offs[t.j + 1]) % o.c GROUP BY o.row_id)"""
+
+
+@query("training_refs", sql=f"""
+WITH {TRAIN_CTES}, {_REF_NEGS}
+SELECT row_id, aug_pos, query, {_KEY.format('positive')} AS positive_key, negative_keys, 0.0::DOUBLE AS label,
+       aug_pos > 0 AS augmented FROM tuples JOIN rn USING (row_id)""")
+def training_refs_q(spark, sf):
+    """T4 by reference: the tuples with keys in the place of texts."""
+    t, _ = training_refs(eval_set(spark, sf), 3, TEST_CFG)
+    return t.withColumn("negative_keys", F.array_join("negative_keys", ","))
+
+
+@query("training_texts", sql=f"""
+WITH {TRAIN_CTES}
+SELECT row_id, 0 AS slot, md5(context) AS text_md5 FROM pos
+UNION ALL
+SELECT o.row_id, (t.j + 1)::INTEGER, md5(ctx.context)
+FROM o, unnest(range(len(offs))) AS t(j) JOIN ctx ON ctx.ctx_id = (o.p + 1 + o.offs[t.j + 1]) % o.c""")
+def training_texts(spark, sf):
+    """T4: the texts of the referenced tuples, joined bucket by bucket."""
+    t, texts = training_refs(eval_set(spark, sf), 3, TEST_CFG)
+    return tuple_texts(t, TextStore(texts)).select("row_id", "slot", F.md5("text").alias("text_md5"))
+
+
 @query("training_labelled", sql=f"""
 WITH {TEST_SET_CTES}, src AS (SELECT * FROM test_set WHERE context <> ''),
 {contexts_cte('src', TS_ORDER)},
