@@ -146,15 +146,30 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROBE = "</s>[INST] ok [/INST]"
+EVENTS = 4                       # sequence numbers of a turn
+
+
+def turn_events(rows: DataFrame) -> DataFrame:
+    """The log of a table of turns: each row is a message of its own (an id for every row),
+    begun empty and streamed in two deltas."""
+    text = F.coalesce("text", F.lit(""))
+    half = (F.char_length(text) / 2).cast("int")
+    event = lambda i, op, said: F.struct(F.lit(i).alias("part"), F.lit(op).alias("op"), said.alias("said"))
+    parts = F.array(event(0, "message", F.lit("")), event(1, "delta", F.substr(text, F.lit(1), half)),
+                    event(2, "delta", F.substr(text, half + 1)))
+    turn = F.coalesce("turn", F.lit(-(1 << 60)))           # rows without a turn come first
+    numbered = rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().cast("string").alias("msg_id"))
+    return (numbered.select("conv_id", turn.alias("turn"), "role", "msg_id", F.inline(parts))
+            .select("conv_id", (F.col("turn") * EVENTS + F.col("part")).alias("seq"), "op", "msg_id", "role",
+                    F.col("said").alias("text")))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
-    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("seq"),
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(PROBE).alias("text"))
-    events = rows.unionByName(probe).select(
-        "conv_id", "seq", F.lit("message").alias("op"), F.lit(None).cast("string").alias("msg_id"), "role", "text")
+    events = turn_events(rows.unionByName(probe))
     back = chat_format.read_back(chat_format.render(chat_format.messages(events)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -1,8 +1,9 @@
 """Chat formatting by event-sourced reconstruction (native expressions only).
 
-A log holds events of conversations: ``message`` (a whole text), ``delta`` (more
+A log holds events of conversations: ``message`` (the first text), ``delta`` (more
 of a message), ``edit`` (a new text for a message) and ``regenerate`` (a new text
-for a message; what followed the message before the event is void). Events are
+for a message; what followed the message up to the event is void, later
+regenerations of void messages with it). The log is partitioned by conversation, events are
 folded per message in sequence order, messages are ordered per conversation
 by their first event, rendered with turn marks and a loss mask over the
 assistant's texts, and can be read back exactly.
@@ -14,8 +15,9 @@ roles also ``|`` and newline; unescaping restores every text.
 Defined results: a null text or role is empty; messages with equal sequence
 numbers are ordered by role and text; repeated rows without message id are
 separate turns; an empty log gives no conversations; other columns are
-ignored. A conversation becomes one row, so its turns meet in one task; the fold
-before that is spread by message.
+ignored; events of equal sequence number are folded ``message`` first, then by name
+and text; messages without sequence number come first and are never void. A
+conversation becomes one row, so its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -49,20 +51,28 @@ def _unescape_role(x: Column) -> Column:
 def messages(events: DataFrame) -> DataFrame:
     """``conv_id, seq, op, msg_id, role, text`` -> final messages ``conv_id, seq, role,
     text``. A ``message`` event without msg_id is a message of its own."""
+    # all events of a conversation meet once; the folds below need no other exchange
     ev = events.select("conv_id", "seq", "op", "msg_id", F.coalesce("role", F.lit("")).alias("role"),
-                       F.coalesce("text", F.lit("")).alias("text"))
-    plain = ev.filter(F.col("msg_id").isNull()).select(
-        "conv_id", "seq", "role", "text", F.lit(None).cast("bigint").alias("regen"))
-    log = F.sort_array(F.collect_list(F.struct("seq", "op", "role", "text")))
+                       F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
+    own = F.coalesce(F.col("msg_id"), F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string")))
+    event = F.struct("seq", (F.col("op") != "message").alias("later"), "op", "role", "text")
+    log = F.sort_array(F.collect_list(event))
     text = F.aggregate("log", F.lit(""), lambda acc, e: F.when(e["op"] == "delta", F.concat(acc, e["text"]))
                        .otherwise(e["text"]))
-    folded = (ev.filter(F.col("msg_id").isNotNull()).groupBy("conv_id", "msg_id")
+    folded = (ev.withColumn("msg", own).groupBy("conv_id", "msg")
               .agg(log.alias("log"), F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).alias("regen"))
               .select("conv_id", F.col("log")[0]["seq"].alias("seq"), F.col("log")[0]["role"].alias("role"),
                       text.alias("text"), "regen"))
-    before = Window.partitionBy("conv_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    return (plain.unionByName(folded).withColumn("void_to", F.max("regen").over(before))
-            .filter(F.col("void_to").isNull() | (F.col("seq") > F.col("void_to")) | F.col("seq").isNull())
+    # the stretches that live messages' regenerations void, earliest message first: a message
+    # inside one is void, and so are its own regenerations
+    again = F.when(F.col("regen").isNotNull() & F.col("seq").isNotNull(),
+                   F.struct(F.col("seq").alias("after"), F.col("regen").alias("upto")))
+    inside = lambda spans, at: F.exists(spans, lambda s: (at > s["after"]) & (at <= s["upto"]))
+    spans = F.aggregate(F.sort_array(F.col("again")), F.filter("again", lambda s: F.lit(False)),
+                        lambda live, s: F.when(inside(live, s["after"]), live).otherwise(F.concat(live, F.array(s))))
+    return (folded.withColumn("again", F.collect_list(again).over(Window.partitionBy("conv_id")))
+            .withColumn("spans", spans)
+            .filter(F.col("seq").isNull() | ~inside(F.col("spans"), F.col("seq")))
             .select("conv_id", "seq", "role", "text"))
 
 

@@ -365,3 +365,53 @@ def test_sharding_divides_repeated_rows(spark, ids):
     mean = sum(weight) / 8
     assert max(abs(w - mean) for w in weight) <= 0.011 * mean, weight
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def _replayed(log):
+    """The log played event by event: final (seq, role, text) of the live messages."""
+    made = {}
+    for seq, op, msg, role, text in sorted(log):
+        m = made.setdefault(msg, {"seq": seq, "role": role, "text": "", "live": True})
+        if op == "regenerate" and m["live"]:
+            for other in made.values():
+                if m["seq"] < other["seq"] <= seq:
+                    other["live"] = False
+        m["text"] = m["text"] + text if op == "delta" else text
+    return sorted((m["seq"], m["role"], m["text"]) for m in made.values() if m["live"])
+
+
+def test_messages_match_a_replay_of_random_logs(spark):
+    rng = np.random.default_rng(12)
+    logs = {}
+    for conv in range(60):
+        log, known, seq = [], [], 0
+        for _ in range(int(rng.integers(1, 25))):
+            seq += int(rng.integers(1, 3))
+            kind = rng.random()
+            if not known or kind < 0.4:
+                known.append(f"m{len(known)}")
+                log.append((seq, "message", known[-1], str(rng.choice(["user", "assistant"])), f"a{seq}"))
+            else:
+                op = "delta" if kind < 0.65 else "edit" if kind < 0.8 else "regenerate"
+                log.append((seq, op, str(rng.choice(known)), "", f"{op[0]}{seq}"))
+        logs[conv] = log
+    # a void message's late regeneration leaves the later turns alone
+    logs[99] = [(1, "message", "a", "user", "A"), (2, "message", "b", "assistant", "B"), (3, "regenerate", "a", "", "A2"),
+                (4, "message", "c", "assistant", "C"), (5, "regenerate", "b", "", "B2"), (6, "message", "d", "user", "D")]
+    df = spark.createDataFrame([(c, s, o, m, r, t) for c, log in logs.items() for s, o, m, r, t in log],
+                               "conv_id bigint, seq bigint, op string, msg_id string, role string, text string").repartition(5)
+    got = {}
+    for r in chat_format.messages(df).collect():
+        got.setdefault(r["conv_id"], []).append((r["seq"], r["role"], r["text"]))
+    assert _replayed(logs[99]) == [(1, "user", "A2"), (4, "assistant", "C"), (6, "user", "D")]
+    assert {c: sorted(v) for c, v in got.items()} == {c: _replayed(log) for c, log in logs.items()}
+
+
+def test_turn_events_restore_every_row(spark):
+    from quarry.llm.catalogue import turn_events
+    rows = [(1, 0, "user", "héllo"), (1, 0, "user", "héllo"), (1, 1, "assistant", None), (1, None, "user", "x"), (None, 2, None, "y z"),
+            (2, 5, "assistant", "w " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat_format.messages(turn_events(df)).collect()
+    assert sorted(((r["conv_id"], r["role"], r["text"]) for r in got), key=str) == sorted(
+        ((c, r or "", t or "") for c, _, r, t in rows), key=str)
