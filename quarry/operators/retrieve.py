@@ -5,8 +5,8 @@ k best contexts and (where a threshold is given) the number of contexts ordered
 before it. Two routes, same rows:
 
 * a query side of a checked size (``QUERY_BYTES``) is broadcast and the corpus
-  is scanned where it lies: no exchange of the corpus;
-* beyond it queries and corpus are cut into hash blocks; query block ``qb`` meets
+  is scanned where it lies, up to ``QUERY_SLICES`` such slices one scan each: no exchange of the corpus;
+* beyond them queries and corpus are cut into hash blocks; query block ``qb`` meets
   corpus block ``cb`` in one cogroup group. Data moved: every query row once per
   corpus block and every corpus row once per query block, never the pairs;
   block counts follow from the row counts and the configured block sizes.
@@ -22,6 +22,7 @@ zero vector is 0.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PAIRS_PER_PARTITION = 64
-QUERY_BYTES = 64 << 20   # largest query side (vectors and kept hits) that is broadcast
+QUERY_BYTES = 64 << 20   # largest query side (vectors and kept hits) that is broadcast at once
+QUERY_SLICES = 16        # most slices of queries, each with a scan of the corpus of its own
 PASS_SCHEMA = "query_id bigint, ctx_id bigint, score double, n_before bigint"
 STACKED_SCHEMA = PASS_SCHEMA + ", model int"
 _SCORE_CELLS = 1 << 23   # at most ~8M float64 scores (64 MB) per chunk
@@ -248,8 +250,8 @@ def stacked_pass(queries: DataFrame, corpus: DataFrame, models: int, k: int, sim
         return pa.concat_tables([p.append_column("model", pa.array(np.full(p.num_rows, i, dtype=np.int32)))
                                  for i, p in enumerate(parts)])
 
-    if size["n"] * (8 * dims + 32 * models * (k + 1)) <= query_bytes:
-        side = spark.sparkContext.broadcast(q.toArrow())
+    def scanned(part: DataFrame) -> DataFrame:
+        side = spark.sparkContext.broadcast(part.toArrow())
 
         def scan(batches):
             made = scorers(side.value)
@@ -259,6 +261,12 @@ def stacked_pass(queries: DataFrame, corpus: DataFrame, models: int, k: int, sim
             yield from result(made).to_batches()
 
         return c.mapInArrow(scan, STACKED_SCHEMA)
+
+    slices = math.ceil(size["n"] * (8 * dims + 32 * models * (k + 1)) / query_bytes) if query_bytes > 0 else QUERY_SLICES + 1
+    if slices <= QUERY_SLICES:
+        part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, slices)))
+        scans = [scanned(q.filter(part == i) if slices > 1 else q) for i in range(max(1, slices))]
+        return reduce(DataFrame.union, scans)
     nc = corpus.count() if n_corpus is None else n_corpus
     qb, cb = plan_blocks(size["n"], nc, spark.sparkContext.defaultParallelism,
                          query_block_rows, corpus_block_rows)

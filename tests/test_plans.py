@@ -56,3 +56,13 @@ def test_eval_set_is_narrow(spark):
     # only the optional spreading of a single-file scan may shuffle
     assert tree.count("Exchange") <= 1
     assert "Generate" in tree
+
+
+def test_slices_of_queries_scan_the_corpus_without_an_exchange(spark):
+    from quarry.operators.retrieve import top_k
+    q, c = _vectors(spark, "query_id"), _vectors(spark, "ctx_id")
+    plan = _plan(top_k(q, c, 5, query_bytes=100_000))
+    tree = plan.split("\n\n\n")[0]
+    assert tree.count("MapInArrow") > 1 and "FlatMapCoGroups" not in tree and tree.count("Exchange") == 1
+    same = top_k(q, c, 5, query_bytes=100_000).exceptAll(top_k(q, c, 5))
+    assert same.count() == 0

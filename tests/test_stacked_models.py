@@ -34,7 +34,7 @@ def _one(df, i):
 
 
 @pytest.mark.parametrize("similarity", ["cosine", "dot"])
-@pytest.mark.parametrize("query_bytes", [1 << 26, 0])
+@pytest.mark.parametrize("query_bytes", [1 << 26, 6000, 0])      # one slice, several, blocks
 def test_stacked_hits_are_each_models_hits(data, similarity, query_bytes):
     _, q, c = data
     got = best_hits(stacked_pass(q, c, MODELS, 5, similarity, query_bytes=query_bytes), 5, ("model", "query_id")).collect()

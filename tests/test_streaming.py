@@ -52,3 +52,28 @@ def test_response_stream_equals_batch(spark):
     batch = sorted(tuple(r) for r in parse_responses(docs, resp).collect())
     assert streamed == batch and len(batch) == 5
     assert ("baker magic" in [r[3] for r in batch]) and ("mystery" in [r[3] for r in batch])
+
+
+def test_equal_lines_of_a_file_get_ids_of_their_own(spark):
+    from quarry.streaming import numbered_entries, start_numbered_sink
+    d = tempfile.mkdtemp(prefix="quarry-test-numbered-")
+    src, out = os.path.join(d, "in"), os.path.join(d, "out")
+    os.makedirs(src)
+    line = "<Horror> </Horror> <Cats> </Cats> prompt some haunted castle story"
+    for name, n in (("a.txt", 3), ("b.txt", 1)):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("\n".join([line] * n + [f"prompt other words {name[0]}word"]) + "\n")
+    start_numbered_sink(spark, src, out, os.path.join(d, "ck")).awaitTermination(120)
+    rows = spark.read.parquet(out).collect()
+    assert len({r.entry_id for r in rows if r.context == line}) == 4
+    assert len({r.row_id for r in rows}) == len(rows)
+    # a later file adds rows, a batch done again changes nothing
+    with open(os.path.join(src, "c.txt"), "w") as f:
+        f.write(line + "\n" + line + "\n")
+    start_numbered_sink(spark, src, out, os.path.join(d, "ck")).awaitTermination(120)
+    more = spark.read.parquet(out).collect()
+    assert len({r.entry_id for r in more if r.context == line}) == 6
+    assert {r.row_id for r in rows} < {r.row_id for r in more} and len({r.row_id for r in more}) == len(more)
+    files = spark.read.text(src).select(F.col("_metadata.file_path").alias("source_file"), ustrip(F.col("value")).alias("text"))
+    once = generate_queries(numbered_entries(files.filter("text <> ''")))
+    assert sorted(r.row_id for r in once.collect()) == sorted(r.row_id for r in more)
