@@ -415,3 +415,61 @@ def test_turn_events_restore_every_row(spark):
     got = chat_format.messages(turn_events(df)).collect()
     assert sorted(((r["conv_id"], r["role"], r["text"]) for r in got), key=str) == sorted(
         ((c, r or "", t or "") for c, _, r, t in rows), key=str)
+
+
+def _line_brute(rows, min_docs):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(low)
+    seen = {}
+    for i, (d, t) in enumerate(rows):
+        for line in (t or "").split("\n"):
+            if key(line):
+                seen.setdefault(key(line), set()).add(("row", i) if d is None else d)
+    gone = {k for k, docs in seen.items() if len(docs) >= min_docs}
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in gone]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    """Ten copies of one row and one other are two documents; rows without doc_id are one each."""
+    rows = [(1, "shared\nmine")] * 10 + [(2, "shared")] + [(None, "lone\nx")] * 10 + [(None, None)] * 12
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((tuple(r) for r in line_dedup.drop_common_lines(df, 10).collect()), key=str)
+    assert got == _line_brute(rows, 10)
+    assert {r[3] for r in got if r[0] is None} == {""} and {r[3] for r in got if r[0] == 1} == {"shared\nmine"}
+
+
+def test_line_dedup_over_many_batches_matches_brute_force(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(300):
+        lines = [rng.choice(["A", " a\t", "b", "c", "", "É", f"d{rng.integers(0, 40)}", f"e{rng.integers(0, 400)}"]) for _ in range(rng.integers(0, 9))]
+        d = None if i % 17 == 0 else int(rng.integers(0, 150)) if i % 3 == 0 else 1000 + i
+        rows.append((d, "\n".join(map(str, lines)) if i % 29 else None))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for batches in (1, 5):
+        drop = line_dedup.common_lines(df, 10, batches)
+        assert drop.count() == drop.distinct().count() > 0
+    got = sorted((tuple(r) for r in line_dedup.drop_common_lines(df, 10).collect()), key=str)
+    assert got == _line_brute(rows, 10)
+
+
+def test_runs_meet_batches_and_each_other_without_an_exchange(spark):
+    import contextlib
+    import io
+    one, two = (line_dedup.Run(spark.range(k, 500 + k).selectExpr("xxhash64(id) AS h1", "xxhash64(1, id) AS h2", "id % 20 AS n"))
+                for k in (0, 100))
+    trees = []
+    for df in (line_dedup._merged([one, two]), one.rows().join(two.rows().select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain(mode="formatted")
+        assert "Bucketed: true" in buf.getvalue()
+        trees.append(buf.getvalue().split("\n\n\n")[0])
+    assert all("Exchange" not in t and "SortMergeJoin" in t for t in trees)
+    assert line_dedup._merged([one, two]).count() == 600
+    one.drop(), two.drop()
