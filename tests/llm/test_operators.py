@@ -473,3 +473,17 @@ def test_runs_meet_batches_and_each_other_without_an_exchange(spark):
     assert all("Exchange" not in t and "SortMergeJoin" in t for t in trees)
     assert line_dedup._merged([one, two]).count() == 600
     one.drop(), two.drop()
+
+
+def test_substring_dedup_keeps_texts_of_one_doc_id_apart(spark):
+    """1,500 texts under one id, half of them with a passage of a smaller id: no other word goes."""
+    rng = np.random.default_rng(3)
+    vocab = [f"v{i}" for i in range(5000)]
+    say = lambda n: " ".join(rng.choice(vocab, n))
+    passage = say(20)
+    rows = [(1, passage)] + [(9, f"{say(15)} {passage} {say(15)}" if i % 2 else say(40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = substring_dedup.remove_repeats(df).collect()
+    assert len(got) == 1501
+    removed = sorted(r["n_removed"] for r in got)
+    assert removed == [0] * 751 + [20] * 750
