@@ -2,21 +2,21 @@
 
 Base detectors (e-mail, IP, card, phone) give spans that always stand. On top,
 high-recall generators propose overlapping candidate spans (obfuscated or
-loosely formatted variants). A candidate that passes an independent check of
-its kind (``proven``: Luhn, octets, digit counts, words before it) is added.
-Each candidate gets binned format and context features; per kind, boosted
-decision stumps are fitted on the counts of all feature vectors over all
-documents (one aggregate; the bins bound their number) with candidates that
-hit a base span or are proven as positives and the rest as unlabelled. On a
-held-out fold the share of positives that are labelled is estimated from the
-labelled ones, so an unlabelled vector counts by its chance to be a positive,
-and the threshold is the least at which nearly all of the selected are
-expected to be positives. The fitted model is a plain expression, so scoring
-is one scan without shuffles.
+loosely formatted variants), and a model alone decides which of them are added. It sees how
+a candidate is written (binned format features and its neighbours); it is taught by what
+it does not see: candidates that hit a base span or are ``proven`` by an independent check
+(Luhn, octets, words right before them) are labelled, the rest is unlabelled, not negative.
+Trees of depth TREE_DEPTH are boosted on the counts of all feature vectors over all documents
+(one aggregate; the bins bound their number). Scores of each of FOLDS parts come from the other
+parts; on them the share of positives that are labelled is estimated from the labelled
+ones, so an unlabelled vector counts by its chance to be a positive, and a kind's threshold is
+the least at which PRECISION of the selected are expected to be positives. So a way of writing
+that is often proven is also added where no check is at hand. The fitted
+model is a plain expression, so scoring is one scan without shuffles.
 
 Defined results: null and empty texts have no spans; spans are in code points,
-end exclusive; equal spans of one kind count once; a kind with too few positives
-gets no model and adds its proven candidates only; an empty table gives no rows; other columns are ignored.
+end exclusive; equal spans of one kind count once; a kind without a labelled candidate
+in all documents adds nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, RATE, PRECISION, MIN_HELD = 20, 0.4, 0.99, 20
+ROUNDS, RATE, PRECISION, FOLDS, TREE_DEPTH = 30, 0.4, 0.99, 5, 3
 _LOCAL = r"[A-Za-z0-9._%+-]"
 # A run of the first class is entered at its start only (or where the previous
 # match ended): the same matches as without, but linear on long runs. The last
@@ -47,11 +48,12 @@ GENERATORS = {
 #: A cheap test without which a pattern cannot match.
 NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9][.,:][0-9]", "card": r"[0-9][ .-]?[0-9][ .-]?[0-9][ .-]?[0-9]",
          "phone": r"[0-9][0-9 ().-]{4}"}
-CONTEXT = r"(?i)(?:call|phone|tel|fax|mail|contact|card|visa|pay|ip|address|host|server)[^A-Za-z]{0,3}$"
 #: Words right before a span that name its kind.
 NAMED = {"email": r"(?i)\b(?:e-?mail|mail|contact)(?: (?:is|at|to))?[^A-Za-z0-9]{0,3}$",
          "ip": r"(?i)\b(?:ip|ipv4|ip address|address|host|server)(?: (?:is|at))?[^A-Za-z0-9]{0,3}$",
          "phone": r"(?i)\b(?:call|phone|tel|telephone|fax|mobile|contact)(?: (?:is|at|us|me|us at|me at))?[^A-Za-z0-9]{0,3}$"}
+CARD_GROUPS = r"^[0-9]+$|^[0-9]{3,6}([ .-])[0-9]{3,6}(?:\1[0-9]{1,6})+$"      # one kind of separator
+SPELT = r"[(\[]at[)\]].*(?:\.|[(\[]dot[)\]])"
 SPAN = "array<struct<start:bigint,stop:bigint,txt:string>>"
 
 
@@ -122,7 +124,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 # --- candidates and the boosted model ------------------------------------------------
 
-FEATURES = ("digits", "marks", "length", "head", "before", "after", "check", "parts", "context")
+FEATURES = ("digits", "marks", "length", "head", "before", "after", "check", "parts", "spelt")
 
 
 def _char_class(c: Column) -> Column:
@@ -133,8 +135,6 @@ def _char_class(c: Column) -> Column:
 def _features(text: Column, s: Column) -> dict[str, Column]:
     txt, digits = s["txt"], _digits(s["txt"])
     before = F.when(s["start"] > 0, F.substr(text, s["start"].cast("int"), F.lit(1))).otherwise(F.lit(""))
-    first = F.greatest(s["start"] - 24, F.lit(0))
-    lead = F.substr(text, (first + 1).cast("int"), (s["start"] - first).cast("int"))
     n, size = F.char_length(digits), F.char_length(txt)
     steps = lambda c, *at: reduce(lambda x, y: x + y, [(c >= v).cast("int") for v in at])
     return {"digits": steps(n, 1, 8, 10, 13, 16, 20),
@@ -145,7 +145,7 @@ def _features(text: Column, s: Column) -> dict[str, Column]:
             "after": _char_class(F.substr(text, (s["stop"] + 1).cast("int"), F.lit(1))),
             "check": F.when(digits != "", luhn(digits).cast("int")).otherwise(0),
             "parts": F.forall(F.filter(F.split(txt, "[^0-9]+"), lambda p: p != ""), lambda p: p.rlike(_OCTET)).cast("int"),
-            "context": lead.rlike(CONTEXT).cast("int")}
+            "spelt": F.when(txt.rlike(SPELT), 2).when(txt.rlike(r"[A-Za-z]{2,24}$"), 1).otherwise(0)}
 
 
 def proven(kind: str, text: Column, s: Column) -> Column:
@@ -157,10 +157,9 @@ def proven(kind: str, text: Column, s: Column) -> Column:
     after = F.substr(text, (s["stop"] + 1).cast("int"), F.lit(2))
     apart = ~lead.rlike(r"[0-9][.,:]?$") & ~after.rlike("^[.,:]?[0-9]")
     if kind == "email":
-        spelt = txt.rlike(r"[(\[]at[)\]].*(?:\.|[(\[]dot[)\]])")
-        return txt.rlike(r"[A-Za-z]{2,24}$") & (spelt | lead.rlike(NAMED[kind]))
+        return txt.rlike(r"[A-Za-z]{2,24}$") & (txt.rlike(SPELT) | lead.rlike(NAMED[kind]))
     if kind == "card":
-        return apart & n.between(13, 19) & luhn(_digits(txt)) & txt.rlike("[1-9]")
+        return apart & n.between(13, 19) & luhn(_digits(txt)) & txt.rlike("[1-9]") & txt.rlike(CARD_GROUPS)
     if kind == "ip":
         return apart & F.forall(F.split(txt, "[.,:]"), lambda p: p.rlike(_OCTET)) & lead.rlike(NAMED[kind])
     return apart & n.between(8, 15) & (lead.rlike(NAMED[kind]) | txt.rlike(r"^\([0-9]{2,4}\) ?[0-9]"))
@@ -185,68 +184,98 @@ def candidates(text: Column, base: dict[str, Column]) -> Column:
 
 
 def fit(docs: DataFrame) -> dict[str, dict]:
-    """Per kind: stumps ``(feature, at most, value if so, value else)``, bias and
-    threshold, from counts over all candidates of all documents."""
+    """Per kind: trees, bias and threshold, from counts over all candidates of all documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.select(F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"), text.alias("text"))
+    spans = docs.select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), text.alias("text"))
     based = spans.select("fold", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     rows = based.select("fold", F.explode(candidates(F.col("text"), {k: F.col(k) for k in KINDS})).alias("c"))
-    counts = (rows.groupBy("c.kind", (F.col("fold") == 0).alias("held"), *[F.col(f"c.{f}") for f in FEATURES])
+    counts = (rows.groupBy("c.kind", "fold", *[F.col(f"c.{f}") for f in FEATURES])
               .agg(F.sum((F.col("c.hit") | F.col("c.proven")).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-              .orderBy("kind", "held", *FEATURES).collect())          # bounded by the features' bins
+              .orderBy("kind", "fold", *FEATURES).collect())          # bounded by the features' bins
     models = {}
     for k in KINDS:
-        train = [(tuple(r[f] for f in FEATURES), r["pos"], r["n"]) for r in counts if r["kind"] == k and not r["held"]]
-        held = [(tuple(r[f] for f in FEATURES), r["pos"], r["n"]) for r in counts if r["kind"] == k and r["held"]]
-        if sum(p for _, p, _ in train) and sum(p for _, p, _ in held) >= MIN_HELD:
-            models[k] = _boost(train, held)
+        own = [r for r in counts if r["kind"] == k]
+        if sum(r["pos"] for r in own):
+            models[k] = _model(np.array([[r[f] for f in FEATURES] for r in own]), np.array([r["pos"] for r in own], float),
+                               np.array([r["n"] for r in own], float), np.array([r["fold"] for r in own]))
     return models
 
 
-def _value(stumps, bias: float, x: tuple) -> float:
-    return bias + sum(a if x[f] <= cut else b for f, cut, a, b in stumps)
-
-
-def _boost(train: list, held: list) -> dict:
-    pos, n = sum(p for _, p, _ in train), sum(m for _, _, m in train)
-    bias = math.log((pos + 1) / (n - pos + 1))
-    stumps: list[tuple[int, int, float, float]] = []
-    score = [bias] * len(train)
-    for _ in range(ROUNDS):
-        prob = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in score]
-        grad = [p - m * q for (_, p, m), q in zip(train, prob, strict=True)]
-        hess = [m * q * (1 - q) + 1e-9 for (_, _, m), q in zip(train, prob, strict=True)]
-        best = None
-        for f in range(len(FEATURES)):
-            for cut in sorted({x[f] for x, _, _ in train})[:-1]:
-                g = sum(v for (x, _, _), v in zip(train, grad, strict=True) if x[f] <= cut)
-                h = sum(v for (x, _, _), v in zip(train, hess, strict=True) if x[f] <= cut)
-                g2, h2 = sum(grad) - g, sum(hess) - h
-                gain = g * g / (h + 1) + g2 * g2 / (h2 + 1)
-                if best is None or gain > best[0] + 1e-12:
-                    best = (gain, f, cut, RATE * g / (h + 1), RATE * g2 / (h2 + 1))
-        if best is None:
-            break
-        stumps.append(best[1:])
-        score = [s + (best[3] if x[best[1]] <= best[2] else best[4]) for s, (x, _, _) in zip(score, train, strict=True)]
-    ranked = sorted(((_value(stumps, bias, x), p, m) for x, p, m in held), reverse=True)
-    prob = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s, _, _ in ranked]
-    known = sum(q * p for q, (_, p, _) in zip(prob, ranked, strict=True)) / sum(p for _, p, _ in ranked)   # share of positives labelled
-    threshold, hits, seen = float("inf"), 0.0, 0
-    for q, (s, p, m) in zip(prob, ranked, strict=True):
-        hits, seen = hits + p + (m - p) * min(1.0, (1 - known) / known * q / (1 - q)), seen + m
-        if hits >= PRECISION * seen:
-            threshold = s
-    return {"stumps": stumps, "bias": bias, "threshold": threshold}
+def _model(x: np.ndarray, pos: np.ndarray, n: np.ndarray, fold: np.ndarray) -> dict:
+    score = np.zeros(len(x))
+    for f in range(FOLDS):
+        out = fold == f
+        if out.any():
+            score[out] = _scores(_boost(x[~out], pos[~out], n[~out]), x[out])
+    return _boost(x, pos, n) | {"threshold": _threshold(score, pos, n)}
+
+
+def _splits(x: np.ndarray) -> list[tuple[int, int]]:
+    return [(f, int(cut)) for f in range(x.shape[1]) for cut in np.unique(x[:, f])[:-1]]
+
+
+def _grow(x, grad, hess, splits, below, depth) -> tuple | float:
+    """A tree ``(feature, at most, tree if so, tree else)``; a leaf is its value."""
+    g, h = grad.sum(), hess.sum()
+    if depth and splits:
+        left_g, left_h = below @ grad, below @ hess
+        gain = left_g ** 2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g ** 2 / (h + 1)
+        best = int(np.argmax(np.round(gain, 9)))                       # the first of equal gains
+        if gain[best] > 1e-9:
+            on = below[best]
+            return (*splits[best], *[_grow(x, grad * side, hess * side, splits, below, depth - 1) for side in (on, ~on)])
+    return float(RATE * g / (h + 1))
+
+
+def _tree_value(tree, x: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    f, cut, yes, no = tree
+    return np.where(x[:, f] <= cut, _tree_value(yes, x), _tree_value(no, x))
+
+
+def _boost(x: np.ndarray, pos: np.ndarray, n: np.ndarray) -> dict:
+    """Boosted trees on counted vectors: ``pos`` labelled of ``n``."""
+    bias = math.log((pos.sum() + 1) / (n.sum() - pos.sum() + 1))
+    splits = _splits(x) if len(x) else []
+    below = np.array([x[:, f] <= cut for f, cut in splits]) if splits else None
+    trees, score = [], np.full(len(x), bias)
+    for _ in range(ROUNDS if splits else 0):
+        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        trees.append(_grow(x, pos - n * q, n * q * (1 - q) + 1e-9, splits, below, TREE_DEPTH))
+        score = score + _tree_value(trees[-1], x)
+    return {"trees": trees, "bias": bias}
+
+
+def _scores(model: dict, x: np.ndarray) -> np.ndarray:
+    return reduce(lambda s, t: s + _tree_value(t, x), model["trees"], np.full(len(x), model["bias"]))
+
+
+def _threshold(score: np.ndarray, pos: np.ndarray, n: np.ndarray) -> float:
+    """The least score from which on PRECISION of the vectors' candidates are expected to be positives."""
+    q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    known = (q * pos).sum() / pos.sum()                                # share of positives that are labelled
+    hits = pos + (n - pos) * np.minimum(1.0, (1 - known) / max(known, 1e-9) * q / (1 - q))
+    levels, at = np.unique(-score, return_inverse=True)                # equal scores are taken together
+    hits, seen = (np.cumsum(np.bincount(at, v)) for v in (hits, n))
+    good = np.flatnonzero(hits >= PRECISION * seen)
+    return float(-levels[good[-1]]) if len(good) else math.inf
+
+
+def _tree_column(tree, c: Column) -> Column:
+    if not isinstance(tree, tuple):
+        return F.lit(tree)
+    f, cut, yes, no = tree
+    return F.when(c[FEATURES[f]] <= cut, _tree_column(yes, c)).otherwise(_tree_column(no, c))
 
 
 def _chosen(c: Column, models: dict[str, dict]) -> Column:
-    """Whether a candidate is added: proven, or chosen by the model of its kind."""
-    out = c["proven"]
+    """Whether the model of a candidate's kind adds it."""
+    out = F.lit(False)
     for k, m in models.items():
-        score = reduce(lambda a, b: a + b, [F.when(c[FEATURES[f]] <= cut, F.lit(a)).otherwise(F.lit(b))
-                                            for f, cut, a, b in m["stumps"]], F.lit(m["bias"]))
-        out = out | ((c["kind"] == k) & (score >= F.lit(m["threshold"] - 1e-9)))
+        if m["threshold"] < math.inf:
+            score = reduce(lambda a, b: a + b, [_tree_column(t, c) for t in m["trees"]], F.lit(m["bias"]))
+            out = out | ((c["kind"] == k) & (score >= F.lit(m["threshold"] - 1e-9)))
     return out & ~c["hit"]
 
 

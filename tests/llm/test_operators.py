@@ -487,3 +487,52 @@ def test_substring_dedup_keeps_texts_of_one_doc_id_apart(spark):
     assert len(got) == 1501
     removed = sorted(r["n_removed"] for r in got)
     assert removed == [0] * 751 + [20] * 750
+
+
+def test_pii_model_adds_what_no_check_proves(spark):
+    """Half of the loosely written phone numbers are named by a word before them. The model learns how they are written and adds
+    the other half; other numbers of any length are left alone. Held against the planted spans."""
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))
+    digits = lambda n: "".join(map(str, rng.integers(1, 9, n)))
+    rows, planted, named = [], {}, {}
+    for i in range(240):
+        phone, lead = f"{digits(3)}-{digits(3)}-{digits(4)}", "call " if i % 2 else "reach "
+        rows.append((i, f"{say(5)} {lead}{phone} {say(3)}"))
+        (named if i % 2 else planted)[i] = ("phone", len(rows[-1][1].split(phone)[0]), phone)
+    for i in range(240, 700):
+        other = [f"{digits(2)} {digits(7)}", digits(9), f"{digits(3)}.{digits(2)}.{digits(3)}.{digits(3)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)} 0{digits(1)}"][i % 4]
+        rows.append((i, f"{say(4)} ref {other} {say(4)}"))
+    for i in range(700, 740):
+        mail = f"jane{i} (at) host{i} (dot) org"
+        rows.append((i, f"{say(3)} {mail} {say(3)}"))
+        named[i] = ("email", len(rows[-1][1].split(mail)[0]), mail)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: [(a["kind"], a["start"], r["text"][a["start"]:a["stop"]]) for a in r["added"]] for r in pii.detect(df).collect()}
+    added = {(d, *a) for d, spans in got.items() for a in spans}
+    want = {(d, *a) for d, a in (planted | named).items()}
+    unproven = {(d, *a) for d, a in planted.items()}
+    precision, recall = len(added & want) / len(added), len(added & unproven) / len(unproven)
+    assert precision >= 0.97 and recall >= 0.97, (precision, recall)
+
+
+def test_pii_trees_as_expressions_score_like_the_fitted_model(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (300, len(pii.FEATURES)))
+    n = rng.integers(1, 9, 300).astype(float)
+    pos = np.where((x[:, 0] > 1) & (x[:, 3] < 2), n, 0.0)
+    model = pii._boost(x, pos, n)
+    df = spark.createDataFrame([(i, tuple(map(int, v))) for i, v in enumerate(x)],
+                               "i int, c struct<" + ",".join(f"{f}:int" for f in pii.FEATURES) + ">")
+    score = F.lit(model["bias"])
+    for t in model["trees"]:
+        score = score + pii._tree_column(t, F.col("c"))
+    got = {r["i"]: r["s"] for r in df.select("i", score.alias("s")).collect()}
+    want = pii._scores(model, x)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(300))
+    assert want[pos > 0].min() > want[pos == 0].max()          # an interaction of two features
+
+
+def test_pii_without_labelled_candidates_adds_nothing(spark):
+    df = spark.createDataFrame([(i, f"number 12 345678{i} here") for i in range(20)], "doc_id bigint, text string")
+    assert pii.fit(df) == {} and all(r["added"] == [] for r in pii.detect(df).collect())
