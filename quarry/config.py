@@ -76,6 +76,28 @@ EXAMPLE_QUERIES = (
 # Metric names of the two retrieval-metric families, in report order.
 RETRIEVAL_METRICS = ("precision@1", "precision@3", "precision@5", "mrr", "ndcg@5")
 
+# Report headings, table heads and phrases, in report order.
+LEADERBOARD_HEAD = ("# Prompt Retrieval Model Evaluation Report", "", "## Dataset Information")
+DATASET_TEXT = ("- Total examples: %d\n- Evaluation date: %s\n- Dataset composition: "
+                "{'positive_examples': %d, 'negative_examples': %d}")
+LEADERBOARD_TABLE = ("", "## Model Comparison", "",
+                     "| Model | Precision@1 | Precision@3 | Precision@5 | MRR | NDCG@5 |",
+                     "|-------|------------|-------------|-------------|-----|--------|")
+SELECTION_TEXT = ("\n## Selected Model: %s\n\n### Selection Rationale\n1. **Best Overall Performance**: %s "
+                  "achieved the highest Mean Reciprocal Rank (MRR) of %s.\n2. **Precision**: P@1 %s, "
+                  "P@3 %s, P@5 %s\n3. **NDCG@5**: %s\n\n### Example Queries and Results")
+EXAMPLE_QUERY_TEXT = '\n#### Query: "%s"'
+EXAMPLE_HIT_TEXT = "\n%d. **Score: %s**\n   ```\n   %s\n   ```"
+COMPARISON_HEAD = "# Model Finetuning Comparison Report"
+COMPARISON_TITLE = "Metrics Comparison (Simulated RAGAS)"
+COMPARISON_TABLE = ("| Metric | Base Model | Finetuned Model | Absolute Improvement | Relative Improvement |",
+                    "|--------|------------|-----------------|---------------------|--------------------|")
+ANALYSIS_HEAD = ("", "## Analysis", "")
+NO_RELATIVE_TEXT = "- Relative improvement calculation not applicable (base metrics might be zero)."
+HIGHEST_TEXT = "- Highest relative improvement in **%s**: %s"
+ONE_METRIC_TEXT = ("\n### Simulated Faithfulness Analysis\n- Base model %s: %s\n"
+                   "- Finetuned model %s: %s\n- Absolute improvement: %s\n- Relative improvement: %s")
+
 # ---------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ from quarry.plans.registry import query
 from quarry.plans.sqlfrag import (EVAL_SET_CTES, TEST_SET_CTES, SEED, cos_sql, h, hash_vec_cte,
                                   text_index_ctes, text_model_ctes)
 from quarry.plans.cat_metrics import _multi_sql, _rowwise_sql
+from quarry import config as C
 from quarry.config import DEFAULT_CONFIG, EXAMPLE_QUERIES
 from quarry.operators.metrics import METRIC_COLS, METRICS
 from quarry.sources.reports import (comparison_json, comparison_report, leaderboard_report,
@@ -121,10 +122,8 @@ def _text_lines(section: int, texts: list[str]) -> list[str]:
 
 def _report_sql() -> str:
     cols = [_f(c) for c in METRIC_COLS]
-    parts = _text_lines(0, ["# Prompt Retrieval Model Evaluation Report", "", "## Dataset Information"])
-    parts += _text_lines(2, ["", "## Model Comparison", "",
-                             "| Model | Precision@1 | Precision@3 | Precision@5 | MRR | NDCG@5 |",
-                             "|-------|------------|-------------|-------------|-----|--------|"])
+    parts = _text_lines(0, C.LEADERBOARD_HEAD)
+    parts += _text_lines(2, C.LEADERBOARD_TABLE)
     parts.append(f"""SELECT 1, 0, '- Total examples: ' || total || '
 - Evaluation date: {RUN_STAMP}
 - Dataset composition: {{''positive_examples'': ' || pos || ', ''negative_examples'': ' || neg || '}}' FROM comp""")
@@ -280,15 +279,13 @@ PAIRED_IMPR = _impr_ctes(PAIRED)
 
 
 def _comparison_sql() -> str:
-    parts = _text_lines(0, ["# Model Finetuning Comparison Report", "", f"Generated on: {RUN_STAMP}", "",
+    parts = _text_lines(0, [C.COMPARISON_HEAD, "", f"Generated on: {RUN_STAMP}", "",
                             "## Model Details", "- Base Model: `hash32`", "- Finetuned Model: `hash64`", ""])
-    parts += _text_lines(1, ["## Metrics Comparison (Simulated RAGAS)", "",
-                             "| Metric | Base Model | Finetuned Model | Absolute Improvement | Relative Improvement |",
-                             "|--------|------------|-----------------|---------------------|--------------------|"])
-    parts += _text_lines(3, ["", "## Analysis", ""])
+    parts += _text_lines(1, [f"## {C.COMPARISON_TITLE}", "", *C.COMPARISON_TABLE])
+    parts += _text_lines(3, C.ANALYSIS_HEAD)
     b, c, d, r = _f("base"), _f("candidate"), _f("absolute"), _f("relative", 1)
     parts.append(f"""SELECT 2, metric_pos, '| ' || concat_ws(' | ', metric, {b}, {c}, {d}, {r} || '%') || ' |' FROM impr""")
-    parts.append(f"""SELECT 4, 0, CASE WHEN count(*) = 0 THEN '- Relative improvement calculation not applicable (base metrics might be zero).' ELSE '- Highest relative improvement in **' || first(metric) || '**: ' || first({r}) || '%' END
+    parts.append(f"""SELECT 4, 0, CASE WHEN count(*) = 0 THEN '{C.NO_RELATIVE_TEXT}' ELSE '- Highest relative improvement in **' || first(metric) || '**: ' || first({r}) || '%' END
 FROM (SELECT * FROM impr WHERE base <> 0 ORDER BY relative DESC, metric_pos LIMIT 1)""")
     parts.append(f"""SELECT 5, 0, '
 ### Simulated Faithfulness Analysis

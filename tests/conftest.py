@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from quarry.session import ship_package
+    from quarry.session import drop_staged, ship_package
 
     s = (SparkSession.builder.master("local[4]")
          .config("spark.ui.enabled", "false")
@@ -26,3 +26,4 @@ def spark():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
     ship_package(s)
     yield s
+    drop_staged(s)
