@@ -12,7 +12,7 @@ is broadcast.
 
 Defined results: null, empty and blank items match nothing; items of fewer
 than 5 words are one shingle and match documents of just these words;
-repeated items are separate items; null, empty and blank documents contain nothing; rows that
+repeated items are separate items, a missing item_id stays missing; null, empty and blank documents contain nothing; rows that
 repeat a doc_id are reported each; empty tables give no pairs; other columns
 are ignored, or kept by ``drop_contaminated``.
 """
@@ -49,12 +49,12 @@ def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Index:
     """Sketches of one block of items, by size partition."""
 
-    def __init__(self, item: np.ndarray, row: np.ndarray, hashes: np.ndarray, threshold: float):
+    def __init__(self, item: pa.Array, row: np.ndarray, hashes: np.ndarray, threshold: float):
         order = np.lexsort((hashes, row))
-        item, row, hashes = item[order], row[order], hashes[order]
+        row, hashes = row[order], hashes[order]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
         self.first = np.concatenate([start, [len(row)]]).astype(np.int64)
-        self.hashes, self.item = hashes, item[start]
+        self.hashes, self.item = hashes, item.take(pa.array(order[start]))
         self.size = np.diff(self.first)
         self.need = np.ceil(threshold * self.size - 1e-9).astype(np.int64)
         part = np.floor(np.log2(np.maximum(self.size, 1))).astype(np.int64)
@@ -93,9 +93,7 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
     blocks = max(1, -(-shingles.count() // (INDEX_ROWS // 2)))      # half full on average
     for b in range(blocks):
         part = shingles.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
-        item = part["item_id"].to_numpy(zero_copy_only=False) if not part["item_id"].null_count else np.array(
-            part["item_id"].fill_null(-1))
-        yield Index(item, part["row"].to_numpy(), part["hash"].to_numpy().view(np.uint64), threshold)
+        yield Index(part["item_id"].combine_chunks(), part["row"].to_numpy(), part["hash"].to_numpy().view(np.uint64), threshold)
 
 
 def _probe(index):
@@ -108,7 +106,7 @@ def _probe(index):
                 i = np.array([o[1] for o in out], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n).take(pa.array([o[0] for o in out], pa.int64())),
-                     pa.array(idx.item[i]), pa.array(idx.size[i]), pa.array([o[2] for o in out], pa.int64())],
+                     idx.item.take(pa.array(i)), pa.array(idx.size[i]), pa.array([o[2] for o in out], pa.int64())],
                     names=["doc_id", "item_id", "n_item", "n_shared"])
     return run
 
