@@ -17,7 +17,7 @@ from quarry.llm.catalogue import MIX_BUDGET, MIX_EPOCHS, MIX_WEIGHTS, SHARDS
 from quarry.llm.common import read_table, small
 from quarry.session import ensure_checkpoint_dir, ship_package, stage_table
 
-#: Training and sampling are not SQL; the stages are tested against brute force.
+#: Training and sampling are not SQL; planted rows are followed through every stage in the tests.
 ORACLE_SQL = None
 
 
@@ -39,14 +39,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = stage_table(docs.withColumn("pipe_key", F.monotonically_increasing_id()), "pipe-rows")
     classes = (ngram_join.jaccard_classes(rows.select(F.col("pipe_key").alias("doc_id"), "text"))
                .select(F.col("doc_id").alias("c_key"), F.col("component_id").alias("c_group")))
-    # only groups of several rows
-    shared = classes.groupBy("c_group").agg(F.count(F.lit(1)).alias("c_rows")).filter("c_rows > 1")
-    grouped = stage_table(classes.join(shared, "c_group").join(
+    # only groups of several rows; their tables have a row a group and are broadcast if they are
+    # small, so a large group's rows stay where they are
+    classes = stage_table(classes, "pipe-classes")
+    shared = stage_table(classes.groupBy("c_group").agg(F.count(F.lit(1)).alias("c_rows")).filter("c_rows > 1"), "pipe-shared")
+    grouped = stage_table(classes.join(small(shared), "c_group").join(
         rows.select("pipe_key", "doc_id"), F.col("c_key") == F.col("pipe_key"))
         .select("c_group", "c_key", "doc_id"), "pipe-groups")
-    kept = grouped.groupBy("c_group").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", "c_key"))["c_key"].alias("kept"))
-    losers = stage_table(grouped.join(kept, "c_group").filter(F.col("c_key") != F.col("kept"))
+    kept = stage_table(grouped.groupBy("c_group").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "c_key"))["c_key"].alias("kept")), "pipe-kept")
+    losers = stage_table(grouped.join(small(kept), "c_group").filter(F.col("c_key") != F.col("kept"))
                          .select(F.col("c_key").alias("loser")), "pipe-losers")
     return rows.join(small(losers), F.col("pipe_key") == F.col("loser"), "left_anti").select(*docs.columns)
 
