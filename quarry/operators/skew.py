@@ -113,14 +113,24 @@ def choose_salts(spark: SparkSession, heavy: Heavy, kind: str, partitions: int)
     return out
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, heavy: Heavy, how: str = "inner") -> DataFrame:
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heavy_share(df: DataFrame) -> float:
+    """From which share of the rows on a key is worth spreading: a quarter of a fair partition load."""
+    return max(1e-4, 1 / (4 * _partitions(df)))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: str, heavy: Heavy | list, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` on the column ``on``, the heavy keys of ``big`` spread.
     ``how``: inner, left, left_semi or left_anti. ``big`` must be a written table (its rows'
-    order is the same whenever a task is run again, so the deal is too)."""
+    order is the same whenever a task is run again, so the deal is too). ``heavy`` may also be
+    the salts that :func:`choose_salts` gave for these keys before."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("how must keep the big side: inner, left, left_semi or left_anti")
     spark, kind = big.sparkSession, big.schema[on].dataType.simpleString()
-    salts = choose_salts(spark, heavy, kind, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = heavy if isinstance(heavy, list) else choose_salts(spark, heavy, kind, _partitions(big))
     if not salts:
         return big.join(small, on, how)
     # at most 1 / share rows
@@ -140,5 +150,4 @@ def keyed_join(big: DataFrame, small: DataFrame, on: str, small_rows: int, how:
     is heavy (default: a quarter of a fair partition load)."""
     if small_rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return salted_join(big, small, on, heavy_hitters(big, on, share or max(1e-4, 1 / (4 * partitions))), how)
+    return salted_join(big, small, on, heavy_hitters(big, on, share or heavy_share(big)), how)
