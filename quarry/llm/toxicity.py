@@ -6,7 +6,9 @@ the log-odds of all earlier categories; in training those are out-of-fold
 predictions, in scoring the fitted models' own, so a later model learns from
 inputs as they will be. Training takes at most TRAIN_ROWS labelled rows, drawn
 per combination of labels: a rare one is taken whole, the rest of the room goes
-to the others, by id hash. Rows are weighted back within a class and the bias
+to the others, by id hash; one text a doc_id (the least hash), of it at most TRAIN_WORDS
+distinct words (the least hashes), so what reaches the driver is bounded in bytes too. A model
+has at most MAX_WORDS words, those that tell its category best. Scoring reads whole texts. Rows are weighted back within a class and the bias
 is set back to the share of the class among all labels. The threshold is
 counted over all labelled rows, each scored by models that did not see it: the
 least prediction from which on PRECISION of the rows are toxic, or the one that
@@ -35,6 +37,7 @@ from quarry.llm.words import mix, slices, words
 from quarry.session import stage_table
 
 TRAIN_ROWS = 8000
+TRAIN_WORDS = 4096            # distinct words of a training row: those of the least hashes
 FOLDS, MAX_WORDS, MIN_Z = 3, 4096, 5.0
 STEPS, L2, PRECISION = 300, 2.0, 0.98
 BINS = 256                    # of the scores over all labelled rows, per unit of log-odds
@@ -56,6 +59,9 @@ def bags(batch_text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, n, h, first in bags(batch.column(1)):
+            kept = [np.sort(h[a:b])[:TRAIN_WORDS] for a, b in zip(first[:-1], first[1:], strict=True)]
+            h = np.concatenate(kept)
+            first = np.concatenate([[0], np.cumsum([len(k) for k in kept])])
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), lists], names=["doc_id", "bag"])
 
@@ -208,10 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     rows = stage_table(rows.withColumn("fold", F.row_number().over(turn) % FOLDS)
                        .select("l_id", "low", "toxic", "rate", "fold"), "tx-sample")
     bagged = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("l_id"))   # <= TRAIN_ROWS rows
+    # one text a doc_id, so that the sample is bounded however often ids repeat
+    bagged = bagged.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     sample = (bagged.select("doc_id", "text").mapInArrow(_bag_rows, "doc_id bigint, bag array<bigint>")
               .join(F.broadcast(rows), F.col("doc_id") == F.col("l_id"))
               .select("l_id", "bag", "low", "toxic", "rate", "fold").toArrow().sort_by("l_id"))
-    # a doc_id that repeats gives a row each; still bounded by the sample unless ids repeat without end
     bag = sample["bag"].combine_chunks()
     first = np.concatenate([[0], np.cumsum(np.array(pc.list_value_length(bag), dtype=np.int64))])
     h = (bag.flatten().to_numpy() if len(bag) else np.zeros(0, np.int64)).view(np.uint64)

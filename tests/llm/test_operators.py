@@ -536,3 +536,27 @@ def test_pii_trees_as_expressions_score_like_the_fitted_model(spark):
 def test_pii_without_labelled_candidates_adds_nothing(spark):
     df = spark.createDataFrame([(i, f"number 12 345678{i} here") for i in range(20)], "doc_id bigint, text string")
     assert pii.fit(df) == {} and all(r["added"] == [] for r in pii.detect(df).collect())
+
+
+def test_components_of_hubs_chains_and_single_links(spark):
+    from quarry.llm.components import components
+    links = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5001), (7000, 7000)]
+    links += [(399, 2000), (2000, 2001)]
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(4)
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    want = {i: 0 for i in [*range(400), 2000, 2001]} | {i: 1000 for i in range(1000, 1101)} | {5000: 5000, 5001: 5000}
+    assert got == want
+    assert components(df.limit(0)).count() == 0
+
+
+def test_toxicity_training_sample_is_bounded(spark, monkeypatch):
+    """A labelled doc_id on many rows gives one text; a very long text gives TRAIN_WORDS words."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(9000))])], names=["doc_id", "text"])
+    assert len(next(toxicity._bag_rows(iter([batch])))["bag"][0]) == toxicity.TRAIN_WORDS
+    rows = [(i, f"good word{i % 7} text") for i in range(60)] + [(i, "vile foul words here") for i in range(60, 120)]
+    rows += [(5, f"other text {i}") for i in range(300)] + [(5, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    lab = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    got = [r["doc_id"] for r in toxicity.score(df, toxicity.fit(df, lab)).filter("toxic").collect()]
+    assert sorted(got) == list(range(60, 120))
