@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quarry.operators.encode import HashEncoder, IsolatingEncoder, embed, hash_vectors, index_texts
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.cat_training import _test_set
 from quarry.plans.common import TEST_CFG, eval_set
 from quarry.plans.pipelines import compare_models, compare_paired, leaderboard
@@ -85,6 +86,16 @@ def text_leaderboard(spark, sf):
     return b.select("model", "model_pos", *_r(METRIC_COLS), "n_rows")
 
 
+@query("indexed_leaderboard", sql=f"""{BOARD_SQL}
+SELECT model, model_pos, {_rs(METRIC_COLS)}, n_rows FROM board""")
+def indexed_leaderboard(spark, sf):
+    """P2 with a kept vector index that already holds some of the contexts."""
+    index = VectorIndex(spark, scratch_dir(spark, "index"))
+    ev = eval_set(spark, sf)
+    index.update(ev.filter(F.col("kind") == "genre").select(F.col("context").alias("text")), TEXT_MODELS)
+    return leaderboard(ev, TEXT_MODELS, index=index)["board"].select("model", "model_pos", *_r(METRIC_COLS), "n_rows")
+
+
 def _examples_ctes() -> str:
     ex = "ex(query_id, text) AS (VALUES " + ", ".join(
         f"({i}, '{q}')" for i, q in enumerate(EXAMPLE_QUERIES)) + ")"

@@ -30,6 +30,7 @@ from quarry.operators.responses import failed_requests, parse_responses, render_
 from quarry.operators.retrieve import best_hits, pair_similarity, stacked_pass
 from quarry.operators.skew import BROADCAST_ROWS, keyed_join
 from quarry.operators.training import mini_batches, run_manifest, training_examples, training_keys
+from quarry.operators.vector_index import VectorIndex
 from quarry.session import stage_table
 from quarry.sources.tables import spread
 
@@ -52,6 +53,7 @@ class IndexedRows:
     rows: DataFrame      # row_id, query_id, ctx_id, relevance
     queries: DataFrame   # query_id, text
     contexts: DataFrame  # ctx_id, text
+    keys: DataFrame      # ctx_id, text_key
     n_queries: int
     n_contexts: int
 
@@ -77,19 +79,21 @@ def index_eval_rows(eval_rows: DataFrame) -> IndexedRows:
         ids = stage_table(ids, "eval-query-ids")
     ids = keyed_join(ids, c_keys, "c_key", nc).select("row_id", "query_id", "ctx_id", "relevance")
     return IndexedRows(stage_table(ids, "eval-ids"), qi.select("query_id", "text"),
-                       ci.select("ctx_id", "text"), nq, nc)
+                       ci.select("ctx_id", "text"), ci.select("ctx_id", "text_key"), nq, nc)
 
 
 # -- P2 -------------------------------------------------------------------------
 
 def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
-                example_queries: tuple[str, ...] = EXAMPLE_QUERIES, k_examples: int = 3) -> dict:
+                example_queries: tuple[str, ...] = EXAMPLE_QUERIES, k_examples: int = 3,
+                index: VectorIndex | None = None) -> dict:
     """Row-judged metrics per model, best model by MRR (earlier wins ties),
     example queries answered by the best model, dataset composition.
 
     The example queries join the eval queries under ids below the least id of
     these, and all models' vectors lie in one table: a single top-k pass scores the
-    corpus for all models."""
+    corpus for all models. With a kept ``index`` only contexts it has not seen are encoded
+    (the model names are its partitions); it is updated first."""
     spark = eval_rows.sparkSession
     ix = index_eval_rows(eval_rows)
     least = ix.queries.agg(F.min("query_id")).first()[0] or 0
@@ -98,7 +102,12 @@ def leaderboard(eval_rows: DataFrame, models: dict[str, Encoder],
     k, names, n = max(5, k_examples), list(models), len(models)
     encoders = list(models.values())
     qv = embed_table(ix.queries.unionByName(ex), "query_id", encoders)
-    cv = spread(embed_table(ix.contexts, "ctx_id", encoders))
+    if index is None:
+        cv = embed_table(ix.contexts, "ctx_id", encoders)
+    else:
+        index.update(ix.contexts, models)
+        cv = index.stacked(ix.keys, "ctx_id", names)
+    cv = spread(cv)
     hits = stage_table(best_hits(stacked_pass(qv, cv, n, k, "cosine", ix.n_contexts), k, ("model", "query_id")), "hits")
     own = hits.filter((F.col("query_id") >= least) & (F.col("rank") <= 5))
     board = evaluate_rowwise_models(ix.rows, own, n)

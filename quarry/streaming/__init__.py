@@ -1,3 +1,3 @@
 from quarry.streaming.evalset_stream import (corpus_stream, eval_set_stream, numbered_entries,  # noqa: F401
                                              start_eval_set_sink, start_numbered_sink)
-from quarry.streaming.responses_stream import responses_stream, test_set_stream  # noqa: F401
+from quarry.streaming.responses_stream import responses_stream, start_ledger_sink, test_set_stream  # noqa: F401

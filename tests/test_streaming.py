@@ -54,6 +54,22 @@ def test_response_stream_equals_batch(spark):
     assert ("baker magic" in [r[3] for r in batch]) and ("mystery" in [r[3] for r in batch])
 
 
+def test_streamed_answers_are_recorded_once(spark):
+    from quarry.operators.ledger import RequestLedger
+    from quarry.streaming import responses_stream, start_ledger_sink
+    d = tempfile.mkdtemp(prefix="quarry-test-ledger-")
+    src, schema = os.path.join(d, "in"), "entry_id bigint, resp_id bigint, response string"
+    ledger = RequestLedger(spark, os.path.join(d, "ledger"))
+    for rows in ([(0, 1, None), (1, 1, "one")], [(0, 2, "zero"), (1, 2, " ")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        for _ in range(2):
+            start_ledger_sink(responses_stream(spark, src), ledger, os.path.join(d, "ck")).awaitTermination(120)
+    assert sorted(map(tuple, ledger.answers().collect())) == [(0, 2, "zero"), (1, 1, "one")]
+    assert ledger.attempts().count() == 4
+    ledger.record(spark.createDataFrame([(0, 1, None), (1, 1, "one")], schema), "stream-0")      # the first batch done again
+    assert ledger.attempts().count() == 4 and ledger.open_requests(spark.range(3).withColumnRenamed("id", "entry_id")).count() == 1
+
+
 def test_equal_lines_of_a_file_get_ids_of_their_own(spark):
     from quarry.streaming import numbered_entries, start_numbered_sink
     d = tempfile.mkdtemp(prefix="quarry-test-numbered-")
