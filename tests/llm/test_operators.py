@@ -549,7 +549,7 @@ def test_components_of_hubs_chains_and_single_links(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def test_toxicity_training_sample_is_bounded(spark, monkeypatch):
+def test_toxicity_training_sample_is_bounded(spark):
     """A labelled doc_id on many rows gives one text; a very long text gives TRAIN_WORDS words."""
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(9000))])], names=["doc_id", "text"])
