@@ -215,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
                        .select("l_id", "low", "toxic", "rate", "fold"), "tx-sample")
     bagged = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("l_id"))   # <= TRAIN_ROWS rows
     # one text a doc_id, so that the sample is bounded however often ids repeat
-    bagged = bagged.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     sample = (bagged.select("doc_id", "text").mapInArrow(_bag_rows, "doc_id bigint, bag array<bigint>")
+              .groupBy("doc_id").agg(F.min_by("bag", F.xxhash64("bag")).alias("bag"))
               .join(F.broadcast(rows), F.col("doc_id") == F.col("l_id"))
               .select("l_id", "bag", "low", "toxic", "rate", "fold").toArrow().sort_by("l_id"))
     bag = sample["bag"].combine_chunks()
