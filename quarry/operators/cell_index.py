@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.rand import hash_order
-from quarry.operators.retrieve import PASS_SCHEMA, QUERY_BYTES, BlockScorer, _norms, _vectors, best_hits
+from quarry.operators.retrieve import PASS_SCHEMA, QUERY_BYTES, _QUERY_ROWS, BlockScorer, _norms, _vectors, best_hits
 from quarry.session import stage_counted, stage_table
 
 MAX_CELLS = 4096
@@ -36,7 +36,7 @@ FIT_ROWS = 256
 ROUNDS = 6
 PROBES = 2
 INDEX_SCHEMA = "ctx_id bigint, embedding array<double>, cell int, dist double"
-_CELLS_AT_ONCE = 1 << 22      # query x cell products held at once
+_CELLS_AT_ONCE = 1 << 20      # query x cell products held at once
 
 
 def _scaled(m: np.ndarray, cosine: bool) -> np.ndarray:
@@ -167,62 +167,66 @@ def _slices(queries: DataFrame, bytes_a_row: int, query_bytes: int) -> list[Data
 
 
 def _needs(queries: DataFrame, index: CellIndex, k: int, probes: int) -> DataFrame:
-    """``query_id, q_vec, thr, probed, cells`` of queries with ``query_id, q_vec, thr``: the cells a query
-    probes first, and (with a threshold) the others it needs."""
+    """``query_id, q_vec, thr, probed, cells, n`` of queries with ``query_id, q_vec, thr``: the cells a query
+    probes first, and (with a threshold) the others it needs, a bit a cell, and how many both are."""
     shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.radius, index.cosine))
 
     def need(batches):
         centroids, radius, cosine = shared.value
-        for batch in batches:
-            q = _scaled(_vectors(batch.column(1)), cosine)
-            if not len(q):
-                continue
-            thr = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-            probed, cells = [], []
-            step = max(1, _CELLS_AT_ONCE // max(1, len(centroids)))
-            for i in range(0, len(q), step):
-                top, slack = _bounds(q[i:i + step], centroids, radius, cosine)
-                order = np.argsort(-(q[i:i + step] @ centroids.T + np.where(radius >= 0, 0, -np.inf)[None, :]), axis=1,
+        step = max(1, _CELLS_AT_ONCE // max(1, len(centroids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                q = _scaled(_vectors(batch.column(1)), cosine)
+                thr = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+                top, slack = _bounds(q, centroids, radius, cosine)
+                order = np.argsort(-(q @ centroids.T + np.where(radius >= 0, 0, -np.inf)[None, :]), axis=1,
                                    kind="stable")[:, :probes]
-                for j in range(len(top)):
-                    probed.append(order[j].astype(np.int32))
-                    least = thr[i + j] - slack[j] if not np.isnan(thr[i + j]) else -np.inf
-                    wanted = np.flatnonzero((top[j] >= least) & (radius >= 0))
-                    cells.append(np.setdiff1d(wanted, order[j]).astype(np.int32))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probed, kind), pa.array(cells, kind)],
-                                             names=["query_id", "q_vec", "thr", "probed", "cells"])
+                first = np.zeros(top.shape, dtype=bool)
+                np.put_along_axis(first, order, True, axis=1)
+                least = np.where(np.isnan(thr), -np.inf, thr - slack)
+                rest = (top >= least[:, None]) & (radius >= 0)[None, :] & ~first
+                n = order.shape[1] + rest.sum(axis=1)
+                bits = [pa.array([r.tobytes() for r in np.packbits(m, axis=1)], pa.binary()) for m in (first, rest)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *bits, pa.array(n.astype(np.int64))],
+                                                 names=["query_id", "q_vec", "thr", "probed", "cells", "n"])
 
     return queries.select("query_id", "q_vec", "thr").mapInArrow(
-        need, "query_id bigint, q_vec array<double>, thr double, probed array<int>, cells array<int>")
+        need, "query_id bigint, q_vec array<double>, thr double, probed binary, cells binary, n bigint")
+
+
+def _bits(column, cells: int) -> np.ndarray:
+    """A bit table of ``_needs``, a row for each eight cells: what one cell is asked by lies together."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    return np.ascontiguousarray(rows.reshape(len(column), -(-cells // 8)).T)
 
 
 def _scan(index: CellIndex, wanted: DataFrame, column: str, k: int) -> DataFrame:
-    """Local candidates of the queries of ``wanted`` in the cells of its list column."""
-    spark = wanted.sparkSession
-    cells = [r[0] for r in wanted.select(F.explode(column)).distinct().collect()]                 # at most MAX_CELLS
+    """Local candidates of the queries of ``wanted`` in the cells of its bit column."""
+    spark, n_cells = wanted.sparkSession, len(index.centroids)
+    side = wanted.select("query_id", "q_vec", "thr", column).toArrow()
+    bits = _bits(side[column], n_cells)
+    asked = np.unpackbits(np.bitwise_or.reduce(bits, axis=1), count=n_cells) if side.num_rows else np.zeros(0)
+    cells = [int(c) for c in np.flatnonzero(asked)]                                               # at most MAX_CELLS
     if not cells:
         return spark.createDataFrame([], PASS_SCHEMA)
-    side = wanted.select("query_id", "q_vec", "thr", column).toArrow()
-    lists = side[column].combine_chunks()
-    shared = spark.sparkContext.broadcast((side["query_id"].to_numpy(), _vectors(side["q_vec"]), side["thr"].to_numpy(),
-                                           lists.flatten().to_numpy(zero_copy_only=False),
-                                           lists.value_lengths().to_numpy(zero_copy_only=False)))
+    shared = spark.sparkContext.broadcast((side["query_id"].to_numpy(), _vectors(side["q_vec"]), side["thr"].to_numpy(), bits))
     cosine = index.cosine
 
     def scan(batches):
-        ids, q, thr, cell, count = shared.value
-        query = np.repeat(np.arange(len(ids)), count)
-        order = np.argsort(cell, kind="stable")
-        cell, query = cell[order], query[order]
+        ids, q, thr, bits = shared.value
         for batch in batches:
             for c, ctx, m in _groups(batch):
-                rows = query[np.searchsorted(cell, c):np.searchsorted(cell, c, "right")]
-                if len(rows):
+                every = np.flatnonzero(bits[c >> 3] & (128 >> (c & 7)))
+                for i in range(0, len(every), _QUERY_ROWS):          # no copy of all the queries of a cell
+                    rows = every[i:i + _QUERY_ROWS]
                     scorer = BlockScorer(ids[rows], q[rows], k, cosine)
                     scorer.kth = np.where(np.isnan(thr[rows]), -np.inf, thr[rows])   # nothing below it can matter
                     scorer.add(ctx, m)
-                    yield from scorer.table().to_batches()
+                    found = scorer.table()
+                    if found.num_rows:
+                        yield from found.to_batches()
 
     return index.table.filter(F.col("cell").isin(cells)).select("cell", "ctx_id", "embedding").mapInArrow(scan, PASS_SCHEMA)
 
@@ -242,7 +246,7 @@ def pruned_top_k(queries: DataFrame, index: CellIndex, k: int = 5, probes: int =
         return none, spark.createDataFrame([(q.count(), 0, 0, 0, 0.0)], "queries bigint, cells bigint, pairs bigint, "
                                            "scored_pairs bigint, skipped_share double")
     hits, needs = [], []
-    for part in _slices(q, 8 * (dim + 4 + len(index.centroids) // 2), query_bytes):
+    for part in _slices(q, 8 * (dim + 4) + len(index.centroids) // 8, query_bytes):
         probing = stage_table(_needs(part, index, k, probes), "cell-probes")
         found = stage_table(_scan(index, probing, "probed", k), "cell-found")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
@@ -250,7 +254,7 @@ def pruned_top_k(queries: DataFrame, index: CellIndex, k: int = 5, probes: int =
         bounded = part.drop("thr").join(kth, "query_id", "left").select("query_id", "q_vec", "thr")
         need = stage_table(_needs(bounded, index, k, probes), "cell-needs")
         hits.append(found.unionByName(_scan(index, need, "cells", k)))
-        needs.append(need.select((F.size("probed") + F.size("cells")).alias("n")))
+        needs.append(need.select("n"))
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)

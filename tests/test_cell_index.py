@@ -83,3 +83,16 @@ def test_every_row_is_indexed(spark):
     assert index.rows == 500 and index.table.select("ctx_id").distinct().count() == 500
     far = index.table.groupBy("cell").agg(F.max("dist").alias("d")).collect()
     assert all(index.radius[r.cell] == r.d for r in far)
+
+
+def test_wanted_cells_are_a_bit_each(spark):
+    from quarry.operators.cell_index import _bits, _needs
+    m = _clustered(300, d=6, centers=6)
+    index = build_index(_frame(spark, "ctx_id", m), cells=11)
+    q = _frame(spark, "query_id", m[:40]).selectExpr("query_id", "embedding AS q_vec", "0.9D AS thr")
+    need = _needs(q, index, 5, 2)
+    assert dict(need.dtypes)["probed"] == dict(need.dtypes)["cells"] == "binary"
+    t = need.toArrow()
+    bits = [np.unpackbits(_bits(t[c], len(index.centroids)).T, axis=1) for c in ("probed", "cells")]
+    assert (bits[0].sum(axis=1) == 2).all() and not (bits[0] & bits[1]).any()
+    assert (bits[0] | bits[1]).sum(axis=1).tolist() == t["n"].to_pylist()
