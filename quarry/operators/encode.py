@@ -22,6 +22,7 @@ from typing import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -37,21 +38,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != F.lit(""))
 
 
+_BUCKET_ROWS = 512       # texts whose hashes are counted at once
+
+
 def _bucket_udf(dim: int):
-    @pandas_udf("array<float>")
-    def buckets(hashes: pd.Series) -> pd.Series:
-        n = len(hashes)
-        lens = np.fromiter((0 if h is None else len(h) for h in hashes.values), dtype=np.int64, count=n)
-        out = np.zeros((n, dim), dtype=np.float32)
-        if lens.sum() > 0:
-            flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes.values
-                                   if h is not None and len(h) > 0])
-            rows = np.repeat(np.arange(n), lens)
-            idx = flat % dim
+    @F.arrow_udf("array<float>")
+    def buckets(hashes: pa.Array) -> pa.Array:
+        out = np.zeros((len(hashes), dim), dtype=np.float32)
+        for at in range(0, len(hashes), _BUCKET_ROWS):       # no object a text, few hashes copied
+            part = hashes.slice(at, _BUCKET_ROWS)
+            lens = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(part)), lens)
             sign = np.where(((flat >> 40) & 1) == 0, 1.0, -1.0)
-            out = np.bincount(rows * dim + idx, weights=sign, minlength=n * dim)
-            out = out.reshape(n, dim).astype(np.float32)
-        return pd.Series(list(out))
+            n = np.bincount(rows * dim + flat % dim, weights=sign, minlength=len(part) * dim)
+            out[at:at + len(part)] = n.reshape(len(part), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
     return buckets
 
 
