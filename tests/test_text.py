@@ -108,3 +108,21 @@ def test_strip_starters_sequential(spark, q):
 
 def test_normalise_context_null(spark):
     assert _one(spark, normalise_context(F.col("t")), None) == ""
+
+
+def test_keyword_candidates_are_long_words_of_letters_alone(spark):
+    from quarry.functions.text import WHITESPACE, keyword_candidates
+    words = ["dragon", "four", "l'été", "étéété", "a1bcdef", "\U00010400\U00010401\U00010402\U00010403\U00010404", "étages",
+             "storm,", "abcde", "​hidden", "castle"]
+    text = "".join(w + WHITESPACE[i % len(WHITESPACE)] * (1 + i % 3) for i, w in enumerate(words * len(WHITESPACE)))
+    texts = [text, "castle", " castle", "", None, "x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.k for r in rows.select("i", keyword_candidates(F.col("t")).alias("k")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else [w for w in t.split() if len(w) >= 5 and w.isalpha()])
+
+
+def test_keyword_candidates_build_no_array_of_all_words(spark):
+    from quarry.functions.text import keyword_candidates
+    plan = spark.range(1).select(keyword_candidates(F.col("id").cast("string")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "rlike" not in plan.lower()
