@@ -72,3 +72,11 @@ def test_floats_are_not_held_as_doubles():
     assert _peak(lambda: R.BlockScorer(range(20000), q, 5, True)) < 16 << 20
     col = pa.array(list(q[:10]), pa.list_(pa.float32()))
     assert R._vectors(col, keep=True).dtype == np.float32 and R._vectors(col).dtype == np.float64
+
+
+def test_a_chunk_of_scores_fits_a_cores_cache():
+    rng = np.random.default_rng(3)
+    q, c = (rng.normal(size=(n, 16)).astype(np.float32) for n in (2048, 4096))
+    scorer = R.BlockScorer(range(2048), q, 5, True)
+    scorer.add(np.arange(4096), c)
+    assert _peak(lambda: scorer.add(np.arange(4096, 8192), c - 0.1)) < 12 << 20
