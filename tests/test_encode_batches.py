@@ -27,3 +27,21 @@ def test_missing_and_empty_lists_and_slices(spark):
     got = _bucket_udf(4).func(batch).to_pylist()
     assert got == [[0, 0, 0, 1], [0] * 4, [0] * 4, [-1, 0, 0, 2]]
     assert _bucket_udf(4).func(batch.slice(2)).to_pylist() == got[2:]
+
+
+def test_tokens_are_hashed_once_each():
+    from quarry.operators.encode import _token_hash, _token_hashes
+    flat = pa.array(["b", "a", "b", "é", "a"]).slice(1)
+    assert _token_hashes(3, flat).tolist() == [_token_hash(3, t) for t in ("a", "b", "é", "a")]
+    assert _token_hashes(3, flat.slice(0, 0)).tolist() == []
+
+
+def test_lists_of_tokens_give_the_counts_of_their_hashes(spark):
+    from quarry.operators.encode import HashEncoder, hash_vectors
+    texts = ["a b, b", "", "Ä_c 1", "a"] * 300
+    want = hash_vectors(texts, 8, 5).tolist()
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(9999, None)], "i int, t string").coalesce(1)
+    got = rows.select("i", HashEncoder(8, 5)("t").alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [*want, [0] * 8]
+    batch = pa.array([["a", "b", "b"], None, [], ["1"]], pa.list_(pa.string()))
+    assert _bucket_udf(8, 5).func(batch).to_pylist() == hash_vectors(["a b b", "", "", "1"], 8, 5).tolist()
