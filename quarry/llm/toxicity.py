@@ -25,6 +25,8 @@ other columns are ignored, or kept by ``drop_toxic``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,13 +75,13 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 class Linear:
     """Logistic regression over selected words and the earlier categories' log-odds. ``rate``:
-    labelled rows that each row of the sample stands for."""
+    labelled rows that each row of the sample stands for; ``col``: the words' places in ``vocab``."""
 
-    def __init__(self, doc: np.ndarray, word: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray,
+    def __init__(self, doc: np.ndarray, col: np.ndarray, vocab: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray,
                  rate: np.ndarray):
         pos = int(y.sum())
         all_pos, all_neg = float(rate @ y), float(rate @ (1 - y))
-        self.bias, self.words, self.weights = float(np.log((all_pos + 1) / (all_neg + 1))), word[:0], np.zeros(0)
+        self.bias, self.words, self.weights = float(np.log((all_pos + 1) / (all_neg + 1))), vocab[:0], np.zeros(0)
         self.extra = np.zeros(extra.shape[1])
         if not 0 < pos < n:
             return
@@ -87,7 +89,6 @@ class Linear:
         share_of = np.where(y > 0, rate * pos / all_pos, rate * (n - pos) / all_neg)
         bias0 = float(np.log((pos + 1) / (n - pos + 1)))
         # words whose document frequency is higher in the category
-        vocab, col = np.unique(word, return_inverse=True)
         a = np.bincount(col, weights=(share_of * y)[doc], minlength=len(vocab))
         b = np.bincount(col, weights=share_of[doc], minlength=len(vocab)) - a
         share = (a + b) / n
@@ -141,21 +142,25 @@ def train(h: np.ndarray, first: np.ndarray, labels: np.ndarray, fold: np.ndarray
     and per fold a chain that did not see its rows."""
     n, cats = labels.shape
     sizes = np.diff(first)
-    doc = np.repeat(np.arange(n), sizes)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    # the words are sorted once for all models, and held as places: half the bytes of hashes
+    vocab, col = np.unique(h), np.empty(len(h), dtype=np.int32)
+    for at in range(0, len(h), 1 << 18):
+        col[at:at + (1 << 18)] = np.searchsorted(vocab, h[at:at + (1 << 18)])
     oof, models, without = np.zeros((n, 0)), [], [[] for _ in range(FOLDS)]
     for c in range(cats):
         y, extra, held = labels[:, c].astype(float), _log_odds(oof), np.zeros(n)
         for f in range(FOLDS):
             ins, outs = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            renumber = np.full(n, -1)
+            renumber = np.full(n, -1, dtype=np.int32)
             renumber[ins] = np.arange(len(ins))
             on = renumber[doc] >= 0
-            m = Linear(renumber[doc[on]], h[on], len(ins), extra[ins], y[ins], rate[ins])
+            m = Linear(renumber[doc[on]], col[on], vocab, len(ins), extra[ins], y[ins], rate[ins])
             without[f].append(m)
             if len(outs):
                 part = np.concatenate([[0], np.cumsum(sizes[outs])])
-                held[outs] = m.predict(np.concatenate([h[first[i]:first[i + 1]] for i in outs]), part, extra[outs])
-        models.append(Linear(doc, h, n, extra, y, rate))
+                held[outs] = m.predict(vocab[np.concatenate([col[first[i]:first[i + 1]] for i in outs])], part, extra[outs])
+        models.append(Linear(doc, col, vocab, n, extra, y, rate))
         oof = np.column_stack([oof, held])
     return models, [Chain(m, float("inf")) for m in without]
 
@@ -186,6 +191,13 @@ def quotas(counts: dict, room: int) -> dict:
     return out
 
 
+def _release() -> None:
+    """Give the memory that Arrow and numpy have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     """Train on at most TRAIN_ROWS labelled rows (least id hashes of each combination of
     labels), set the threshold on all."""
@@ -221,10 +233,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
               .select("l_id", "bag", "low", "toxic", "rate", "fold").toArrow().sort_by("l_id"))
     bag = sample["bag"].combine_chunks()
     first = np.concatenate([[0], np.cumsum(np.array(pc.list_value_length(bag), dtype=np.int64))])
-    h = (bag.flatten().to_numpy() if len(bag) else np.zeros(0, np.int64)).view(np.uint64)
+    h = (np.array(bag.flatten()) if len(bag) else np.zeros(0, np.int64)).view(np.uint64)
     y = np.column_stack([np.array(sample["low"], dtype=np.int64), np.array(sample["toxic"], dtype=np.int64)])
     fold, ids = np.array(sample["fold"], dtype=np.int64), np.array(sample["l_id"], dtype=np.int64)
-    models, without = train(h, first, y, fold, np.array(sample["rate"], dtype=float))
+    rate = np.array(sample["rate"], dtype=float)
+    del sample, bag
+    _release()                        # the driver keeps one copy of the words while it trains
+    models, without = train(h, first, y, fold, rate)
+    del h
+    _release()
     if sum(n for (_, t), n in counts.items() if t) == 1:
         without = [Chain(models, float("inf"))] * FOLDS
     held = _held_out(docs, without, ids, fold)

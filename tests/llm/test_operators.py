@@ -560,3 +560,18 @@ def test_toxicity_training_sample_is_bounded(spark):
     lab = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(120)], "doc_id bigint, quality int, toxic int")
     got = [r["doc_id"] for r in toxicity.score(df, toxicity.fit(df, lab)).filter("toxic").collect()]
     assert sorted(got) == list(range(60, 120))
+
+
+def test_toxicity_training_holds_few_copies_of_its_words():
+    import tracemalloc
+    n = 1000
+    h = np.sort(np.random.default_rng(0).integers(0, 200_000, (n, 500)), axis=1).ravel().astype(np.uint64)
+    h[::500][np.arange(n) % 5 == 0] = 7                # a word of the toxic rows
+    labels = np.stack([np.arange(n) % 4 == 0, np.arange(n) % 5 == 0], axis=1).astype(np.int64)
+    tracemalloc.start()
+    try:
+        models, _ = toxicity.train(h, np.arange(n + 1) * 500, labels, np.arange(n) % 3, np.ones(n))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5.8 * h.nbytes and 7 in models[1].words.tolist()
