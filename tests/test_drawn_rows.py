@@ -102,3 +102,17 @@ def test_csv_files_are_numbered_without_parsing_them(spark, tmp_path, monkeypatc
     got = S.read_eval_csv(spark, path, row_ids=True).orderBy("row_id").collect()
     assert [(r.query, r.context, r.relevance) for r in got] == data and len({r.row_id for r in got}) == 20
     assert "csv" not in plans[0].lower().split("binaryfile")[0]
+
+
+def test_numbered_csv_rows_stay_where_they_are_read(spark, tmp_path):
+    """The numbers of the files are sent to the rows: a join by file moved every row with its texts."""
+    from quarry.sources import evalset_io as S
+    path = str(tmp_path / "csv")
+    data = [(i, f"q{i}", None if i % 9 == 4 else "" if i % 9 == 5 else f'text, "{i // 3}"\nline two', float(i % 2)) for i in range(90)]
+    rows = spark.createDataFrame(data[::-1], ROWS).repartition(4)
+    S.write_eval_csv(S.in_order(rows, "row_id"), path, compression="gzip")
+    back = S.read_eval_csv(spark, path, row_ids=True)
+    assert _moved_texts(back) == 0
+    assert [tuple(r)[1:] for r in back.orderBy("row_id").collect()] == [r[1:] for r in data]
+    files = [p for p in (tmp_path / "csv").iterdir() if p.name.startswith("part-")]
+    assert files and all(p.suffix == ".gz" for p in files)
